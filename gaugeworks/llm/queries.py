@@ -17,5 +17,14 @@ def op1_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman_roundtrip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {"op1_huffman_ids": op1_huffman_ids}
+def op3_simhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .simhash import near_copies
+
+    found = near_copies(_table(spark, sf_dir, "documents"), shingle=3, similarity=None, radius=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("prints")[0])), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op1_huffman_ids": op1_huffman_ids, "op3_simhash_near_copies": op3_simhash_near_copies}
 ORACLE_SQL: dict[str, str] = {}
