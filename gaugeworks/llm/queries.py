@@ -26,5 +26,11 @@ def op3_simhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("prints")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_huffman_ids": op1_huffman_ids, "op3_simhash_near_copies": op3_simhash_near_copies}
+def op10_suffix_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_array import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_huffman_ids, op3_simhash_near_copies, op10_suffix_contamination)}
 ORACLE_SQL: dict[str, str] = {}
