@@ -20,7 +20,7 @@ equal fingerprint that has one, else null. Ties and repeated rows collapse. No r
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, repeat
 from math import acos, pi
 
 import numpy as np
@@ -56,22 +56,23 @@ def shingle_hashes(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     words, counts = ascii_words(pc.ascii_lower(texts))
     at = starts_of(counts)
     n = len(words)
-    if n >= k:
-        joined = pc.binary_join_element_wise(*[words.slice(i, n - k + 1) for i in range(k)], " ") if k > 1 else words
-        whole = np.ones(n - k + 1, bool)
-        for i in range(1, k):  # not over the end of a text
-            ends = at[1:] - i
-            whole[ends[(ends >= 0) & (ends < len(whole))]] = False
-        joined = joined.filter(pa.array(whole)).cast(pa.binary()).to_pylist()
-    else:
-        joined = []
-    # a short text that ends before another may have masked a place of it too: lengths decide
+    # words one space apart: a shingle is then one run of bytes
+    line = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), words.cast(pa.string())), " ")[0].as_py().encode() if n else b""
+    length = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    begin = starts_of(length + 1)[:-1]
+    first = np.arange(max(0, n - k + 1))
+    whole = np.ones(len(first), bool)
+    for i in range(1, k):  # not over the end of a text
+        ends = at[1:] - i
+        whole[ends[(ends >= 0) & (ends < len(whole))]] = False
+    first = first[whole]
+    joined = map(line.__getitem__, map(slice, begin[first].tolist(), (begin + length)[first + k - 1].tolist()))
     shingles = np.maximum(counts - k + 1, 0)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(x, SEED) for x in joined), np.uint64, len(joined))
+    hashes = np.fromiter(map(digest, joined, repeat(SEED)), np.uint64, len(first))
     short = np.flatnonzero((counts > 0) & (counts < k))
     if len(short):
-        extra = np.array([digest(b" ".join(x.encode() for x in words.slice(at[d], counts[d]).to_pylist()), SEED) for d in short], np.uint64)
+        extra = np.array([digest(line[begin[at[d]] : begin[at[d + 1] - 1] + length[at[d + 1] - 1]], SEED) for d in short], np.uint64)
         hashes = np.insert(hashes, starts_of(shingles)[short], extra)
         shingles[short] = 1
     return hashes, shingles
