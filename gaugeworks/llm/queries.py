@@ -32,5 +32,19 @@ def op10_suffix_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_huffman_ids, op3_simhash_near_copies, op10_suffix_contamination)}
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_pages
+
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .pieces import piece_ids
+
+    return piece_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_huffman_ids, op3_simhash_near_copies, op4_html_main_text, op6_sentencepiece, op10_suffix_contamination)}
 ORACLE_SQL: dict[str, str] = {}
