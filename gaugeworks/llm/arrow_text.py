@@ -58,3 +58,8 @@ def utf8_views(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     _, offsets, data = wide.buffers()
     offsets = np.frombuffer(offsets, np.int64, len(wide) + 1, wide.offset * 8) if offsets else np.zeros(1, np.int64)
     return offsets, np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+
+
+def strings_of(array: pa.Array) -> list[str]:
+    """The strings of an array as a list, without a scalar object for each."""
+    return array.to_numpy(zero_copy_only=False).tolist()
