@@ -17,6 +17,14 @@ def op1_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman_roundtrip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op2_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import section_tokens
+
+    return section_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), width=400, rule="majority")
+
+
 def op3_simhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -38,6 +46,14 @@ def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op5_fertility_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .quality import quality
+
+    return quality(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,5 +62,16 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_huffman_ids, op3_simhash_near_copies, op4_html_main_text, op6_sentencepiece, op10_suffix_contamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_huffman_ids,
+        op2_section_tokens,
+        op3_simhash_near_copies,
+        op4_html_main_text,
+        op5_fertility_quality,
+        op6_sentencepiece,
+        op10_suffix_contamination,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
