@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, its texts sent to Python in batches of bounded size."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -102,7 +102,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1, anchors: int
     """(doc_id, prints array<long>, anchors array<long>) of every whole text."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
+        for part in text_slices(batches, most=1 << 20):
             hashes, counts = shingle_hashes(texts_of(part), shingle)
             prints = np.stack([majority(mixed(hashes, i) if i else hashes, counts) for i in range(lanes)], axis=1)
             smallest = np.zeros((len(counts), anchors), np.uint64)
@@ -136,7 +136,7 @@ def bucket_links(keyed: DataFrame, radius: int) -> DataFrame:
                 continue
             held.append(pa.Table.from_batches([batch]))
             rows += batch.num_rows
-            if rows >= 1 << 16:
+            if rows >= 1 << 14:
                 table = pa.concat_tables(held).combine_chunks()
                 key = table["key"].to_numpy()
                 cut = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
