@@ -36,6 +36,20 @@ def op3_simhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("prints")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .language import identified
+
+    return identified(_table(spark, sf_dir, "documents"), ["doc_id"], host=F.col("source"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_suffix_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_array import contamination
 
@@ -73,6 +87,8 @@ QUERIES = {
         op4_html_main_text,
         op5_fertility_quality,
         op6_sentencepiece,
+        op8_language_id,
+        op9_toxicity,
         op10_suffix_contamination,
     )
 }
