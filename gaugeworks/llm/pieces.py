@@ -50,6 +50,7 @@ class PieceModel:
         if any(SPACE in self.piece[i].lstrip(SPACE) for i in plain) or any("\n" in self.piece[i] for i in plain) or len(self.byte) != 256:
             raise ValueError("a piece with a space or line end inside, or no byte pieces")
         self.single = {p for p in self.id if len(p) == 1}
+        self.spanned = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
         self.merges = self._merges(model_file)
         self.automaton = ahocorasick.Automaton()
         for p, i in self.id.items():
@@ -146,7 +147,12 @@ class PieceModel:
         if found is None:
             if len(self.memory) > MEMORY:
                 self.memory.clear()
-            found = self._chunk(chunk)
+            head = chunk[:-1]
+            if len(chunk) > 2 and chunk[-2:] not in self.spanned:  # no piece spans the last two characters
+                found = (self.memory.get(head) or self._chunk(head)) + self._chunk(chunk[-1])
+                self.memory[head] = found[: -len(self._chunk(chunk[-1]))]
+            else:
+                found = self._chunk(chunk)
             self.memory[chunk] = found
         return found
 

@@ -47,10 +47,12 @@ def repeated_words(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     covered = np.zeros(n, bool)
     if n >= 3:
         doc = np.repeat(np.arange(len(counts)), counts)
-        place = np.flatnonzero(doc[2:] == doc[:-2])
-        _, pair = np.unique(codes[:-1] * (codes.max() + 1) + codes[1:], return_inverse=True)
-        key = pair[place] * (codes.max() + 1) + codes[place + 2]
-        order = np.lexsort((key, doc[place]))
+        place, most = np.flatnonzero(doc[2:] == doc[:-2]), int(codes.max()) + 1
+        key = codes[:-2] * most + codes[1:-1]
+        if most >= 1 << 21:  # three codes don't fit an integer
+            _, key = np.unique(key, return_inverse=True)
+        key = (key * most + codes[2:])[place]
+        order = np.argsort(key, kind="stable")  # equal windows stay in the order of their texts
         same = (key[order][1:] == key[order][:-1]) & (doc[place][order][1:] == doc[place][order][:-1])
         twice = np.zeros(len(place), bool)
         twice[order[1:][same]] = True
