@@ -36,6 +36,12 @@ def op3_simhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("prints")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data
+
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -87,6 +93,7 @@ QUERIES = {
         op4_html_main_text,
         op5_fertility_quality,
         op6_sentencepiece,
+        op7_personal_data,
         op8_language_id,
         op9_toxicity,
         op10_suffix_contamination,

@@ -1,0 +1,59 @@
+import hashlib
+import random
+import re
+
+from gaugeworks.llm import pii
+
+
+def plain(text):
+    """The contract's patterns as they stand, for short texts."""
+    out = []
+    for k, pattern in enumerate([r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            total = sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits)))
+            if (True, k == 1 and all(int(p) <= 255 for p in m[0].split(".")), 14 <= len(digits) <= 19 and total % 10 == 0, 10 <= len(digits) <= 15)[k]:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_base_spans_are_those_of_the_patterns():
+    rnd = random.Random(9)
+    signs = list("ab@@..--0123456789 ()++é\n%_")
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 60))) for _ in range(6000)]
+    texts += ["4111 1111 1111 1111", "x+1 (980) 555-6268 y", "a@b.c@d.e", "1.2.3.4.5.6.7.8", "256.1.1.1", "0001.1.1.1", "+1 2", "٣.1.1.1.1", "0" * 5000 + ".1.1.1"]
+    for t in texts:
+        if len(t) < 4000:
+            assert pii.base_spans(t) == plain(t), t
+    assert pii.base_spans(texts[-1]) == [(0, 1, 5006)]
+
+
+def test_disclosing_terms_are_found(spark):
+    rnd = random.Random(1)
+    common = ["the", "of", "and", "to", "in"]
+    rows = [(k, " ".join(rnd.choice(common) for _ in range(30)), "x") for k in range(200)]
+    rows += [(300 + k, f"the of\nzaphod {' '.join(rnd.choice(common) for _ in range(3 + k))} z@b.org and\nthe far off", "x") for k in range(4)]
+    rows += [(400, None, "x"), (401, "", "x"), (402, "rare q@r.st", "x"), (None, "w@x.yz", "x"), (403, "a@b.cd " * 9000, "x"), (404, "1@2.3", "x"), (404, "1@2.3", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string").repartition(3)
+    got = pii.personal_data(docs).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    for doc, text, _ in rows:
+        base = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in plain(text or ""))
+        assert by[doc].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert [x for x in by[doc].spans.split(",") if x and x[:4] != "term"] == [x for x in base.split(",") if x]
+    assert all(by[300 + k].spans.split(",")[0] == "term:7:13" and by[300 + k].spans.count("term") == 1 for k in range(4))
+    assert "term" not in by[402].spans and by[403].n_email == 9000
+    clean = {r.doc_id: r.text for r in pii.redacted(docs).collect()}
+    assert clean[300].startswith("the of\n[TERM] ") and "[EMAIL] and\nthe far" in clean[300] and clean[400] is None and clean[402] == "rare [EMAIL]"
+    assert pii.redacted(docs).columns == docs.columns
+
+
+def test_union_of_spans():
+    assert pii.redact_text("0123456789", [(1, 2, 5), (3, 3, 7), (8, 0, 9)]) == "0[CARD]7[EMAIL]9"
+    assert pii.redact_text("ab", []) == "ab"
+
+
+def test_no_rows(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert pii.personal_data(docs).count() == 0 and pii.redacted(docs).count() == 0
