@@ -141,7 +141,7 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def row_key() -> Column:
-    return F.xxhash64("doc_id", "text").alias("key")
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("key")
 
 
 def disclosing(scanned: DataFrame, docs: DataFrame) -> DataFrame:
@@ -198,20 +198,21 @@ def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with its texts redacted, n_chars as of the new text where there is that column."""
-    spans = found_spans(docs).where(F.exists("spans", lambda s: s["kind"] == 4)).select("key", "spans").dropDuplicates(["key"])
-    joined = docs.withColumn("key", F.xxhash64("doc_id", "text")).join(spans, "key", "left").drop("key")
+    own = "_".join(["found_spans", *docs.columns])  # no name of docs
+    spans = found_spans(docs).where(F.exists("spans", lambda s: s["kind"] == 4)).select(F.col("key").alias(f"{own}_key"), F.col("spans").alias(own)).dropDuplicates([f"{own}_key"])
+    joined = docs.join(spans, F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")) == F.col(f"{own}_key"), "left").drop(f"{own}_key")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             new = []
-            for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
+            for text, spans in zip(part.column("text").to_pylist(), part.column(own).to_pylist()):
                 found = [(s["start"], s["kind"], s["end"]) for s in spans] if spans else base_spans(text) if text else []
                 new.append(redact_text(text, found) if found else text)
             columns = dict(zip(part.schema.names, part.columns))
             columns["text"] = pa.array(new, pa.string())
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([len(t) if t is not None else None for t in new], pa.int64())
-            columns.pop("spans")
+            columns.pop(own)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return joined.mapInArrow(rewrite, docs.schema)

@@ -148,18 +148,23 @@ def matches(text: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray,
     return place, window, length
 
 
+def coded_text(part: pa.RecordBatch, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers of a slice with a 0 after each text, where each text begins, and its words."""
+    words, counts = folded_words(texts_of(part))
+    codes = pc.fill_null(pc.index_in(words, value_set=windows.vocabulary.cast(words.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    begin = starts_of(counts)[:-1] + np.arange(len(counts))
+    text = np.zeros(len(codes) + len(counts), np.int64)
+    text[ranges(begin, counts)] = codes
+    return text, begin, counts
+
+
 def block_pass(block, last: bool):
     """A pass of one block of the benchmark over the documents; the last one sums up."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(*block.value)
         for part in text_slices(batches):
-            words, counts = folded_words(texts_of(part))
-            codes = pc.fill_null(pc.index_in(words, value_set=windows.vocabulary.cast(words.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-            at = starts_of(counts)
-            begin = at[:-1] + np.arange(len(counts))  # each text is followed by a 0
-            text = np.zeros(len(codes) + len(counts), np.int64)
-            text[ranges(begin, counts)] = codes
+            text, begin, counts = coded_text(part, windows)
             place, window, length = matches(text, windows)
             doc = np.searchsorted(begin, place, side="right") - 1
             rows = part.num_rows
@@ -190,16 +195,43 @@ def block_pass(block, last: bool):
     return search
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match."""
-    spark = docs.sparkSession
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list:
+    """The items as broadcast (ids, texts), in blocks of about block_bytes."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item_id")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(total) // block_bytes))
-    df = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("longest_match"))
+    blocks, out = max(1, -(-int(total) // block_bytes)), []
     for k in range(blocks):
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toPandas()
-        block = spark.sparkContext.broadcast((some["item_id"].tolist(), some["text"].tolist()))
-        last = k == blocks - 1
+        out.append(spark.sparkContext.broadcast((some["item_id"].tolist(), some["text"].tolist())))
+    return out
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match."""
+    df = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("longest_match"))
+    blocks = benchmark_blocks(benchmark, block_bytes)
+    for k, block in enumerate(blocks):
+        last = k == len(blocks) - 1
         df = df.mapInArrow(block_pass(block, last), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long" if last else "doc_id long, text string, spans array<long>, items array<string>, longest_match long")
     return df
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs that hold no window of the benchmark, with all their columns."""
+
+    def dropping(block):
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            windows = Windows(*block.value)
+            for part in text_slices(batches):
+                text, begin, counts = coded_text(part, windows)
+                place, _, _ = matches(text, windows)
+                clean = np.ones(len(counts), bool)
+                clean[np.searchsorted(begin, place, side="right") - 1] = False
+                yield part.filter(pa.array(clean))
+
+        return keep
+
+    for block in benchmark_blocks(benchmark, block_bytes):
+        docs = docs.mapInArrow(dropping(block), docs.schema)
+    return docs
