@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import difficulty, lang_by_script, norm_text, sigmoid
 from ..operators import audit, items, metrics, ratings, responses
 from ..operators.ordering import indexed, time_split
+from ..sources.scratch import written
 from ..sources.standins import duck, table, view
 
 QUERIES = {}
@@ -473,3 +474,97 @@ def data_catalog(spark, sf_dir):
 def open_release(spark, sf_dir):
     """With a seed, so that SQL can repeat it; a real release draws its order once."""
     return audit.release(view(spark, sf_dir, "doc_items"), "id", ["main_question_id"], ["correct", "fail"], seed="seed")[0]
+
+
+# -- text -------------------------------------------------------------------------
+
+
+@job(
+    """WITH w AS (SELECT p_partkey AS id, list_filter(string_split(trim(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' '), lambda x: x <> '') AS words FROM part),
+    g AS (SELECT id, unnest(list_concat(words, [words[i] || ' ' || words[i + 1] for i in range(1, len(words))])) AS gram FROM w),
+    tf AS (SELECT id, gram, count(*) AS tf FROM g GROUP BY 1, 2), d AS (SELECT gram, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 2),
+    r AS (SELECT id, gram, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM part)) / (1 + df)) + 1) AS w FROM tf JOIN d USING (gram))
+    SELECT id, gram, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM r"""
+)
+def part_tfidf(spark, sf_dir):
+    """Word 1- and 2-gram weights of part names."""
+    from ..operators.text import tfidf, word_grams
+
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name")
+    return tfidf(parts, "id", word_grams(F.col("p_name")), min_df=2).withColumn("weight", r6(F.col("weight")))
+
+
+@job(
+    """WITH w AS (SELECT p_partkey AS id, list_filter(string_split(trim(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' '), lambda x: x <> '') AS words FROM part),
+    g AS (SELECT id, unnest(list_concat(words, [words[i] || ' ' || words[i + 1] for i in range(1, len(words))])) AS gram FROM w),
+    tf AS (SELECT id, gram, count(*) AS tf FROM g GROUP BY 1, 2), d AS (SELECT gram, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 2),
+    r AS (SELECT id, gram, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM part)) / (1 + df)) + 1) AS w FROM tf JOIN d USING (gram)),
+    v AS (SELECT id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM r)
+    SELECT a.id AS i, b.id AS j, round(sum(a.weight * b.weight), 6) AS cosine FROM v a JOIN v b USING (gram) WHERE a.id < b.id GROUP BY 1, 2 HAVING sum(a.weight * b.weight) >= 0.8000001"""
+)
+def similar_parts(spark, sf_dir):
+    """Pairs of part names of TF-IDF cosine 0.8 or more, by prefix filter."""
+    from ..operators.text import similar_pairs, tfidf, word_grams
+
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name")
+    return similar_pairs(tfidf(parts, "id", word_grams(F.col("p_name")), min_df=2), "id", 0.8000001).withColumn("cosine", r6(F.col("cosine")))
+
+
+@job()
+def vector_ridge(spark, sf_dir):
+    from ..functions.scalars import hash01
+    from ..operators.text import vector_ridge as ridge
+
+    r = hash01(F.col("vec_id"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("split", F.when(r < 0.6, "train").when(r < 0.8, "val").otherwise("test"))
+    return ridge(rows, "embedding", "label", "split").select("vec_id", "label", "yhat")
+
+
+# -- response models ----------------------------------------------------------------
+
+
+def fitted(spark, sf_dir, model: str):
+    from ..operators import irt
+
+    rows, _ = written(responses.holdout(responses.prune(scored(spark, sf_dir))), "responses")
+    train = rows.where("not held").select("user_id", "question_id", "y")
+    params, trace, learners = irt.irt_fit(train, model, rounds=12 if model != "1PL" else 15, tol=0.05)
+    return irt, rows, params, learners
+
+
+@job()
+def irt_2pl_items(spark, sf_dir):
+    return fitted(spark, sf_dir, "2PL")[2]
+
+
+@job()
+def irt_criteria(spark, sf_dir):
+    """Information criteria of the 1PL and the 2PL."""
+    out = None
+    for model in ("1PL", "2PL"):
+        irt, rows, params, learners = fitted(spark, sf_dir, model)
+        part = irt.information_criteria(irt.eap(learners, params), params.count(), rows.where("not held").count(), model)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@job()
+def irt_holdout_scores(spark, sf_dir):
+    """Held-out responses under the 2PL against the additive predictor."""
+    irt, rows, params, learners = fitted(spark, sf_dir, "2PL")
+    held = rows.where("held").select("user_id", "question_id", "y")
+    a = irt.irt_predict(held, irt.eap(learners, params), params).withColumn("model", F.lit("2PL"))
+    b = responses.additive_predict(rows.where("not held"), held).withColumn("model", F.lit("additive")).select(*a.columns)
+    return metrics.binary_scores(a.unionByName(b), ["model"])
+
+
+@job()
+def irt_item_fit(spark, sf_dir):
+    irt, rows, params, learners = fitted(spark, sf_dir, "2PL")
+    return responses.item_fit(rows.where("not held"), params, irt.eap(learners, params).select("user_id", "theta"))
+
+
+@job()
+def irt_reliability(spark, sf_dir):
+    irt, _, params, learners = fitted(spark, sf_dir, "2PL")
+    return irt.reliability(irt.eap(learners, params))

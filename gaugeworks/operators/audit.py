@@ -66,7 +66,7 @@ def release(df: DataFrame, key: str, links: list[str], keep: list[str], seed: st
 
     Without a seed the order is drawn once and written, so the mapping can't be made again.
     """
-    r = F.rand() if seed is None else F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed)))
+    r = F.rand() if seed is None else F.md5(F.concat_ws("|", F.col("_old").cast("string"), F.lit(seed)))
     drawn, _ = written(df.select(F.col(key).alias("_old")).distinct().withColumn("_r", r), "release")
     mapping = indexed(drawn, ["_r", "_old"], "_new").select("_old", (F.col("_new") + 1).alias("_new"))
     out = df.join(mapping, df[key] == F.col("_old")).drop("_old", key).withColumnRenamed("_new", key)
