@@ -568,3 +568,125 @@ def irt_item_fit(spark, sf_dir):
 def irt_reliability(spark, sf_dir):
     irt, _, params, learners = fitted(spark, sf_dir, "2PL")
     return irt.reliability(irt.eap(learners, params))
+
+
+# -- further checks -----------------------------------------------------------------
+
+
+@job(
+    """SELECT lang, round(quantile_cont(n, 0.5), 6) AS median, round(quantile_cont(n, 0.95), 6) AS p95, max(n) AS most, round(avg((n > 64)::INT), 6) AS share_over
+    FROM (SELECT lang, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) AS n FROM documents) GROUP BY 1"""
+)
+def token_profile(spark, sf_dir):
+    from ..operators.text import token_profile as profile
+
+    return profile(table(spark, sf_dir, "documents"), "lang").select("lang", r6(F.col("median")).alias("median"), r6(F.col("p95")).alias("p95"), F.col("most").cast("long"), r6(F.col("share_over")).alias("share_over"))
+
+
+@job(f"SELECT doc_id, {NORM} IN (SELECT {NORM} FROM benchmark) AS same_form FROM documents")
+def benchmark_forms(spark, sf_dir):
+    from ..operators.text import overlap
+
+    return overlap(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id", "same_form")
+
+
+@job(ORACLE_SQL["duel_history"].replace("FROM h JOIN games g USING (seq) GROUP BY 1", "FROM h JOIN games g USING (seq) GROUP BY 1 HAVING max(n) FILTER (WHERE side = 0) >= 10 AND max(n) FILTER (WHERE side = 1) >= 10"))
+def experienced_duels(spark, sf_dir):
+    rows = ratings.experienced(ratings.duel_history(ordered_games(spark, sf_dir)))
+    return rows.select("id", "n_u", "n_o", r6(F.col("rate_diff")).alias("rate_diff"))
+
+
+@job(
+    f"""WITH {GAMES}, n AS (SELECT count(*) AS n FROM games), rate AS (SELECT avg(s) AS p FROM games, n WHERE seq < floor(n * 0.6) AND s <> 0.5)
+    SELECT count(*) AS n, round(avg((s - p) ** 2), 6) AS brier, round(avg((s = 0.5)::INT), 6) AS draw_share FROM games, rate, n WHERE seq >= floor(n * 0.8)""",
+    "duels",
+)
+def draw_report(spark, sf_dir):
+    """Base-rate predictor scored on the last fifth, draws included."""
+    rows = time_split(ratings.duel_outcome(view(spark, sf_dir, "duels")), ["created_at", "id"])
+    out = ratings.draw_report(ratings.base_rate(rows.where("split = 'train'"), rows.where("split = 'test'")))
+    return out.select("n", r6(F.col("brier")).alias("brier"), r6(F.col("draw_share")).alias("draw_share"))
+
+
+@job(
+    """SELECT lang, hits, n, round(hits / n, 6) AS share, round((hits / n + 1.959963984540054 ** 2 / (2 * n)) / (1 + 1.959963984540054 ** 2 / n) - 1.959963984540054 * sqrt((hits / n) * (1 - hits / n) / n + 1.959963984540054 ** 2 / (4.0 * n * n)) / (1 + 1.959963984540054 ** 2 / n), 6) AS low,
+      round((hits / n + 1.959963984540054 ** 2 / (2 * n)) / (1 + 1.959963984540054 ** 2 / n) + 1.959963984540054 * sqrt((hits / n) * (1 - hits / n) / n + 1.959963984540054 ** 2 / (4.0 * n * n)) / (1 + 1.959963984540054 ** 2 / n), 6) AS high
+    FROM (SELECT lang, count(*) FILTER (WHERE quality = 1) AS hits, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1)"""
+)
+def label_precision(spark, sf_dir):
+    """Wilson intervals of the share of good labels by language."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").groupBy("lang").agg(F.count_if(F.col("quality") == 1).alias("hits"), F.count("*").alias("n"))
+    return audit.wilson(rows, "hits", "n").select("lang", "hits", "n", *[r6(F.col(c)).alias(c) for c in ("share", "low", "high")])
+
+
+@job(
+    f"""WITH {LONG}, a AS (SELECT cat_id, avg(y) AS v FROM resp WHERE id % 2 = 0 GROUP BY 1), b AS (SELECT cat_id, avg(y) AS v FROM resp WHERE id % 2 = 1 GROUP BY 1)
+    SELECT cat_id, round(a.v, 6) AS ref, round(b.v, 6) AS new, coalesce(abs(a.v - b.v) <= 0.05, false) AS ok FROM a FULL JOIN b USING (cat_id)""",
+    "duels",
+    "rounds",
+)
+def metric_comparison(spark, sf_dir):
+    """Category accuracies of even and odd rounds held against each other."""
+    rows = ratings.unpivot_rounds(view(spark, sf_dir, "rounds"), view(spark, sf_dir, "duels"))
+    half = lambda k: rows.where(F.col("id") % 2 == k).groupBy("cat_id").agg(F.avg("y").alias("value"))
+    return audit.compare_metrics(half(0), half(1), ["cat_id"], 0.05).select("cat_id", r6(F.col("ref")).alias("ref"), r6(F.col("new")).alias("new"), "ok")
+
+
+@job(
+    "SELECT count(*) AS tables, sum(rows)::BIGINT AS rows, sum(columns)::BIGINT AS columns, 0::BIGINT AS truncated, count(*) FILTER (WHERE rows = 0) AS empty FROM (" + ORACLE_SQL["data_catalog"] + ")"
+)
+def catalog_summary(spark, sf_dir):
+    return audit.catalog_summary(audit.catalog({t: table(spark, sf_dir, t) for t in NAMES}))
+
+
+@job(
+    "SELECT count(*) FILTER (WHERE best >= 0.8) AS at_80, count(*) FILTER (WHERE best >= 0.9) AS at_90, count(*) FILTER (WHERE best >= 0.95) AS at_95 FROM (SELECT id, max(cosine) AS best FROM (SELECT i AS id, cosine FROM p UNION ALL SELECT j, cosine FROM p) GROUP BY 1)".replace("FROM p", "FROM (" + ORACLE_SQL["similar_parts"] + ")")
+)
+def near_duplicate_parts(spark, sf_dir):
+    from ..operators.text import near_duplicate_counts
+
+    return near_duplicate_counts(similar_parts(spark, sf_dir))
+
+
+@job()
+def duel_models(spark, sf_dir):
+    """Logistic regression and boosted trees on history, scored on the last fifth."""
+    from ..operators.learners import duel_boosted, duel_logit
+
+    games = time_split(ratings.duel_outcome(view(spark, sf_dir, "duels")), ["created_at", "id"])
+    rows = ratings.duel_history(games).where("s <> 0.5").withColumn("y", F.col("s").cast("int")).withColumn("log_u", F.log1p("n_u")).withColumn("log_o", F.log1p("n_o"))
+    rows, _ = written(rows, "history")
+    part = {k: rows.where(F.col("split") == k) for k in ("train", "val", "test")}
+    columns = ["rate_diff", "rate_u", "rate_o", "log_u", "log_o"]
+    a = duel_logit(part["train"], part["test"], columns).select(F.lit("logit").alias("model"), "y", "p")
+    b = duel_boosted(part["train"], part["val"], part["test"], columns).select(F.lit("boosted").alias("model"), "y", "p")
+    return metrics.binary_scores(a.unionByName(b), ["model"])
+
+
+@job()
+def metadata_boosted(spark, sf_dir):
+    """Difficulty of bank items from metadata by boosted trees, scored by split."""
+    from ..operators.learners import boosted_regression
+
+    rows = split_bank(spark, sf_dir).withColumn("log_n", F.log("n")).withColumn("n_chars", F.length("text"))
+    rows, _ = written(rows, "bank")
+    part = {k: rows.where(F.col("split") == k) for k in ("train", "val", "test")}
+    return metrics.regression_report(boosted_regression(part["train"], part["val"], part["test"], ["log_n", "n_chars"], "cat_name"), ["split"])
+
+
+@job()
+def response_elo_grid(spark, sf_dir):
+    """Scores of 5 gains and 4 decays on the responses between 60 and 80 % of the log."""
+    resp = round_responses(spark, sf_dir)
+    pred, _ = ratings.response_elo(resp, {f"{a:g}-{b:g}": {"a": a, "b": b} for a in (0.1, 0.2, 0.4, 0.8, 1.2) for b in (0.0, 0.02, 0.05, 0.1)})
+    n = resp.count()
+    return metrics.binary_scores(resp.where((F.col("seq") >= int(n * 0.6)) & (F.col("seq") < int(n * 0.8))).join(pred, "seq"), ["config"])
+
+
+@job()
+def day_bootstrap(spark, sf_dir):
+    """Calendar-day block bootstrap of the Brier score of exact Elo."""
+    games = ordered_games(spark, sf_dir)
+    pred, _ = ratings.replay(games, "elo", {"k24": {"k": 24.0}})
+    rows = games.where("s <> 0.5").join(pred, "seq").select(F.to_date("created_at").alias("day"), ((F.col("s") - F.col("p")) ** 2).alias("e"))
+    return metrics.bootstrap(rows, ["day"], {"n": F.lit(1.0), "e": F.col("e")}, {"brier": "e / n"})

@@ -102,3 +102,17 @@ def vector_ridge(df: DataFrame, vector: str, y: str, split: str) -> DataFrame:
 def category_index(train: DataFrame, df: DataFrame, column: str) -> DataFrame:
     """Category numbers learned on train; unknown ones share the last."""
     return StringIndexer(inputCol=column, outputCol=f"{column}_index", handleInvalid="keep").fit(train).transform(df)
+
+
+def token_profile(df: DataFrame, by: str, text: str = "text", limit: int = 64) -> DataFrame:
+    """Median, 95th percentile and maximum of white-space tokens, and the share over the limit, by language."""
+    n = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != ""))
+    return df.withColumn("_n", n).groupBy(by).agg(F.percentile("_n", 0.5).alias("median"), F.percentile("_n", 0.95).alias("p95"), F.max("_n").alias("most"), F.avg((F.col("_n") > limit).cast("double")).alias("share_over"))
+
+
+def near_duplicate_counts(pairs: DataFrame, thresholds: tuple[float, ...] = (0.8, 0.9, 0.95)) -> DataFrame:
+    """Items whose nearest other item reaches each threshold. pairs: (i, j, cosine) at or above the least of them."""
+    sides = pairs.select(F.col("i").alias("id"), "cosine").unionByName(pairs.select(F.col("j").alias("id"), "cosine"))
+    best = sides.groupBy("id").agg(F.max("cosine").alias("best"))
+    out = best.agg(*[F.count_if(F.col("best") >= t).alias(f"at_{round(100 * t)}") for t in thresholds])
+    return out
