@@ -11,8 +11,8 @@ all from one grouped aggregation each over the text's own best guesses on the wh
 Documents are rejected ("und") whose text is less likely under the best language than under
 trigrams drawn at random, or whose best language stays below `SURE`.
 
-Nulls: a null text counts as empty and is rejected, as is one under three bytes whose other
-evidence does not decide; null or empty hosts, addresses and declarations are no evidence.
+Nulls: a null or blank text is rejected, as is one under three bytes whose other evidence does
+not decide; null or empty hosts, addresses and declarations are no evidence.
 Ties go to the language first in order. Repeated rows give a row each. Without labelled rows
 everything is rejected.
 """
@@ -35,6 +35,8 @@ MAX_ROWS = 20_000
 #: A language needs so many labelled rows.
 LEAST = 10
 TRUST = 100.0
+#: Share of trigrams of any text that are no language's: numbers, keys, names.
+STRAY = 0.1
 SURE = 0.5
 #: Pseudo-counts of smoothing: evidence of metadata, and each step from host to domain to corpus.
 WEIGHT = 20.0
@@ -81,7 +83,7 @@ def fitted(labelled: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], np
     counts = np.full((BUCKETS, len(languages)), 0.1)
     counts[found["b"].to_numpy(np.int64), found["l"].to_numpy(np.int64)] += found["n"].to_numpy()
     share = sizes.set_index("lang")["n"].reindex(languages).to_numpy(float)
-    return languages, np.log(counts / counts.sum(axis=0)).astype(np.float32), share / share.sum()
+    return languages, np.log((1 - STRAY) * counts / counts.sum(axis=0) + STRAY / BUCKETS).astype(np.float32), share / share.sum()
 
 
 def text_likelihoods(rows: DataFrame, table: np.ndarray) -> DataFrame:
@@ -150,7 +152,7 @@ def identified(docs: DataFrame, keys: list[str], text: str = "text", label: str
     none = F.lit("")
     host_col = F.coalesce(host if host is not None else host_of(url) if url is not None else none, none)
     suffix = F.when(host_col.contains("."), F.element_at(F.split(host_col, r"\."), -1)).otherwise(none)
-    rows = docs.select(*keys, F.col(text).cast("string").alias("text"), host_col.alias("host"), suffix.alias("suffix"), F.coalesce(markup if markup is not None else markup_of(F.col(text)), none).alias("markup"))
+    rows = docs.select(*keys, F.col(text).cast("string").alias("text"), host_col.alias("host"), suffix.alias("suffix"), F.coalesce(markup if markup is not None else markup_of(F.col(text)), none).alias("markup"), (F.length(F.trim(F.coalesce(F.col(text), none))) > 0).alias("written"))
     if not languages:
         return rows.select(*keys, F.lit("und").alias("language"), F.lit(0.0).alias("confidence"), F.lit("und").alias("text_language"), F.lit(False).alias("kept"))
     n = len(languages)
@@ -167,7 +169,7 @@ def identified(docs: DataFrame, keys: list[str], text: str = "text", label: str
     total = F.aggregate("log", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("top")))
     best = F.array_position("log", F.col("top")).cast("int")
     names = F.array(*[F.lit(x) for x in languages])
-    likely = (F.col("n_trigrams") > 0) & (F.element_at("loglik", best) / F.col("n_trigrams") > float(-np.log(BUCKETS)))
+    likely = F.col("written") & ((F.col("n_trigrams") == 0) | (F.element_at("loglik", best) > F.col("n_trigrams") * float(-np.log(BUCKETS))))
     sure = 1 / total
     kept = likely & (sure >= SURE)
     return fused.select(*keys, F.when(kept, F.element_at(names, best)).otherwise("und").alias("language"), sure.alias("confidence"), F.element_at(names, F.col("guess") + 1).alias("text_language"), kept.alias("kept"))

@@ -200,6 +200,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     """docs with its texts redacted, n_chars as of the new text where there is that column."""
     own = "_".join(["found_spans", *docs.columns])  # no name of docs
     spans = found_spans(docs).where(F.exists("spans", lambda s: s["kind"] == 4)).select(F.col("key").alias(f"{own}_key"), F.col("spans").alias(own)).dropDuplicates([f"{own}_key"])
+    spans, _ = written(spans, "term-spans")  # few texts have any; Spark broadcasts them if they are small
     joined = docs.join(spans, F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")) == F.col(f"{own}_key"), "left").drop(f"{own}_key")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
