@@ -690,3 +690,20 @@ def day_bootstrap(spark, sf_dir):
     pred, _ = ratings.replay(games, "elo", {"k24": {"k": 24.0}})
     rows = games.where("s <> 0.5").join(pred, "seq").select(F.to_date("created_at").alias("day"), ((F.col("s") - F.col("p")) ** 2).alias("e"))
     return metrics.bootstrap(rows, ["day"], {"n": F.lit(1.0), "e": F.col("e")}, {"brier": "e / n"})
+
+
+@job()
+def new_learner_scores(spark, sf_dir):
+    """The 2PL on answers of learners it was not fitted on."""
+    from ..operators import irt
+
+    return metrics.binary_scores(irt.new_learner_holdout(responses.prune(scored(spark, sf_dir))), [])
+
+
+@job()
+def series_abilities(spark, sf_dir):
+    from ..operators import irt
+
+    rows, _ = written(responses.prune(scored(spark, sf_dir)), "responses")
+    params, _, _ = irt.irt_fit(rows.select("user_id", "question_id", "y"), "1PL", rounds=8, tol=0.5)
+    return irt.series_ability(rows, params)

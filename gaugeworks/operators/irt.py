@@ -177,3 +177,30 @@ def item_difficulty(rows: DataFrame, mu: float = 0.0, s2: float = 9.0, a: float
         move = (F.col("g") - (F.col("b") - mu) / s2) / (F.col("h") + 1 / s2)
         state, _ = written(sums.select("question_id", (F.col("b") + F.least(F.greatest(move, F.lit(-1.0)), F.lit(1.0))).alias("b")), "difficulty")
     return state
+
+
+def new_learner_holdout(resp: DataFrame, model: str = "2PL", seed: int = 0, rounds: int = 15) -> DataFrame:
+    """Held-out answers of new learners: parameters from 80 % of the learners, ability from half of
+    the answers of the rest, p for the other half. Shares are hashed, so partitioning has no say."""
+    from ..functions.scalars import hash01
+
+    new = hash01(F.col("user_id"), seed=seed) < 0.2
+    seen = hash01(F.col("user_id"), F.col("question_id"), seed=seed + 1) < 0.5
+    rows, _ = written(resp.select("user_id", "question_id", "y").withColumn("_new", new).withColumn("_seen", seen), "new-learners")
+    params, _, _ = irt_fit(rows.where("not _new").drop("_new", "_seen"), model, rounds=rounds, tol=0.05)
+    ability = eap(packed(rows.where("_new and _seen").drop("_new", "_seen")), params)
+    return irt_predict(rows.where("_new and not _seen").drop("_new", "_seen"), ability, params)
+
+
+def series_ability(resp: DataFrame, params: DataFrame) -> DataFrame:
+    """Abilities of learners in two series, each from its own items: n, r, reliabilities and disattenuated r by pair of series."""
+    parts = None
+    for s in [r[0] for r in resp.select("series_id").distinct().orderBy("series_id").collect()]:  # a row per series
+        one = eap(packed(resp.where(F.col("series_id") == s)), params).select("user_id", F.lit(s).alias("series"), "theta", "sd")
+        parts = one if parts is None else parts.unionByName(one)
+    parts, _ = written(parts, "series")
+    v = F.var_pop("theta")
+    rel = parts.groupBy("series").agg((v / (v + F.avg(F.col("sd") ** 2))).alias("rel"))
+    pairs = parts.alias("a").join(parts.alias("b"), F.expr("a.user_id = b.user_id and a.series < b.series")).groupBy(F.col("a.series").alias("series_a"), F.col("b.series").alias("series_b")).agg(F.count("*").alias("n"), F.corr("a.theta", "b.theta").alias("r"))
+    out = pairs.join(rel.select(F.col("series").alias("series_a"), F.col("rel").alias("rel_a")), "series_a").join(rel.select(F.col("series").alias("series_b"), F.col("rel").alias("rel_b")), "series_b")
+    return out.withColumn("r_disattenuated", F.col("r") / F.sqrt(F.col("rel_a") * F.col("rel_b")))
