@@ -19,12 +19,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     spark = edges.sparkSession
     pair = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where(f"{a} is not null and {b} is not null").where("hi <> lo").distinct()
     now, path = written(pair, "edges")
-    last = None
     while True:
-        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")).first()
-        if mark == last or not mark["n"]:
+        # done when every node hangs on one node that hangs on none
+        ends = now.groupBy(F.col("hi").alias("end")).agg(F.count("*").alias("n"))
+        if ends.where("n > 1").isEmpty() and now.join(ends, F.col("lo") == F.col("end"), "left_semi").isEmpty():
             break
-        last = mark
         both = now.unionByName(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         least = both.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, both["hi"] == least["u"]).where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
