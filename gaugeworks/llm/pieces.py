@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from .arrow_text import ranges, starts_of, strings_of, text_slices, texts_of, utf8_views
 
 SPACE = "▁"
-MEMORY = 300_000
+#: Distinct chunks, and pairs of pieces, that a task remembers; beyond it the memory starts anew.
+MEMORY, PAIRS = 600_000, 1_000_000
 
 
 class PieceModel:
@@ -93,7 +94,7 @@ class PieceModel:
         key = (last + 1 << 20) | i
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 4 * MEMORY:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             want = [self.piece[i]] if last < 0 else [self.piece[last], self.piece[i]]
             known = self.pairs[key] = self._merged("".join(want)) == want

@@ -52,7 +52,10 @@ def repeated_words(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         if most >= 1 << 21:  # three codes don't fit an integer
             _, key = np.unique(key, return_inverse=True)
         key = (key * most + codes[2:])[place]
-        order = np.argsort(key, kind="stable")  # equal windows stay in the order of their texts
+        if most**3 * len(counts) < 1 << 63:  # the text fits into the key as well
+            order = np.argsort(doc[place] * most**3 + key)
+        else:
+            order = np.argsort(key, kind="stable")  # equal windows stay in the order of their texts
         same = (key[order][1:] == key[order][:-1]) & (doc[place][order][1:] == doc[place][order][:-1])
         twice = np.zeros(len(place), bool)
         twice[order[1:][same]] = True
