@@ -31,7 +31,7 @@ from .arrow_text import ranges, starts_of, strings_of, text_slices, texts_of, ut
 
 SPACE = "▁"
 #: Distinct chunks, and pairs of pieces, that a task remembers; beyond it the memory starts anew.
-MEMORY, PAIRS = 600_000, 1_000_000
+MEMORY, PAIRS = 300_000, 1_000_000
 
 
 class PieceModel:
