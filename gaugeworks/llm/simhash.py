@@ -1,16 +1,18 @@
 """Operator 3: near copies by SimHash, compared on vertical bit planes.
 
-Fingerprints are made inside tasks from XXH64 of word shingles. Equal fingerprints collapse to
-their smallest doc_id first, so copies never make pairs. Two ways to bucket what is compared:
+Fingerprints are made inside tasks from XXH64 of word shingles. Equal fingerprints (for a similarity:
+equal sets of shingles) collapse to their smallest doc_id first, so copies never make pairs. Two ways to bucket what is compared:
 
 * small radius (`close_links`, exact): a fingerprint of 64 bits in radius + 2 chunks; two within
   the radius agree in two chunks at least, so each pair of chunks is a key. A key with more than
   HOT fingerprints is dealt anew by pairs of four chunks of its other bits; then at most 2^16
   fingerprints share a key.
-* similarity (`similar_links`): 512 bits, radius from the angle of the similarity; the smallest
-  shingle under each of `ANCHORS` orders is a key (two texts of Jaccard similarity s share one with
-  probability 1 - (1 - s)^6). Keys with more than HOT rows are dealt anew by pairs of anchors, and
-  what is still hot by pairs of blocks, so no bucket grows with the corpus and no pair is lost.
+* similarity (`similar_links`): 512 bits of the distinct shingles, radius from the angle of the
+  similarity; the smallest shingle under each of `ANCHORS` orders is a key (two texts of Jaccard
+  similarity s share one with probability 1 - (1 - s)^6). Keys with more than HOT rows are dealt
+  anew by pairs of anchors, and what is still hot by pairs of blocks. These
+  links only propose groups: `exact_links` compares the distinct shingle hashes inside each group
+  and keeps the pairs whose Jaccard similarity is reached. Texts of one set of shingles are equal.
 
 Nulls: a null text is empty; a text without words has fingerprint zero and links like any other.
 Rows of one doc_id count as one document; a row whose doc_id is null takes the component of an
@@ -31,14 +33,18 @@ from pyspark.sql import functions as F
 
 from ..operators.graphs import connected_components
 from ..sources.scratch import drop, written
-from .arrow_text import ascii_words, starts_of, text_slices, texts_of
-from .bitslice import linked
+from .arrow_text import ascii_words, ranges, starts_of, text_slices, texts_of
+from .bitslice import linked, merged
 
 HOT = 16384
+#: Rows of a group whose shingles are compared in one task; a larger group is dealt by pairs of blocks of half as many.
+GROUP = 2048
 ANCHORS = 6
 #: Bits of fingerprints that estimate a similarity: at 0.8 the estimate of a pair has a deviation of 1.6 % of them.
 BITS = 512
 SEED = 42
+#: Deviations that the radius of proposals adds to the bits expected at the similarity.
+SPREAD = 3.5
 #: Lanes of one byte for each bit of a byte: sums of up to 255 of them don't overflow.
 LANES = np.array([sum((b >> i & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 
@@ -100,12 +106,38 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1, anchors: int = 0) -> DataFrame:
-    """(doc_id, prints array<long>, anchors array<long>) of every whole text."""
+def distinct_hashes(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each text in order, and their number by text."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((hashes, owner))  # owner is in order already
+    hashes = hashes[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[new], np.bincount(owner[new], minlength=len(counts)).astype(np.int64)
+
+
+def set_digests(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """128 bits [texts, 2] of each text's set of hashes."""
+    import xxhash
+
+    at = starts_of(counts)
+    view = memoryview(np.ascontiguousarray(hashes).view(np.uint8))
+    out = b"".join(xxhash.xxh3_128_digest(view[8 * a : 8 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist()))
+    return np.frombuffer(out, np.uint64).reshape(-1, 2)
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1, anchors: int = 0, sets: bool = False) -> DataFrame:
+    """(doc_id, prints array<long>, anchors array<long>, same array<long>) of every whole text.
+
+    With `sets`, a repeated shingle counts once and same tells sets of shingles apart; else it is empty.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, most=1 << 20):
             hashes, counts = shingle_hashes(texts_of(part), shingle)
+            if sets:
+                hashes, counts = distinct_hashes(hashes, counts)
+            same = set_digests(hashes, counts) if sets else np.zeros((len(counts), 0), np.uint64)
             prints = np.stack([majority(mixed(hashes, i) if i else hashes, counts) for i in range(lanes)], axis=1)
             smallest = np.zeros((len(counts), anchors), np.uint64)
             some = np.flatnonzero(counts)
@@ -113,9 +145,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1, anchors: int
                 for j in range(anchors):
                     smallest[some, j] = np.minimum.reduceat(mixed(hashes, 100 + j), starts_of(counts)[some])
             rows = len(counts)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1).view(np.int64))) for x in (prints, smallest))], ["doc_id", "prints", "anchors"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1).view(np.int64))) for x in (prints, smallest, same))], ["doc_id", "prints", "anchors", "same"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(make, "doc_id long, prints array<long>, anchors array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(make, "doc_id long, prints array<long>, anchors array<long>, same array<long>")
 
 
 def bucket_links(keyed: DataFrame, radius: int) -> DataFrame:
@@ -192,14 +224,92 @@ def similar_links(nodes: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
     pairs = F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda s: F.xxhash64("key", s, F.element_at("anchors", (F.col("j") + s) % ANCHORS + 1)))
     again = many.drop("n").withColumn("key", F.explode(pairs))
     few2, many2 = split_hot(again, hot)
-    blocks = F.ceil(F.col("n") / F.lit(hot // 2)).cast("long")
-    own = F.pmod(F.xxhash64("node"), blocks)
-    dealt = many2.select("node", "prints", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.xxhash64("key", F.least(o, own), F.greatest(o, own)))).alias("key"))
     cols = ["key", "node", "prints"]
-    return bucket_links(few.select(*cols).unionByName(few2.select(*cols)).unionByName(dealt.select(*cols)), radius)
+    return bucket_links(few.select(*cols).unionByName(few2.select(*cols)).unionByName(by_blocks(many2, hot // 2).select(*cols)), radius)
+
+
+def by_blocks(many: DataFrame, block: int) -> DataFrame:
+    """Rows of large keys (key, node, n), dealt anew by pairs of blocks: any two rows of a key meet."""
+    blocks = F.ceil(F.col("n") / F.lit(block)).cast("long")
+    own = F.pmod(F.xxhash64("node"), blocks)
+    return many.withColumn("key", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.xxhash64("key", F.least(o, own), F.greatest(o, own)))))
 
 
-def radius_of(similarity: float, bits: int = BITS, spread: float = 2.5) -> int:
+def alike(flat: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """For texts of distinct hashes: the smallest row that pairs of this Jaccard similarity lead to.
+
+    Each row is compared with all rows not joined to it yet; rows whose shingles are common in the
+    group come first, as they join most.
+    """
+    label = np.arange(len(counts))
+    some = np.flatnonzero(counts)
+    if not len(some):
+        return label
+    values, codes, held = np.unique(flat, return_inverse=True, return_counts=True)
+    at = starts_of(counts)
+    common = np.zeros(len(counts))
+    common[some] = np.add.reduceat(held[codes], at[some]) / counts[some]
+    left = counts > 0
+    mark = np.zeros(len(values), np.int64)
+    for p in some[np.argsort(-common[some], kind="stable")]:
+        left[p] = False
+        n = counts[p]
+        small, large = np.minimum(counts, n), np.maximum(counts, n)
+        todo = np.flatnonzero(left & (label != label[p]) & (small >= similarity * large - 1e-9))
+        if not len(todo):
+            continue
+        mine = codes[at[p] : at[p + 1]]
+        mark[mine] = 1
+        both = np.add.reduceat(mark[codes[ranges(at[todo], counts[todo])]], starts_of(counts[todo])[:-1])
+        mark[mine] = 0
+        near = todo[both >= similarity * (n + counts[todo] - both) - 1e-9]
+        merged(label, np.full(len(near), p), near)
+    return label
+
+
+def exact_links(docs: DataFrame, groups: DataFrame, shingle: int, similarity: float, most: int | None = None) -> DataFrame:
+    """(a, b): a spanning set of the pairs of this Jaccard similarity inside each group (node, component) of doc_ids."""
+    most = most or GROUP
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, most=1 << 20):
+            hashes, counts = distinct_hashes(*shingle_hashes(texts_of(part), shingle))
+            at = pa.array(starts_of(counts).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("node"), pa.ListArray.from_arrays(at, pa.array(hashes.view(np.int64)))], ["key", "node", "hashes"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []  # one worker makes the sets and compares them
+
+        def flush() -> pa.RecordBatch:
+            table = pa.concat_tables(held).combine_chunks()
+            node = table["node"].to_numpy()
+            counts = pc.list_value_length(table["hashes"]).to_numpy().astype(np.int64)
+            label = alike(pc.list_flatten(table["hashes"]).to_numpy(), counts, similarity)
+            at = np.flatnonzero(label != np.arange(len(label)))
+            return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[label[at]])], ["a", "b"])
+
+        for batch in sets(batches):
+            key = batch.column("key").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            for x, y in zip(cuts, cuts[1:]):
+                if held and key[x] != last:
+                    yield flush()
+                    held = []
+                last = key[x]
+                held.append(pa.Table.from_batches([batch.slice(x, y - x)]))
+        if held:
+            yield flush()
+
+    sized = groups.join(groups.groupBy("component").agg(F.count("*").alias("n")), "component").select(F.col("component").alias("key"), "node", "n")
+    sized, _ = written(sized, "groups")  # small: Spark then knows its size
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+    rows = texts.join(sized, "node").select("key", "node", "n", "text")
+    cols = ["key", "node", "text"]
+    dealt = rows.where(F.col("n") <= most).select(*cols).unionByName(by_blocks(rows.where(F.col("n") > most), most // 2).select(*cols))
+    return dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(link, "a long, b long").distinct()
+
+
+def radius_of(similarity: float, bits: int = BITS, spread: float = SPREAD) -> int:
     """Bits in which texts of this Jaccard similarity differ: the angle's share, plus `spread` deviations."""
     p = acos(2 * similarity / (1 + similarity)) / pi
     return round(bits * p + spread * (bits * p * (1 - p)) ** 0.5)
@@ -208,16 +318,19 @@ def radius_of(similarity: float, bits: int = BITS, spread: float = 2.5) -> int:
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float | None = 0.8, radius: int = 2) -> DataFrame:
     """(doc_id, prints, component_id) of every row; component_id is the smallest doc_id reachable.
 
-    With `similarity`, links are estimated on 512 bits; without, they are all pairs of 64-bit
-    fingerprints within `radius`.
+    With `similarity`, links are the pairs of this Jaccard similarity of distinct shingles that 512
+    bits propose; without, they are all pairs of 64-bit fingerprints within `radius`.
     """
     spark = docs.sparkSession
-    made = fingerprints(docs, shingle) if similarity is None else fingerprints(docs, shingle, BITS // 64, ANCHORS)
+    made = fingerprints(docs, shingle).withColumn("same", F.col("prints")) if similarity is None else fingerprints(docs, shingle, BITS // 64, ANCHORS, sets=True)
     rows, _ = written(made, "prints")
-    nodes, path = written(rows.groupBy("prints").agg(F.min("doc_id").alias("node"), F.min("anchors").alias("anchors")), "nodes")
+    nodes, path = written(rows.groupBy("same").agg(F.min("doc_id").alias("node"), F.min("prints").alias("prints"), F.min("anchors").alias("anchors")), "nodes")
     known = nodes.where("node is not null")
-    links = close_links(known, radius) if similarity is None else similar_links(known, radius_of(similarity))
+    if similarity is None:
+        links = close_links(known, radius)
+    else:
+        links = exact_links(docs, connected_components(similar_links(known, radius_of(similarity))), shingle, similarity)
     parts = connected_components(links).withColumnRenamed("node", "n")
-    labelled = nodes.join(parts, nodes["node"] == parts["n"], "left").select("prints", F.coalesce("component", "node").alias("component_id"))
-    found = rows.select("doc_id", "prints").join(labelled, "prints")
+    labelled = nodes.join(parts, nodes["node"] == parts["n"], "left").select("same", F.coalesce("component", "node").alias("component_id"))
+    found = rows.select("doc_id", "prints", "same").join(labelled, "same")
     return found.select("doc_id", "prints", "component_id")

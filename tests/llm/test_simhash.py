@@ -103,3 +103,32 @@ def test_null_ids_and_no_rows(spark):
     got = sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.near_copies(docs, 3, None).collect())
     assert got == [(-1, -1), (-1, 4), (4, 4), (4, 4)]
     assert simhash.near_copies(docs.limit(0), 3, None).count() == 0
+
+
+def exact_groups(texts, similarity):
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = {k: shingles(t) for k, t in texts.items()}
+    return brute_components(list(texts), lambda a, b: len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]))
+
+
+@pytest.mark.parametrize("most", [simhash.GROUP, 4])
+def test_similar_texts_reach_the_exact_similarity(spark, most, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP", most)
+    rnd = random.Random(9)
+    texts = {}
+    for g in range(12):
+        words = [f"v{rnd.randrange(5000)}" for _ in range(300)]
+        for edits in (0, 5, 6, 9, 9, 9, 10):  # similarity to the first from 0.84 to 0.71
+            mine = list(words)
+            for place in rnd.sample(range(10, 290), edits):
+                mine[place] = f"new{rnd.randrange(10**6)}"
+            texts[len(texts)] = " ".join(mine)
+    line = [f"r{k}" for k in range(15)]
+    texts[len(texts)] = " ".join(line * 400)
+    texts[len(texts)] = " ".join(line * 400 + [f"q{k}" for k in range(60)])  # few of its distinct shingles are shared
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs, 5, 0.8).collect()}
+    assert got == exact_groups(texts, 0.8)
