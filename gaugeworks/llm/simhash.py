@@ -10,7 +10,7 @@ equal sets of shingles) collapse to their smallest doc_id first, so copies never
 * similarity (`similar_links`): 512 bits of the distinct shingles, radius from the angle of the
   similarity; the smallest shingle under each of `ANCHORS` orders is a key (two texts of Jaccard
   similarity s share one with probability 1 - (1 - s)^6). Keys with more than HOT rows are dealt
-  anew by pairs of anchors, and what is still hot by pairs of blocks. These
+  anew by pairs of blocks, so no bucket grows with the corpus and no pair of a key is lost. These
   links only propose groups: `exact_links` compares the distinct shingle hashes inside each group
   and keeps the pairs whose Jaccard similarity is reached. Texts of one set of shingles are equal.
 
@@ -221,11 +221,8 @@ def similar_links(nodes: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
     """(a, b): links of (node, prints, anchors) within the radius among rows that share an anchor."""
     keyed = nodes.select("node", "prints", "anchors", F.posexplode("anchors").alias("j", "x")).withColumn("key", F.xxhash64("j", "x")).drop("x")
     few, many = split_hot(keyed, hot)
-    pairs = F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda s: F.xxhash64("key", s, F.element_at("anchors", (F.col("j") + s) % ANCHORS + 1)))
-    again = many.drop("n").withColumn("key", F.explode(pairs))
-    few2, many2 = split_hot(again, hot)
     cols = ["key", "node", "prints"]
-    return bucket_links(few.select(*cols).unionByName(few2.select(*cols)).unionByName(by_blocks(many2, hot // 2).select(*cols)), radius)
+    return bucket_links(few.select(*cols).unionByName(by_blocks(many, hot // 2).select(*cols)), radius)
 
 
 def by_blocks(many: DataFrame, block: int) -> DataFrame:

@@ -132,3 +132,15 @@ def test_similar_texts_reach_the_exact_similarity(spark, most, monkeypatch):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     got = {r.doc_id: r.component_id for r in simhash.near_copies(docs, 5, 0.8).collect()}
     assert got == exact_groups(texts, 0.8)
+
+
+def test_hot_anchors_lose_no_pair(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(40):  # pairs differ in 24 bits and share one anchor, which all rows have
+        prints = rng.integers(-(2**62), 2**62, 8)
+        for c in (0, 1):
+            rows.append((2 * k + c, [int(x) ^ (7 * c) for x in prints], [1, *(int(x) for x in rng.integers(2, 2**60, 5))]))
+    nodes = spark.createDataFrame(rows, "node long, prints array<long>, anchors array<long>")
+    want = {tuple(r) for r in simhash.similar_links(nodes, 30).collect()}
+    assert len(want) == 40 and {tuple(r) for r in simhash.similar_links(nodes, 30, 5).collect()} == want
