@@ -1,7 +1,7 @@
 """Operator 8: language by Bayesian fusion of text and metadata evidence.
 
 Text likelihoods are multinomial over hashed byte trigrams, fitted on at most about `MAX_ROWS`
-labelled rows; at most `TRUST` trigrams' worth of evidence counts, as neighbouring trigrams are
+labelled rows of each language; at most `TRUST` trigrams' worth of evidence counts, as neighbouring trigrams are
 not independent. Declared mark-up language, address suffix and host come in as further evidence:
 
 * P(declared | language) and P(suffix | language) are smoothed relative frequencies,
@@ -31,6 +31,7 @@ from ..sources.scratch import written
 from .arrow_text import starts_of, text_slices, texts_of, utf8_views
 
 BUCKETS = 1 << 16
+#: Labelled rows of one language that are learned from, about.
 MAX_ROWS = 20_000
 #: A language needs so many labelled rows.
 LEAST = 10
@@ -62,12 +63,12 @@ def fitted(labelled: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], np
 
     Counting is distributed; the driver gets at most a row per language and trigram bucket.
     """
-    sizes = labelled.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "lang").limit(64).toPandas()
+    sizes = labelled.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).toPandas()
     languages = sorted(sizes["lang"])
     if not languages:
         return [], np.zeros((BUCKETS, 0), np.float32), np.zeros(0)
-    total = int(sizes["n"].sum())
-    cut = int(1_000_000 * min(1.0, max_rows / total))
+    cuts = [x for lang, n in zip(sizes["lang"], sizes["n"]) for x in (F.lit(lang), F.lit(int(np.ceil(1_000_000 * min(1.0, max_rows / n)))))]
+    cut = F.element_at(F.create_map(*cuts), F.col("lang").cast("string"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(languages), BUCKETS), np.int64)

@@ -61,3 +61,20 @@ def test_host_suffix_and_markup_decide_short_texts(spark):
 def test_address_parts(spark):
     df = spark.createDataFrame([("https://u:p@Www.A.de:80/x", '<html class=a lang="FR-fr">'), ("nothing", "no"), (None, None)], "u string, t string")
     assert [tuple(r) for r in df.select(g.host_of(F.col("u")), g.markup_of(F.col("t"))).collect()] == [("www.a.de", "fr"), ("", ""), (None, None)]
+
+
+def test_rare_languages_are_learned(spark):
+    rnd = random.Random(8)
+    word = lambda lang: "".join(rnd.choice(SYLLABLES[lang]) for _ in range(rnd.randint(1, 3)))
+    rows = [(k, " ".join(word(lang) for _ in range(20)), lang) for k, lang in enumerate(["en", "de"] * 6000 + ["fr"] * 12)]  # fr: 0.1 %
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    rare = docs.where("lang = 'fr'")
+    trained = g.fitted(docs, max_rows=100)
+    assert np.allclose(trained[1][:, trained[0].index("fr")], g.fitted(rare)[1][:, 0])  # all its rows are used
+    got = g.identified(rare, ["doc_id"], trained=trained).collect()
+    assert len(got) == 12 and all(r.language == "fr" for r in got)
+
+
+def test_all_languages_have_a_column(spark):
+    rows = [(k, f"text of {k % 70}", f"l{k % 70}") for k in range(70 * g.LEAST)]
+    assert len(g.fitted(spark.createDataFrame(rows, "doc_id long, text string, lang string"))[0]) == 70
