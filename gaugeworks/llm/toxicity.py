@@ -17,11 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import ascii_words, ranges, starts_of, text_slices, texts_of, utf8_views
-from .word_tokens import parted
 
 MAX_ROWS = 1500
 MAX_CHARS = 6000
@@ -34,15 +34,53 @@ EPOCHS, BATCH, RATE = 12, 64, 0.02
 # -- inputs -----------------------------------------------------------------
 
 
+#: 1: ASCII letters and bytes of other characters; 2: ASCII digits; 0: marks, white space and control.
+KIND = np.array([1 if b >= 128 or chr(b).isalpha() else 2 if chr(b).isdigit() else 0 for b in range(256)], np.uint8)
+
+
+def plain(texts: pa.Array) -> pa.Array:
+    """Lower-cased texts with spaces for marks, each text by itself.
+
+    Marks between digits and apostrophes inside a word stay.
+    """
+    offsets, data = utf8_views(pc.utf8_lower(texts))
+    low = int(offsets[0])
+    data, offsets = data[low : int(offsets[-1])].copy(), offsets - low
+    if not len(data):
+        return texts
+    kind = KIND[data]
+    high = np.flatnonzero((data[:-1] == 0xE2) & (data[1:] == 0x80))
+    high = high[(data[np.minimum(high + 2, len(data) - 1)] >= 0x90)]  # dashes, quotes, bullets, dots
+    tick = np.isin(data[high + 2], (0x98, 0x99))
+    latin = np.flatnonzero((data[:-1] == 0xC2) & np.isin(data[1:], (0xA1, 0xAB, 0xBB, 0xBF)))
+    for k in range(3):
+        kind[high + k] = 0
+    kind[latin] = kind[latin + 1] = 0
+    before, after = np.zeros(len(data) + 1, np.uint8), np.zeros(len(data) + 3, np.uint8)
+    before[1:], after[: len(data)] = kind, kind
+    edge = offsets[(offsets > 0) & (offsets < len(data))]
+
+    def kinds(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Kinds of the bytes around, 0 beyond the text."""
+        return np.where(np.isin(first, edge), 0, before[first]), np.where(np.isin(first + size, edge), 0, after[first + size])
+
+    keep = kind > 0
+    marks = np.flatnonzero((kind == 0) & (data > 32) & (data < 127))
+    left, right = kinds(marks, 1)
+    inside = np.where(data[marks] == 39, (left > 0) & (right > 0), (left == 2) & (right == 2))
+    keep[marks[inside]] = True
+    left, right = kinds(high[tick], 3)
+    inner = high[tick][(left > 0) & (right > 0)]
+    for k in range(3):
+        keep[inner + k] = True
+    data[~keep] = 32
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(data))
+
+
 def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """Lower-cased words without their marks, dictionary-coded, and their number by text."""
-    words, counts = ascii_words(parted(texts))
-    words = words.cast(pa.large_string())
-    offsets, data = utf8_views(words)
-    first = data[offsets[:-1]] if len(words) else np.zeros(0, np.uint8)
-    keep = (first >= 128) | ((first >= 97) & (first <= 122)) | ((first >= 65) & (first <= 90)) | ((first >= 48) & (first <= 57))
-    at = starts_of(keep.astype(np.int64))[starts_of(counts)]
-    return words.filter(pa.array(keep)).dictionary_encode(), at[1:] - at[:-1]
+    words, counts = ascii_words(plain(texts))
+    return words.cast(pa.large_string()).dictionary_encode(), counts
 
 
 def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -75,3 +75,16 @@ def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert t.toxicity(docs, none).first()["score"] == 0 and t.toxicity(docs.limit(0), none).count() == 0
+
+
+def test_words_do_not_depend_on_marks_or_neighbours():
+    texts = ["Idiot!", "'idiot' (Idiot) *idiot*", "don't", "\u201cIDIOT\u201d caf\u00e9, 3.5", "a <|end|> b", "", "it\u2019s \u2018mean\u2019", "idiot'", "x"]
+    want = [["idiot"], ["idiot"] * 3, ["don't"], ["idiot", "caf\u00e9", "3.5"], ["a", "end", "b"], [], ["it\u2019s", "mean"], ["idiot"], ["x"]]
+
+    def words(part):
+        coded, counts = t.words_of(pa.array(part, pa.string()))
+        flat = coded.to_pylist()
+        return [flat[sum(counts[:k]) : sum(counts[: k + 1])] for k in range(len(counts))]
+
+    assert words(texts) == want and [words([x])[0] for x in texts] == want
+    assert words([]) == []
