@@ -4,7 +4,8 @@ The standard library's parser streams the page's events into lines, one for each
 with the tags met since the line before. Text-to-tag ratios of the lines are smoothed by a
 Gaussian and split into two clusters; the upper one marks the content regions. Lines of elements
 that name themselves navigation, advert, notice, form, comment and so on have ratio zero and
-are never content. The content region lies in one container (an article or main element, else
+are never content, unless a name only describes a layout or the element holds a main element or
+nearly all of the text. The content region lies in one container (article or main elements that hold most of its text, else
 the smallest element that holds nearly all of its text); that container's other lines come
 along, so short paragraphs of an article stay.
 
@@ -31,19 +32,31 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 APART = frozenset("aside button canvas datalist dialog footer form head iframe menu nav noscript object script search select style svg template textarea title".split())
 #: Words of class, id and role that name something apart from the article.
 NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|complementary|consent|contentinfo|cookie|cookies|disqus|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|popup|promo|promoted|promotion|related|replies|reply|search|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+#: Names that only describe a layout: has-sidebar, no-comments.
+LAYOUT = re.compile(r"(?:^|[_-])(?:has|no|with|without)[_-]", re.I)
+#: Elements of a head; any other one ends it.
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 HOLDS_ARTICLE = frozenset({"article", "main"})
 #: Lines over which the ratio is smoothed, as a standard deviation.
 SPREAD = 1.0
 
 
+def names_apart(value: str) -> bool:
+    return any(NAMES.search(x) and not LAYOUT.search(x) for x in value.split())
+
+
 class Lines(HTMLParser):
-    """Lines of a page: text, tags since the line before, whether it is apart, and its open containers."""
+    """Lines of a page: text, tags since the line before, whether it is apart, and its open containers.
+
+    `named` holds the block containers that are apart by their names only; lines don't count these.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
         self.open: list[tuple[str, int, bool]] = []
         self.kinds: list[str] = []
+        self.named: set[int] = set()
         self.parts: list[str] = []
         self.tags = 0
 
@@ -54,21 +67,32 @@ class Lines(HTMLParser):
             self.lines.append((text, self.tags, any(apart for tag, _, apart in self.open if tag in BLOCK), tuple(k for _, k, _ in self.open)))
             self.tags = 0
 
+    def end_head(self) -> None:
+        self.cut()
+        self.close_to("head")
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        if tag == "body" or (self.open and self.open[-1][0] == "head" and tag not in IN_HEAD):
+            self.end_head()
         if tag == "br":
             self.parts.append(" ")
         if tag in BLOCK:
             self.cut()
         if tag in VOID:
             return
-        named = tag not in ("html", "body", "article", "main") and any(k in ("class", "id", "role", "aria-label") and v and NAMES.search(v) for k, v in attrs)
+        named = tag not in ("html", "body", "article", "main") and any(k in ("class", "id", "role", "aria-label") and v and names_apart(v) for k, v in attrs)
         if tag in BLOCK or tag in APART or named or any(t == tag for t, _, _ in self.open):
             if tag == "p":  # a p ends an open p
                 self.close_to("p", stop=BLOCK - {"p"})
             inside = any(t in HOLDS_ARTICLE for t, _, _ in self.open)
             hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
-            self.open.append((tag, len(self.kinds), tag in APART or named or hidden or (tag == "header" and not inside)))
+            apart = tag in APART or hidden or (tag == "header" and not inside)
+            if named and tag in BLOCK and not apart:
+                self.named.add(len(self.kinds))
+            if tag == "main":  # what holds it is no side matter
+                self.named.difference_update(k for _, k, _ in self.open)
+            self.open.append((tag, len(self.kinds), apart or (named and tag not in BLOCK)))
             self.kinds.append(tag)
 
     def handle_startendtag(self, tag, attrs):
@@ -91,6 +115,8 @@ class Lines(HTMLParser):
         self.close_to(tag)
 
     def handle_data(self, data):
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self.end_head()
         if not any(apart and tag not in BLOCK for tag, _, apart in self.open):
             self.parts.append(data)
 
@@ -125,7 +151,13 @@ def main_text(html: str) -> str:
     parser.feed(html)
     parser.close()
     parser.cut()
-    lines = parser.lines
+    whole = sum(len(text) for text, _, apart, _ in parser.lines if not apart)
+    held = dict.fromkeys(parser.named, 0)
+    for text, _, apart, boxes in parser.lines:
+        for box in () if apart else parser.named.intersection(boxes):
+            held[box] += len(text)
+    aside = {box for box, n in held.items() if n < 0.9 * whole}
+    lines = [(text, tags, apart or not aside.isdisjoint(boxes), boxes) for text, tags, apart, boxes in parser.lines]
     size = np.array([0 if apart else len(text) for text, _, apart, _ in lines], float)
     if not size.any():
         return ""
@@ -137,10 +169,12 @@ def main_text(html: str) -> str:
     for k in np.flatnonzero(core):
         for box in lines[k][3]:
             weight[box] = weight.get(box, 0) + size[k]
-    articles = [b for b in weight if parser.kinds[b] == "article"] or [b for b in weight if parser.kinds[b] == "main"]
-    if articles:
-        chosen = set(articles)
-    else:
+    chosen: set[int] = set()
+    for kind in ("article", "main"):
+        boxes = {b for b in weight if parser.kinds[b] == kind}
+        if not chosen and sum(size[k] for k in np.flatnonzero(core) if not boxes.isdisjoint(lines[k][3])) > 0.5 * size[core].sum():
+            chosen = boxes
+    if not chosen:
         nearly = 0.9 * size[core].sum()
         chosen = {max((b for b, w in weight.items() if w >= nearly and parser.kinds[b] in BLOCK - {"p"}), default=-1)}
     if chosen == {-1}:

@@ -35,3 +35,18 @@ def test_smoothing_and_clusters():
 
     assert smoothed(np.ones(7)).tolist() == pytest.approx([1] * 7)
     assert upper_cluster(np.array([0.1, 0.2, 5, 6, 0.0])).tolist() == [False, False, True, True, False]
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        (f"<html><head><title>T</title><meta name=a><body><p>{LONG}</p>", LONG.strip()),
+        (f"<head><title>T</title><div><p>{LONG}</p></div>", LONG.strip()),
+        (f"<head><script>x</script><noscript><img src=a></noscript><body><p>{LONG}</p>", LONG.strip()),
+        *[(f"<body><div class='{name}'><p>{LONG}</p><p>{LONG}</p></div><div class=sidebar>side</div></body>", f"{LONG.strip()} {LONG.strip()}") for name in ("content has-sidebar", "no-comments", "page with-banner", "content-sidebar-wrap")],
+        (f"<body><div class='sidebar-layout'><main><p>{LONG}</p></main></div><div class=related><p>{LONG}</p><p>{LONG}</p></div></body>", LONG.strip()),
+        (f"<body><div><p>{LONG}</p><p>{LONG}</p></div><article><p>{LONG[:160]}</p></article></body>", f"{LONG.strip()} {LONG.strip()}"),
+    ],
+)
+def test_whole_pages_stay(html, text):
+    assert text in main_text(html) and "side" not in main_text(html)
