@@ -23,20 +23,37 @@ def _batched(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """Names that no column of docs has."""
+    taken = "_".join(["own", *docs.columns])
+    return [f"{taken}_{name}" for name in names]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told."""
+    """Drops documents whose language can't be told. Rows equal in all columns are decided alike (128 bits name them)."""
     _batched(spark)
-    keyed = docs.withColumn("row_key", F.xxhash64(*docs.columns))
+    key = _free(docs, "low", "high")
+    keyed = docs.select("*", F.xxhash64(*docs.columns).alias(key[0]), F.xxhash64(F.lit("row"), *docs.columns).alias(key[1]))
     # written first: Spark then knows the size, and broadcasts it only if it is small
-    rejected, _ = written(identified(keyed, ["row_key"], host=F.col("source")).where("not kept").select("row_key").distinct(), "rejected")
-    return keyed.join(rejected, "row_key", "left_anti").select(*docs.columns)
+    rejected, _ = written(identified(keyed, key, host=F.col("source")).where("not kept").select(*key).distinct(), "rejected")
+    return keyed.join(rejected, key, "left_anti").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies (five words, 0.8)."""
+    """Keeps one row of each group of near copies (five words, 0.8): that with the smallest doc_id.
+
+    Rows count, not doc_ids: of rows with one doc_id and like texts one stays, with different texts
+    each stays unless it copies another; a null doc_id comes after all others.
+    """
     _batched(spark)
-    copies, _ = written(near_copies(docs, shingle=5, similarity=0.8).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    row, group = _free(docs, "row", "group")
+    numbered, _ = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_copies(numbered.select(F.col(row).alias("doc_id"), "text"), shingle=5, similarity=0.8).select(F.col("doc_id").alias(row), F.col("component_id").alias(group))
+    several = found.groupBy(group).agg(F.count("*").alias("n")).where("n > 1").select(group)
+    grouped, _ = written(found.join(several, group).join(numbered.select(row, F.struct(F.col("doc_id").isNull(), "doc_id", row).alias("rank")), row), "grouped")
+    first = grouped.groupBy(group).agg(F.min("rank")[row].alias(row))
+    copies, _ = written(grouped.select(row).join(first.select(row), row, "left_anti"), "copies")
+    return numbered.join(copies, row, "left_anti").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

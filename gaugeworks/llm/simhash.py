@@ -9,14 +9,20 @@ equal sets of shingles) collapse to their smallest doc_id first, so copies never
   fingerprints share a key.
 * similarity (`similar_links`): 512 bits of the distinct shingles, radius from the angle of the
   similarity; the smallest shingle under each of `ANCHORS` orders is a key (two texts of Jaccard
-  similarity s share one with probability 1 - (1 - s)^6). Keys with more than HOT rows are dealt
-  anew by pairs of blocks, so no bucket grows with the corpus and no pair of a key is lost. These
-  links only propose groups: `exact_links` compares the distinct shingle hashes inside each group
-  and keeps the pairs whose Jaccard similarity is reached. Texts of one set of shingles are equal.
-
-Nulls: a null text is empty; a text without words has fingerprint zero and links like any other.
-Rows of one doc_id count as one document; a row whose doc_id is null takes the component of an
-equal fingerprint that has one, else null. Ties and repeated rows collapse. No rows give no rows.
+  similarity s share one with probability 1 - (1 - s)^6). Rows of a key with more than HOT rows are
+  keyed again by it and each of `FURTHER` other orders (a pair of 0.8 in it shares none with
+  probability 0.2^10). These links only propose groups: `exact_links` compares the distinct
+  shingle hashes inside each group and keeps the pairs whose Jaccard similarity is reached.
+
+What is too large still, key or group, is `hot_links`' work and exact: rows meet in one block each
+first; only rows outside the largest class so found are then dealt to the other blocks, so a
+large group of copies costs as much as it has rows.
+
+Nulls: a null text is empty; a text without words has fingerprint zero and links like any other
+(for a similarity: equals other such texts). Rows of one doc_id count as one document, which links
+as each of its texts does; a row whose doc_id is null takes the component of an equal fingerprint
+that has one, else null. Ties and repeated rows collapse. Very long texts are whole; groups are
+weighed by shingles, not rows. No rows give no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,14 +38,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graphs import connected_components
-from ..sources.scratch import drop, written
+from ..sources.scratch import temporary, written
 from .arrow_text import ascii_words, ranges, starts_of, text_slices, texts_of
 from .bitslice import linked, merged
 
 HOT = 16384
-#: Rows of a group whose shingles are compared in one task; a larger group is dealt by pairs of blocks of half as many.
+#: Rows of 512 bits that one key holds at most before it is dealt anew.
+HOT_WIDE = 2048
+#: Weight of a group whose shingles are compared at once: rows, or thousands of shingles if that is more.
 GROUP = 2048
-ANCHORS = 6
+ANCHORS, FURTHER = 6, 10
 #: Bits of fingerprints that estimate a similarity: at 0.8 the estimate of a pair has a deviation of 1.6 % of them.
 BITS = 512
 SEED = 42
@@ -127,7 +135,7 @@ def set_digests(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1, anchors: int = 0, sets: bool = False) -> DataFrame:
-    """(doc_id, prints array<long>, anchors array<long>, same array<long>) of every whole text.
+    """(doc_id, prints array<long>, anchors array<long>, same array<long>, size) of every whole text; size counts its shingles.
 
     With `sets`, a repeated shingle counts once and same tells sets of shingles apart; else it is empty.
     """
@@ -145,9 +153,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1, anchors: int
                 for j in range(anchors):
                     smallest[some, j] = np.minimum.reduceat(mixed(hashes, 100 + j), starts_of(counts)[some])
             rows = len(counts)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1).view(np.int64))) for x in (prints, smallest, same))], ["doc_id", "prints", "anchors", "same"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1).view(np.int64))) for x in (prints, smallest, same)), pa.array(counts)], ["doc_id", "prints", "anchors", "same", "size"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(make, "doc_id long, prints array<long>, anchors array<long>, same array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(make, "doc_id long, prints array<long>, anchors array<long>, same array<long>, size long")
 
 
 def bucket_links(keyed: DataFrame, radius: int) -> DataFrame:
@@ -180,7 +188,13 @@ def bucket_links(keyed: DataFrame, radius: int) -> DataFrame:
         if rows:
             yield flush(pa.concat_tables(held).combine_chunks())
 
-    return keyed.select("key", "node", "prints").repartition("key").sortWithinPartitions("key", "node").mapInArrow(link, "a long, b long").distinct()
+    return dealt(keyed.select("key", "node", "prints")).mapInArrow(link, "a long, b long").distinct()
+
+
+def dealt(keyed: DataFrame) -> DataFrame:
+    """Rows by key and in order, in a fixed number of partitions: AQE doesn't merge small ones into a slow task."""
+    spark = keyed.sparkSession
+    return keyed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "node")
 
 
 def split_hot(keyed: DataFrame, most: int = HOT) -> tuple[DataFrame, DataFrame]:
@@ -217,19 +231,54 @@ def close_links(nodes: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
     return bucket_links(few.select("key", "node", "prints").unionByName(again.select("key", "node", "prints")), radius)
 
 
-def similar_links(nodes: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
+def similar_links(nodes: DataFrame, radius: int, hot: int = HOT_WIDE) -> DataFrame:
     """(a, b): links of (node, prints, anchors) within the radius among rows that share an anchor."""
-    keyed = nodes.select("node", "prints", "anchors", F.posexplode("anchors").alias("j", "x")).withColumn("key", F.xxhash64("j", "x")).drop("x")
+    keyed = nodes.select("node", "prints", "anchors", F.posexplode(F.slice("anchors", 1, ANCHORS)).alias("j", "x")).withColumn("key", F.xxhash64("j", "x"))
     few, many = split_hot(keyed, hot)
     cols = ["key", "node", "prints"]
-    return bucket_links(few.select(*cols).unionByName(by_blocks(many, hot // 2).select(*cols)), radius)
+    many, _ = written(many.select(*cols, "anchors"), "hot-anchors")
+    if many.isEmpty():
+        return bucket_links(few.select(*cols), radius)
+    further = F.transform(F.sequence(F.lit(ANCHORS), F.lit(ANCHORS + FURTHER - 1)), lambda k: F.xxhash64("key", k, F.get("anchors", k)))
+    again = many.select("node", "prints", F.explode(further).alias("key"))
+    some, rest = split_hot(again, hot)
+    links = bucket_links(few.select(*cols).unionByName(some.select(*cols)), radius)
+    return links.unionByName(hot_links(rest.select(*cols, "n", F.lit(1.0).alias("w")), lambda rows: bucket_links(rows, radius), hot))
+
+
+def hot_links(many: DataFrame, link, most: int) -> DataFrame:
+    """(a, b): a spanning set of the links inside keys of more than `most`; exact.
+
+    many: (key, node, w, n, ...), n being the sum of the key's weights w; `link` gives the links
+    inside each key of such rows. Each row is linked in one block of its key first. Rows of one class
+    need not meet again, so of a key's largest class only what meets the others is dealt anew.
+    """
+    many, _ = written(many, "hot")
+    if many.isEmpty():
+        return many.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    half = F.lit(most / 2)
+
+    def blocks(weight: Column) -> Column:
+        return F.ceil(weight / half).cast("long")
+
+    def own(n: Column) -> Column:
+        return F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1)))
 
+    first, _ = written(link(many.withColumn("key", F.xxhash64("key", own(blocks(F.col("n")))))), "links")
+    parts, _ = written(connected_components(first), "classes")
+    known = many.select("key", "node", "w").join(parts, "node", "left").select("key", F.coalesce("component", "node").alias("class"), "w")
+    largest = known.groupBy("key", "class").agg(F.sum("w").alias("w")).groupBy("key").agg(F.max_by("class", "w").alias("largest"), (F.sum("w") - F.max("w")).alias("others"), F.max("w").alias("inside"))
+    largest, _ = written(largest.where("others > 0"), "largest")
+    rows = many.join(largest, "key").join(parts, "node", "left").withColumn("in", F.coalesce("component", "node") == F.col("largest"))
+    across, among = blocks(F.col("inside")), blocks(F.col("others"))
 
-def by_blocks(many: DataFrame, block: int) -> DataFrame:
-    """Rows of large keys (key, node, n), dealt anew by pairs of blocks: any two rows of a key meet."""
-    blocks = F.ceil(F.col("n") / F.lit(block)).cast("long")
-    own = F.pmod(F.xxhash64("node"), blocks)
-    return many.withColumn("key", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.xxhash64("key", F.least(o, own), F.greatest(o, own)))))
+    def each(n: Column, key) -> Column:
+        return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), key)
+
+    meets_in = each(among, lambda k: F.xxhash64("key", F.lit(0), own(across), k))
+    meets_out = F.concat(each(across, lambda k: F.xxhash64("key", F.lit(0), k, own(among))), each(among, lambda k: F.xxhash64("key", F.lit(1), F.least(k, own(among)), F.greatest(k, own(among)))))
+    again = rows.withColumn("key", F.explode(F.when(F.col("in"), meets_in).otherwise(meets_out))).select(*many.columns)
+    return first.unionByName(link(again))
 
 
 def alike(flat: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
@@ -264,8 +313,11 @@ def alike(flat: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray
     return label
 
 
-def exact_links(docs: DataFrame, groups: DataFrame, shingle: int, similarity: float, most: int | None = None) -> DataFrame:
-    """(a, b): a spanning set of the pairs of this Jaccard similarity inside each group (node, component) of doc_ids."""
+def exact_links(docs: DataFrame, groups: DataFrame, sizes: DataFrame, shingle: int, similarity: float, most: int | None = None) -> DataFrame:
+    """(a, b): a spanning set of the pairs of this Jaccard similarity inside each group (node, component) of doc_ids.
+
+    sizes: (node, size), the shingles of each.
+    """
     most = most or GROUP
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,13 +349,16 @@ def exact_links(docs: DataFrame, groups: DataFrame, shingle: int, similarity: fl
         if held:
             yield flush()
 
-    sized = groups.join(groups.groupBy("component").agg(F.count("*").alias("n")), "component").select(F.col("component").alias("key"), "node", "n")
+    def links(rows: DataFrame) -> DataFrame:
+        return dealt(rows.select("key", "node", "text")).mapInArrow(link, "a long, b long").distinct()
+
+    weighed = groups.join(sizes.groupBy("node").agg(F.greatest(F.lit(1.0), F.max("size") / 1000).alias("w")), "node")
+    sized = weighed.join(weighed.groupBy("component").agg(F.sum("w").alias("n")), "component").select(F.col("component").alias("key"), "node", "w", "n")
     sized, _ = written(sized, "groups")  # small: Spark then knows its size
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(sized, "node").select("key", "node", "n", "text")
-    cols = ["key", "node", "text"]
-    dealt = rows.where(F.col("n") <= most).select(*cols).unionByName(by_blocks(rows.where(F.col("n") > most), most // 2).select(*cols))
-    return dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(link, "a long, b long").distinct()
+    rows = texts.join(sized, "node")
+    few = links(rows.where(F.col("n") <= most))
+    return few if sized.where(F.col("n") > most).isEmpty() else few.unionByName(hot_links(rows.where(F.col("n") > most), links, most))
 
 
 def radius_of(similarity: float, bits: int = BITS, spread: float = SPREAD) -> int:
@@ -318,16 +373,20 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float | None = 0.
     With `similarity`, links are the pairs of this Jaccard similarity of distinct shingles that 512
     bits propose; without, they are all pairs of 64-bit fingerprints within `radius`.
     """
-    spark = docs.sparkSession
-    made = fingerprints(docs, shingle).withColumn("same", F.col("prints")) if similarity is None else fingerprints(docs, shingle, BITS // 64, ANCHORS, sets=True)
-    rows, _ = written(made, "prints")
-    nodes, path = written(rows.groupBy("same").agg(F.min("doc_id").alias("node"), F.min("prints").alias("prints"), F.min("anchors").alias("anchors")), "nodes")
-    known = nodes.where("node is not null")
-    if similarity is None:
-        links = close_links(known, radius)
-    else:
-        links = exact_links(docs, connected_components(similar_links(known, radius_of(similarity))), shingle, similarity)
-    parts = connected_components(links).withColumnRenamed("node", "n")
-    labelled = nodes.join(parts, nodes["node"] == parts["n"], "left").select("same", F.coalesce("component", "node").alias("component_id"))
-    found = rows.select("doc_id", "prints", "same").join(labelled, "same")
-    return found.select("doc_id", "prints", "component_id")
+    with temporary(docs.sparkSession):
+        made = fingerprints(docs, shingle).withColumn("same", F.col("prints")) if similarity is None else fingerprints(docs, shingle, BITS // 64, ANCHORS + FURTHER, sets=True)
+        rows, _ = written(made, "prints")
+        nodes, _ = written(rows.groupBy("same").agg(F.min("doc_id").alias("node"), F.min("prints").alias("prints"), F.min("anchors").alias("anchors"), F.max("size").alias("size")), "nodes")
+        known = nodes.where("node is not null")
+        if similarity is None:
+            links = close_links(known, radius)
+        else:
+            proposed, _ = written(connected_components(similar_links(known, radius_of(similarity))), "proposed")
+            links = exact_links(docs, proposed, known.select("node", "size"), shingle, similarity)
+        # texts of one doc_id are one document
+        split = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("same").alias("low"), F.max("same").alias("high")).where("low <> high").select("doc_id")
+        owned = rows.select("doc_id", "same").join(split, "doc_id").join(nodes.select("same", "node"), "same").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+        parts = connected_components(links.unionByName(owned)).withColumnRenamed("node", "n")
+        labelled = nodes.join(parts, nodes["node"] == parts["n"], "left").select("same", F.coalesce("component", "node").alias("component_id"))
+        found = rows.select("doc_id", "prints", "same").join(labelled, "same")
+        return written(found.select("doc_id", "prints", "component_id"), "near-copies", keep=True)[0]

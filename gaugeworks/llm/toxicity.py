@@ -3,12 +3,14 @@
 Inputs are words and their characters: hashed word and byte-trigram embeddings, each with one
 fixed coordinate, the log odds of the word or trigram in the training rows. The network reads
 overlapping windows of `WINDOW` words, attention pools its states, and a text's score is that
-of its worst window. Training (numpy, on the driver) takes at most `MAX_ROWS` labelled rows of
-each class of at most `MAX_CHARS` characters; a text's gradient comes from its worst window.
+of its worst window. Training (numpy, on the driver) takes about `MAX_ROWS` labelled rows of each
+class by a hash of doc_id, whole texts of any length; a text's gradient comes from its worst window.
+Only the ids of the sample are broadcast (2 * `MAX_ROWS` on average; more than twice that raises).
 
 Scoring covers all windows of every whole text. Nulls: a null or empty text, or one without
-words, has the score of an empty window. Labels that are null are not learned from; rows
-with one doc_id each get a score; without labelled rows of both classes all scores are 0.
+words, has the score of an empty window. Labels that are null are not learned from, nor is a
+doc_id with both labels; rows with one doc_id each get a score, equal texts equal scores; without
+labelled rows of both classes all scores are 0. Extra columns of either table are not read.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import drop, written
 from .arrow_text import ascii_words, ranges, starts_of, text_slices, texts_of, utf8_views
 
 MAX_ROWS = 1500
-MAX_CHARS = 6000
 WINDOW, STRIDE = 24, 12
 HIDDEN, WIDTH = 8, 8
 BUCKETS = 1 << 14
@@ -273,15 +275,19 @@ def train(texts: list[str], target: np.ndarray, prior: float, seed: int = 7) ->
     return p
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS):
-    """At most about max_rows rows of each class with crc32(doc_id) mod 5 not 0, by a hash of doc_id; and the share of label 1."""
-    known = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("crc32(cast(doc_id as string)) % 5 <> 0").distinct()
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS):
+    """About max_rows rows of each class with crc32(doc_id) mod 5 not 0, by a hash of doc_id; and the share of label 1."""
+    known = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("crc32(cast(doc_id as string)) % 5 <> 0")
+    known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other")
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
     cut = F.when(F.col("toxic") == 1, F.lit(max_rows / sizes[1])).otherwise(F.lit(max_rows / sizes[0]))
-    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < cut * 1_000_000)
-    rows = docs.where(F.length("text") <= max_chars).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(some, "doc_id").toPandas().sort_values(["doc_id", "text"])
+    some, path = written(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < cut * 1_000_000), "sample")
+    if some.count() > 4 * max_rows:
+        raise RuntimeError("the sample of labelled rows is over its bound")
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(some), "doc_id").toPandas().sort_values(["doc_id", "text"])
+    drop(docs.sparkSession, path)
     if rows["toxic"].nunique() < 2:
         return None
     return rows["text"].tolist(), rows["toxic"].to_numpy(np.int64), sizes[1] / (sizes[0] + sizes[1])
