@@ -45,6 +45,44 @@ def test_against_brute_force(spark, block_bytes):
     assert sorted([tuple(r)[:6] for r in got.collect()], key=str) == brute(docs, items)
 
 
+def longest(text, items):
+    """Length and first word of the longest match that holds a window, and the items that have it."""
+    w, best = words_of(text), (0, None, set())
+    for item, t in items:
+        q = words_of(t)
+        for i in range(max(1, len(q) - 9) if item is not None and q else 0):
+            for p in range(len(w)):
+                n = 0
+                while i + n < len(q) and p + n < len(w) and q[i + n] == w[p + n]:
+                    n += 1
+                if n >= min(10, len(q)):
+                    if (-n, p) < (-best[0], best[1] if best[1] is not None else 0):
+                        best = (n, p, set())
+                    if (n, p) == best[:2]:
+                        best[2].add(str(item))
+    return best
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 250])
+def test_longest_matches_against_brute_force(spark, block_bytes):
+    rnd = random.Random(5)
+    base = [" ".join(rnd.choice("abc") for _ in range(40)) for _ in range(4)]
+    cut = lambda n: (lambda t, a: " ".join(t.split()[a : a + n]))(rnd.choice(base), rnd.randint(0, 20))
+    items = [(k, f"{cut(rnd.choice([4, 10, 13, 20]))} {rnd.choice('xyz')}{k} {cut(12)}" if k % 3 else cut(rnd.choice([3, 10, 25]))) for k in range(24)]
+    items += [(50, "p q r s t u v w k l m1"), (51, "p q r s t u v w k l m2 n o")]  # the longer one must win
+    docs = [(k, f"{cut(15)} {rnd.choice('xyz')} {cut(rnd.choice([9, 12, 30]))} {rnd.choice(items)[1]}") for k in range(40)]
+    docs += [(100, "zero p q r s t u v w k l m2 n o"), (101, docs[3][1]), (101, docs[3][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = s.contamination(df, spark.createDataFrame(items, "item_id long, text string"), block_bytes).collect()
+    texts = dict(docs)
+    assert len(got) == len(docs)
+    for r in got:
+        n, p, named = longest(texts[r.doc_id], items)
+        assert (r.longest_match, r.longest_start) == (n, p)
+        assert r.longest_item in named if n else r.longest_item is None
+    assert next(r for r in got if r.doc_id == 100).longest_match == 13
+
+
 def test_match_is_followed_to_its_end(spark):
     item = " ".join(f"w{k}" for k in range(30))
     docs = spark.createDataFrame([(1, "x " + " ".join(f"w{k}" for k in range(3, 27)) + " y")], "doc_id long, text string")
