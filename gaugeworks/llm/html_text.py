@@ -1,16 +1,21 @@
 """Operator 4: the main text of web pages.
 
 The standard library's parser streams the page's events into lines, one for each block of text,
-with the tags met since the line before. Text-to-tag ratios of the lines are smoothed by a
-Gaussian and split into two clusters; the upper one marks the content regions. Lines of elements
-that name themselves navigation, advert, notice, form, comment and so on have ratio zero and
-are never content, unless a name only describes a layout or the element holds a main element or
-nearly all of the text. The content region lies in one container (article or main elements that hold most of its text, else
-the smallest element that holds nearly all of its text); that container's other lines come
-along, so short paragraphs of an article stay.
+with the tags met since the line before and the characters inside links. Text-to-tag ratios of
+the lines (text in links doesn't count) are smoothed by a Gaussian and split into two clusters;
+lines of the upper cluster seed the content regions. A region grows over neighbouring lines of
+the lower cluster, so short paragraphs, headings and lists of an article stay: as far as they lie in
+the seed's own container or article, and are no list of links.
+
+Tags only feed the ratio or veto: lines of elements that name themselves navigation, advert,
+notice, form, comment and so on have ratio zero, are never content and end a region, unless a
+name only describes a layout or the element holds a main element or nearly all of the text; and
+where article or main elements hold most of the content, lines outside them are out.
 
 Nulls: a null or empty page gives an empty text and 0. Cut-off and unclosed mark-up is read as
-far as it goes. Repeated rows give a row each; no rows give none.
+far as it goes. A page without any line above another is content as a whole. Very long pages are
+whole. Repeated rows give a row each; no rows give none. Other columns are read only where `also`
+names them.
 """
 
 from __future__ import annotations
@@ -37,6 +42,11 @@ LAYOUT = re.compile(r"(?:^|[_-])(?:has|no|with|without)[_-]", re.I)
 #: Elements of a head; any other one ends it.
 IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 HOLDS_ARTICLE = frozenset({"article", "main"})
+#: Elements that a content region doesn't leave by itself; others (lists, tables, quotes) are part of what holds them.
+CONTAINERS = frozenset("html body main article section div center details dialog fieldset".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Share of a line's text inside links that makes it a list of links.
+LINKED = 0.6
 #: Lines over which the ratio is smoothed, as a standard deviation.
 SPREAD = 1.0
 
@@ -46,26 +56,28 @@ def names_apart(value: str) -> bool:
 
 
 class Lines(HTMLParser):
-    """Lines of a page: text, tags since the line before, whether it is apart, and its open containers.
+    """Lines of a page: text, tags since the line before, whether it is apart, its open containers, and characters in links.
 
     `named` holds the block containers that are apart by their names only; lines don't count these.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, bool, tuple[int, ...], int]] = []
         self.open: list[tuple[str, int, bool]] = []
         self.kinds: list[str] = []
         self.named: set[int] = set()
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
+        self.in_link = False
 
     def cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         self.parts.clear()
         if text:
-            self.lines.append((text, self.tags, any(apart for tag, _, apart in self.open if tag in BLOCK), tuple(k for _, k, _ in self.open)))
+            self.lines.append((text, self.tags, any(apart for tag, _, apart in self.open if tag in BLOCK), tuple(k for _, k, _ in self.open), self.linked))
             self.tags = 0
+        self.linked = 0
 
     def end_head(self) -> None:
         self.cut()
@@ -73,6 +85,8 @@ class Lines(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        if tag == "a":
+            self.in_link = True
         if tag == "body" or (self.open and self.open[-1][0] == "head" and tag not in IN_HEAD):
             self.end_head()
         if tag == "br":
@@ -112,6 +126,8 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self.cut()
+        if tag == "a" or tag in CONTAINERS:
+            self.in_link = False
         self.close_to(tag)
 
     def handle_data(self, data):
@@ -119,6 +135,8 @@ class Lines(HTMLParser):
             self.end_head()
         if not any(apart and tag not in BLOCK for tag, _, apart in self.open):
             self.parts.append(data)
+            if self.in_link:
+                self.linked += len(data.strip())
 
 
 def smoothed(ratio: np.ndarray, spread: float = SPREAD) -> np.ndarray:
@@ -146,48 +164,72 @@ def upper_cluster(values: np.ndarray) -> np.ndarray:
     return values > cut
 
 
+def grown(parser: Lines, lines: list[tuple], seeds: np.ndarray) -> np.ndarray:
+    """The content: seeds, and lines of the lower cluster that belong to the seed before or after in the same run."""
+    kinds = parser.kinds
+    content = seeds.copy()
+
+    def home(boxes: tuple[int, ...]) -> int:
+        return next((b for b in reversed(boxes) if kinds[b] in CONTAINERS), -1)
+
+    def belongs(line: tuple, seed: tuple) -> bool:
+        text, boxes, linked = line[0], line[3], line[4]
+        own, links = home(boxes), linked > LINKED * len(text)
+        if own == home(seed[3]) and not (links and any(kinds[b] == "li" for b in boxes)):
+            return True
+        if not links and any(kinds[b] in HOLDS_ARTICLE and b in seed[3] for b in boxes):
+            return True
+        return any(kinds[b] in HEADINGS for b in boxes) and (own == -1 or own in seed[3])
+
+    for order in (range(len(lines)), range(len(lines) - 1, -1, -1)):
+        seed = None
+        for k in order:
+            if lines[k][2]:
+                seed = None  # what is apart ends a run
+            elif seeds[k]:
+                seed = lines[k]
+            elif seed and not content[k]:
+                content[k] = belongs(lines[k], seed)
+    return content
+
+
 def main_text(html: str) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
     parser.cut()
-    whole = sum(len(text) for text, _, apart, _ in parser.lines if not apart)
+    whole = sum(len(line[0]) for line in parser.lines if not line[2])
     held = dict.fromkeys(parser.named, 0)
-    for text, _, apart, boxes in parser.lines:
+    for text, _, apart, boxes, _ in parser.lines:
         for box in () if apart else parser.named.intersection(boxes):
             held[box] += len(text)
     aside = {box for box, n in held.items() if n < 0.9 * whole}
-    lines = [(text, tags, apart or not aside.isdisjoint(boxes), boxes) for text, tags, apart, boxes in parser.lines]
-    size = np.array([0 if apart else len(text) for text, _, apart, _ in lines], float)
-    if not size.any():
+    lines = [(text, tags, apart or not aside.isdisjoint(boxes), boxes, linked) for text, tags, apart, boxes, linked in parser.lines]
+    free = np.array([not line[2] for line in lines], bool)
+    if not free.any():
         return ""
-    ratio = size / np.maximum(1, [tags for _, tags, _, _ in lines])
-    core = upper_cluster(smoothed(np.log1p(ratio))) & (size > 0)
-    if not core.any():
-        core = size > 0
-    weight: dict[int, float] = {}
-    for k in np.flatnonzero(core):
-        for box in lines[k][3]:
-            weight[box] = weight.get(box, 0) + size[k]
-    chosen: set[int] = set()
+    size = np.array([0 if apart else max(0, len(text) - linked) for text, _, apart, _, linked in lines], float)
+    ratio = size / np.maximum(1, [line[1] for line in lines])
+    content = grown(parser, lines, upper_cluster(smoothed(np.log1p(ratio))) & free)
+    if not content.any():
+        content = free
+    length = np.array([len(line[0]) for line in lines])
     for kind in ("article", "main"):
-        boxes = {b for b in weight if parser.kinds[b] == kind}
-        if not chosen and sum(size[k] for k in np.flatnonzero(core) if not boxes.isdisjoint(lines[k][3])) > 0.5 * size[core].sum():
-            chosen = boxes
-    if not chosen:
-        nearly = 0.9 * size[core].sum()
-        chosen = {max((b for b, w in weight.items() if w >= nearly and parser.kinds[b] in BLOCK - {"p"}), default=-1)}
-    if chosen == {-1}:
-        return " ".join(text for text, _, apart, _ in lines if not apart)
-    return " ".join(text for text, _, apart, boxes in lines if not apart and chosen.intersection(boxes))
+        inside = np.array([any(parser.kinds[b] == kind for b in line[3]) for line in lines], bool)
+        if length[content & inside].sum() > 0.5 * length[content].sum():
+            content &= inside
+            break
+    return " ".join(lines[k][0] for k in np.flatnonzero(content))
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page."""
+def extract_pages(pages: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """(page_id, url, text, n_chars) of every page, and the columns named by `also` as they are."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "html"):
             texts = [main_text(x) for x in strings_of(texts_of(part, "html"))]
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), *(part.column(c) for c in also)], ["page_id", "url", "text", "n_chars", *also])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    types = dict(pages.dtypes)
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), *also)
+    return rows.mapInArrow(extract, ", ".join(["page_id long, url string, text string, n_chars long", *(f"{c} {types[c]}" for c in also)]))

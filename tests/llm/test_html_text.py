@@ -37,6 +37,37 @@ def test_smoothing_and_clusters():
     assert upper_cluster(np.array([0.1, 0.2, 5, 6, 0.0])).tolist() == [False, False, True, True, False]
 
 
+LINKS = "".join(f"<span><i><a href=/{k}>Place {k}</a></i></span><br>" for k in range(8))
+SHORT = "<div><p><b>Hot</b></p></div><div><p><i>New</i></p></div><div><p><b>Top</b></p></div><div><p><b>All</b></p></div>"
+UNNAMED = f"<body><div>{LINKS}</div>{SHORT}<div><h2>Title</h2><p>{LONG}</p><p>Of.</p><ul><li>one<li>two</ul><p>{LONG}</p><p>End.</p></div>{SHORT}<div>{LINKS}</div></body>"
+
+
+def test_ratios_choose_the_region_where_nothing_is_named(monkeypatch):
+    import numpy as np
+
+    from gaugeworks.llm import html_text
+
+    want = f"Title {LONG.strip()} Of. one two {LONG.strip()} End."
+    assert main_text(UNNAMED) == want
+    monkeypatch.setattr(html_text, "upper_cluster", lambda values: np.ones(len(values), bool))
+    assert main_text(UNNAMED) != want  # the clusters decide
+
+
+def test_region_against_clusters_by_hand():
+    import numpy as np
+
+    texts = [LONG, "Of.", "x", LONG, "y"]
+    html = "<body>" + "".join(f"<div><p>{t}</p></div>" for t in texts) + "</body>"
+    tags = [3, 4, 4, 4, 4]  # body div p, then p div div p
+    ratio = np.log1p(np.array([len(t.strip()) for t in texts]) / tags)
+    weight = np.exp(-0.5 * (np.arange(5)[:, None] - np.arange(5)) ** 2) * (abs(np.arange(5)[:, None] - np.arange(5)) <= 3)
+    smooth = weight @ ratio / weight.sum(axis=1)
+    cut = max(((smooth[smooth > c].mean() + smooth[smooth <= c].mean()) / 2 for c in [(smooth.min() + smooth.max()) / 2]), default=0)
+    for _ in range(30):
+        cut = (smooth[smooth > cut].mean() + smooth[smooth <= cut].mean()) / 2
+    assert main_text(html) == " ".join(t.strip() for t, s in zip(texts, smooth) if s > cut)
+
+
 @pytest.mark.parametrize(
     "html,text",
     [
