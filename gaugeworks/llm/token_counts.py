@@ -5,12 +5,13 @@ with its sections, in order, by binary search. A token that crosses a boundary g
 "majority" (the section with most of its characters, the earlier on ties), "first", "last" or
 "proportional" (each section its share of the characters).
 
-Sections are non-overlapping, ascending (start, end) code points: a column of structs, or
-passages: each line, cut every `width` code points. Characters outside all sections belong to
-none, and tokens wholly outside count nowhere.
+Sections are non-overlapping, ascending (start, end) code points: a column of structs (others
+raise), or passages: each line, cut every `width` code points. Characters outside all sections
+belong to none, and tokens wholly outside count nowhere.
 
 Nulls: a null text or a null list of sections gives no rows; an empty text gives one empty
-passage. A section that is empty, or only white space, has 0 tokens. Repeated rows give rows each.
+passage. A section that is empty, or only white space, has 0 tokens and touches none. Very long
+texts are encoded whole. Repeated rows give rows each; no rows give none. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -77,6 +78,12 @@ def attributed(token_start: np.ndarray, token_end: np.ndarray, start: np.ndarray
 
     All in one ascending coordinate; the join is two binary searches a token.
     """
+    filled = np.flatnonzero(end > start)
+    if len(filled) < len(start):  # what is empty takes nothing
+        counts, crossing = np.zeros(len(start)), np.zeros(len(start), np.int64)
+        if len(filled):
+            counts[filled], crossing[filled] = attributed(token_start, token_end, start[filled], end[filled], rule)
+        return counts, crossing
     first = np.searchsorted(end, token_start, side="right")  # the first section that ends after the token starts
     last = np.searchsorted(start, token_end, side="left") - 1  # the last that starts before it ends
     touched = last - first + 1
@@ -119,6 +126,9 @@ def section_tokens(docs: DataFrame, tokenizer_file: str, width: int = 400, rule:
                 flat = pc.list_flatten(given)
                 start, end = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
                 per_text = pc.fill_null(pc.list_value_length(given), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                same = np.diff(np.repeat(np.arange(len(per_text)), per_text)) == 0
+                if (end < start).any() or (start[1:] < end[:-1])[same].any():
+                    raise ValueError("sections must be ascending and must not overlap")
             # one ascending coordinate over the slice: each text has its own stretch
             extent = np.maximum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1, 1)
             if len(end):

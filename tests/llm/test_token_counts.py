@@ -58,3 +58,22 @@ def test_given_sections(spark):
 
 def test_no_rows(spark):
     assert section_tokens(spark.createDataFrame([], "doc_id long, text string"), FILE).count() == 0
+
+
+@pytest.mark.parametrize("rule", ["majority", "first", "last", "proportional"])
+def test_empty_sections_take_nothing(spark, rule):
+    sections = [(0, 0), (0, 5), (5, 5), (5, 8), (8, 8), (9, 40)]
+    text = TEXTS[0] * 40
+    df = spark.createDataFrame([(1, text, sections), (1, text, sections), (2, text, [(3, 3)])], "doc_id long, text string, parts array<struct<start:long,end:long>>")
+    got = section_tokens(df, FILE, rule=rule, sections="parts").collect()
+    counts, crossing = brute(text, sections, rule)
+    for k in range(6):
+        assert {(round(float(r.n_tokens), 9), r.n_crossing) for r in got if (r.doc_id, r.section) == (1, k)} == {(counts[k], crossing[k])}
+    assert len(got) == 13 and [(r.n_tokens, r.n_crossing) for r in got if r.doc_id == 2] == [(0, 0)]
+
+
+@pytest.mark.parametrize("sections", [[(0, 5), (4, 6)], [(5, 6), (0, 2)], [(3, 1)]])
+def test_unordered_sections_are_refused(spark, sections):
+    df = spark.createDataFrame([(1, "some text", sections)], "doc_id long, text string, parts array<struct<start:long,end:long>>")
+    with pytest.raises(Exception, match="ascending"):
+        section_tokens(df, FILE, sections="parts").collect()
