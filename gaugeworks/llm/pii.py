@@ -1,8 +1,9 @@
 """Operator 7: personal data, secrets, and terms that give them away.
 
 Base spans are e-mail addresses, IPv4 addresses, payment card and phone numbers; keys (long runs
-of letters and digits mixed as in tokens and passwords) are spans of kind "key". Each distinct
-value is a protected entity. Terms (runs of letters and digits, so names and numbers alike) within
+of letters and digits mixed as in tokens and passwords) are spans of kind "key". Protected
+entities are each distinct value and each kind as a whole (a name that stands by one address
+discloses that one, a word that only announces keys discloses that there is one). Terms (runs of letters and digits, so names and numbers alike) within
 `REACH` terms of an entity in its line are its context; over the whole corpus, with n(c) terms in
 contexts of entity c, n(t) occurrences of term t, n(c,t) of them in contexts of c, and N in all,
 
@@ -118,6 +119,9 @@ def hash_of(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
+KIND_HASHES = [hash_of(kind) for kind in KINDS]
+
+
 def stem_of(term: str) -> str:
     """The class of a lower-cased term: its first characters; a term no longer than them is its own."""
     return term if len(term) <= STEM else f"{term[:STEM]}*"
@@ -143,10 +147,13 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
         before, after = bisect_right(ends, start), bisect_left(starts, end)
         for k in [*range(max(before - REACH, 0), before), *range(after, min(after + REACH, len(terms)))]:
             a, b = terms[k]
-            if a >= low and b <= high and 1 not in covered[a:b] and (entity, a) not in seen:
-                seen.add((entity, a))
-                term = text[a:b].lower()
-                out.append({"entity": entity, "line": lines[n], "term": hash_of(term), "stem": hash_of(stem_of(term)), "start": a, "end": b})
+            if a < low or b > high or 1 in covered[a:b]:
+                continue
+            term = text[a:b].lower()
+            for protected in (entity, KIND_HASHES[kind]):
+                if (protected, a) not in seen:
+                    seen.add((protected, a))
+                    out.append({"entity": protected, "line": lines[n], "term": hash_of(term), "stem": hash_of(stem_of(term)), "start": a, "end": b})
     return out
 
 
