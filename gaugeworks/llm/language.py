@@ -11,10 +11,14 @@ all from one grouped aggregation each over the text's own best guesses on the wh
 Documents are rejected ("und") whose text is less likely under the best language than under
 trigrams drawn at random, or whose best language stays below `SURE`.
 
+Values of evidence with over `HOT_ROWS` rows are joined by broadcast (there are at most rows /
+HOT_ROWS of them), rows without one or with such a one don't take part in the join of the others.
+
 Nulls: a null or blank text is rejected, as is one under three bytes whose other evidence does
 not decide; null or empty hosts, addresses and declarations are no evidence.
-Ties go to the language first in order. Repeated rows give a row each. Without labelled rows
-everything is rejected.
+Ties go to the language first in order. Repeated rows give a row each; very long texts are read
+whole. Without labelled rows everything is rejected; no rows give none. Other columns are not
+read, and keys may have any names that are not columns of the result.
 """
 
 from __future__ import annotations
@@ -41,6 +45,9 @@ STRAY = 0.1
 SURE = 0.5
 #: Pseudo-counts of smoothing: evidence of metadata, and each step from host to domain to corpus.
 WEIGHT = 20.0
+#: Rows of one host (suffix, declaration) from which its join is a broadcast.
+HOT_ROWS = 1_000_000
+SOURCES = ("host", "suffix", "markup")
 
 
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +131,7 @@ def evidence(scored: DataFrame, column: str, languages: int) -> DataFrame:
     totals = scored.where(F.col(column) != "").groupBy().agg(F.count("*").alias("all"), F.count_distinct(column).alias("values"), *[F.count_if(F.col("guess") == k).alias(f"t{k}") for k in range(languages)])
     # log of P(value | language) over P(value): smoothed towards no information
     spread = sum(F.col(f"n{k}") for k in range(languages)) / F.col("all")
-    return wide.crossJoin(F.broadcast(totals)).select(f"{column}_value", F.array(*[F.log((F.col(f"n{k}") + WEIGHT * spread) / (F.col(f"t{k}") + WEIGHT)) - F.log(spread) for k in range(languages)]).alias(f"{column}_log"))
+    return wide.crossJoin(F.broadcast(totals)).select(F.col(f"{column}_value").alias("value"), F.array(*[F.log((F.col(f"n{k}") + WEIGHT * spread) / (F.col(f"t{k}") + WEIGHT)) - F.log(spread) for k in range(languages)]).alias("log"), sum(F.col(f"n{k}") for k in range(languages)).alias("n"))
 
 
 def host_priors(scored: DataFrame, languages: int, share: np.ndarray) -> DataFrame:
@@ -139,15 +146,27 @@ def host_priors(scored: DataFrame, languages: int, share: np.ndarray) -> DataFra
         whole = F.lit(float(share[k]))
         in_domain = (F.col(f"d{k}") + WEIGHT * whole) / (d + WEIGHT)
         out.append(F.log((F.col(f"n{k}") + WEIGHT * in_domain) / (n + WEIGHT)) - F.log(whole))
-    return hosts.join(domains, "domain").select(F.col("host").alias("host_value"), F.array(*out).alias("host_log"))
+    return hosts.join(domains, "domain").select(F.col("host").alias("value"), F.array(*out).alias("log"), n.alias("n"))
+
+
+def with_evidence(rows: DataFrame, known: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """rows with the log of (value, log, n) for their value of a column, as `{column}_log`; no value is a hot key."""
+    known, _ = written(known, column)  # Spark then knows its size, and broadcasts it if it is small
+    hot = known.where(F.col("n") > HOT_ROWS).select(F.col("value").alias("hot_value"), F.col("log").alias("hot_log"))
+    cold = known.where(F.col("n") <= HOT_ROWS).select(F.col("value").alias("cold_value"), F.col("log").alias("cold_log"))
+    rows = rows.join(F.broadcast(hot), F.col(column) == F.col("hot_value"), "left")
+    apart = F.concat(F.lit("\0"), F.xxhash64(*keys, "loglik").cast("string"))  # no value
+    rows = rows.withColumn("cold_key", F.when((F.col(column) == "") | F.col("hot_value").isNotNull(), apart).otherwise(F.col(column)))
+    joined = rows.join(cold, F.col("cold_key") == F.col("cold_value"), "left")
+    return joined.withColumn(f"{column}_log", F.coalesce("hot_log", "cold_log")).drop("hot_value", "hot_log", "cold_value", "cold_log", "cold_key")
 
 
 def identified(docs: DataFrame, keys: list[str], text: str = "text", label: str = "lang", url: Column | None = None, markup: Column | None = None, host: Column | None = None, labelled: DataFrame | None = None, trained=None) -> DataFrame:
-    """keys with language, confidence, text_language and kept, a row for every row of docs.
+    """keys with language, confidence, text_language, kept and moved_by, a row for every row of docs.
 
-    labelled: (doc_id, text, lang) to fit on, docs itself if left out; trained: what `fitted` gave.
+    moved_by names the sources of evidence without which another language would be the best. labelled: (doc_id, text, lang) to fit on, docs itself if left out; trained: what `fitted` gave.
     """
-    if labelled is None:
+    if labelled is None and trained is None:
         labelled = docs.select(F.col(keys[0]).alias("doc_id"), F.col(text).alias("text"), F.col(label).alias("lang"))
     languages, table, share = trained or fitted(labelled)
     none = F.lit("")
@@ -155,22 +174,32 @@ def identified(docs: DataFrame, keys: list[str], text: str = "text", label: str
     suffix = F.when(host_col.contains("."), F.element_at(F.split(host_col, r"\."), -1)).otherwise(none)
     rows = docs.select(*keys, F.col(text).cast("string").alias("text"), host_col.alias("host"), suffix.alias("suffix"), F.coalesce(markup if markup is not None else markup_of(F.col(text)), none).alias("markup"), (F.length(F.trim(F.coalesce(F.col(text), none))) > 0).alias("written"))
     if not languages:
-        return rows.select(*keys, F.lit("und").alias("language"), F.lit(0.0).alias("confidence"), F.lit("und").alias("text_language"), F.lit(False).alias("kept"))
+        return rows.select(*keys, F.lit("und").alias("language"), F.lit(0.0).alias("confidence"), F.lit("und").alias("text_language"), F.lit(False).alias("kept"), F.lit("").alias("moved_by"))
     n = len(languages)
     scored, _ = written(text_likelihoods(rows, table), "likelihoods")
     tempered = F.transform("loglik", lambda x: x * F.least(F.lit(1.0), TRUST / F.greatest(F.col("n_trigrams"), F.lit(1))))
     prior = F.array(*[F.lit(float(np.log(x))) for x in share])
     sums = F.zip_with(tempered, prior, lambda a, b: a + b)
     scored = scored.withColumn("text_log", sums).withColumn("guess", F.array_position("text_log", F.array_max("text_log")).cast("int") - 1)
-    fused, terms = scored, F.col("text_log")
-    for column, known in (("host", host_priors(scored, n, share)), ("suffix", evidence(scored, "suffix", n)), ("markup", evidence(scored, "markup", n))):
-        fused = fused.join(known, F.col(column) == F.col(f"{column}_value"), "left")
-        terms = F.zip_with(terms, F.coalesce(f"{column}_log", F.array(*[F.lit(0.0)] * n)), lambda a, b: a + b)
-    fused = fused.withColumn("log", terms).withColumn("top", F.array_max("log"))
+    fused = scored
+    for column in SOURCES:
+        fused = with_evidence(fused, host_priors(scored, n, share) if column == "host" else evidence(scored, column, n), column, keys)
+
+    def fuse(sources: tuple[str, ...]) -> Column:
+        out = F.col("text_log")
+        for column in sources:
+            out = F.zip_with(out, F.coalesce(f"{column}_log", F.array(*[F.lit(0.0)] * n)), lambda a, b: a + b)
+        return out
+
+    def first_best(log: Column) -> Column:
+        return F.array_position(log, F.array_max(log)).cast("int")
+
+    fused = fused.withColumn("log", fuse(SOURCES)).withColumn("top", F.array_max("log"))
+    moved = F.concat_ws(",", *[F.when(F.col(f"{x}_log").isNotNull() & (first_best(fuse(tuple(y for y in SOURCES if y != x))) != first_best(F.col("log"))), x) for x in SOURCES])
     total = F.aggregate("log", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("top")))
-    best = F.array_position("log", F.col("top")).cast("int")
+    best = first_best(F.col("log"))
     names = F.array(*[F.lit(x) for x in languages])
     likely = F.col("written") & ((F.col("n_trigrams") == 0) | (F.element_at("loglik", best) > F.col("n_trigrams") * float(-np.log(BUCKETS))))
     sure = 1 / total
     kept = likely & (sure >= SURE)
-    return fused.select(*keys, F.when(kept, F.element_at(names, best)).otherwise("und").alias("language"), sure.alias("confidence"), F.element_at(names, F.col("guess") + 1).alias("text_language"), kept.alias("kept"))
+    return fused.select(*keys, F.when(kept, F.element_at(names, best)).otherwise("und").alias("language"), sure.alias("confidence"), F.element_at(names, F.col("guess") + 1).alias("text_language"), kept.alias("kept"), moved.alias("moved_by"))

@@ -43,11 +43,17 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents (their source stands for a host) and the main text of all pages (with page_id, and doc_id -1 - page_id)."""
     from pyspark.sql import functions as F
 
-    from .language import identified
+    from .html_text import extract_pages
+    from .language import host_of, identified, markup_of
 
-    return identified(_table(spark, sf_dir, "documents"), ["doc_id"], host=F.col("source"))
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text", "lang", F.col("source").alias("host"))
+    pages = extract_pages(_table(spark, sf_dir, "pages").withColumn("declared", markup_of(F.col("html"))), also=("declared",))
+    rows = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", "host", markup_of(F.col("text")).alias("declared"))
+    rows = rows.unionByName(pages.select((-1 - F.col("page_id")).alias("doc_id"), "page_id", "text", host_of(F.col("url")).alias("host"), "declared"))
+    return identified(rows, ["doc_id", "page_id"], host=F.col("host"), markup=F.col("declared"), labelled=docs.select("doc_id", "text", "lang"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

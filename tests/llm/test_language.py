@@ -58,6 +58,67 @@ def test_host_suffix_and_markup_decide_short_texts(spark):
 
 
 
+def fused_by_hand(rows, trained, skip=None, weight=g.WEIGHT):
+    """(best language, its probability, best of the text) of (text, host, markup), from the definitions."""
+    from collections import Counter
+
+    languages, table, share = trained
+    text_log = []
+    for text, _, _ in rows:
+        codes, _ = g.trigrams(pa.array([text or ""]))
+        text_log.append(table[codes].astype(float).sum(axis=0) * min(1, g.TRUST / max(1, len(codes))) + np.log(share))
+    guess = [int(np.argmax(x)) for x in text_log]
+    host = [h or "" for _, h, _ in rows]
+    domain = lambda h: ".".join(h.split(".")[-2:]) if h.count(".") > 1 else h
+    suffix = [h.rsplit(".", 1)[1] if "." in h else "" for h in host]
+    markup = [m or "" for _, _, m in rows]
+    n_host, n_domain = Counter(zip(host, guess)), Counter((domain(h), k) for h, k in zip(host, guess) if h)
+    out = []
+    for i, log in enumerate(text_log):
+        log = log.copy()
+        for k in range(len(languages)):
+            if host[i] and skip != "host":
+                d = (n_domain[domain(host[i]), k] + weight * share[k]) / (sum(n_domain[domain(host[i]), j] for j in range(len(languages))) + weight)
+                log[k] += np.log((n_host[host[i], k] + weight * d) / (sum(n_host[host[i], j] for j in range(len(languages))) + weight)) - np.log(share[k])
+            for name, values in (("suffix", suffix), ("markup", markup)):
+                if values[i] and skip != name:
+                    spread = values.count(values[i]) / sum(v != "" for v in values)
+                    n = sum(v == values[i] and j == k for v, j in zip(values, guess))
+                    t = sum(v != "" and j == k for v, j in zip(values, guess))
+                    log[k] += np.log((n + weight * spread) / (t + weight)) - np.log(spread)
+        p = np.exp(log - log.max())
+        out.append((languages[int(np.argmax(log))], float(p.max() / p.sum()), languages[guess[i]]))
+    return out
+
+
+def test_fusion_against_brute_force(spark, monkeypatch):
+    rnd = random.Random(3)
+    rows = [(t, rnd.choice([f"www.site{k % 4}.{lang}", f"site{k % 3}.{lang}", "src7", "", None]), rnd.choice([lang, lang, "en", "", None])) for k, t, lang in made(150)]
+    rows += [("xy", "www.site1.fr", "fr"), ("the ", "site2.de", "de"), ("que ", "src7", None), ("ü", "new.site1.fr", "de"), (None, "site0.de", "de")] * 2
+    docs = spark.createDataFrame([(k, *r, "x") for k, r in enumerate(rows)], "doc_id long, text string, host string, declared string, log string").repartition(3)
+    trained = g.fitted(spark.createDataFrame(made(), "doc_id long, text string, lang string"))
+    without = {x: fused_by_hand(rows, trained, x) for x in g.SOURCES}
+    for hot in (g.HOT_ROWS, 20):  # the second joins src7 and others as hot values
+        monkeypatch.setattr(g, "HOT_ROWS", hot)
+        got = {r.doc_id: r for r in g.identified(docs, ["doc_id"], host=F.col("host"), markup=F.col("declared"), trained=trained).collect()}
+        assert len(got) == len(rows)
+        moved = 0
+        for k, (best, sure, text_best) in enumerate(fused_by_hand(rows, trained)):
+            r = got[k]
+            assert abs(r.confidence - sure) < 1e-6 and r.text_language == text_best
+            assert r.language == (best if r.kept else "und")
+            moved += r.kept and best != text_best
+            assert r.moved_by == ",".join(x for x in g.SOURCES if without[x][k][0] != best)
+        assert moved
+
+
+def test_ties_go_to_the_first_language(spark):
+    rows = [(k, "abc", "b" if k % 2 else "a") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = g.identified(docs, ["doc_id"]).collect()
+    assert {(r.language, round(r.confidence, 9)) for r in got} == {("a", 0.5)}
+
+
 def test_address_parts(spark):
     df = spark.createDataFrame([("https://u:p@Www.A.de:80/x", '<html class=a lang="FR-fr">'), ("nothing", "no"), (None, None)], "u string, t string")
     assert [tuple(r) for r in df.select(g.host_of(F.col("u")), g.markup_of(F.col("t"))).collect()] == [("www.a.de", "fr"), ("", ""), (None, None)]
