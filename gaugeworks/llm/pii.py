@@ -9,8 +9,9 @@ contexts of entity c, n(t) occurrences of term t, n(c,t) of them in contexts of
 
     IC(c) = -ln n(c)/N,    PMI(c;t) = ln (n(c,t)/n(t)) / (n(c)/N),
 
-a term discloses an entity if PMI(c;t) >= DISCLOSURE * IC(c) and it stands near it in at least
-`SUPPORT` different lines. Its occurrences in the entity's contexts are sanitised: a term whose
+a term discloses an entity if PMI(c;t) >= DISCLOSURE * IC(c), it stands near it in at least
+`SUPPORT` different lines, and it makes up `SHARE` of the terms in its contexts (so an entity has
+at most 1 / SHARE candidates, however large the corpus). Its occurrences in the entity's contexts are sanitised: a term whose
 first `STEM` characters, taken as a class of terms, stay under the threshold is generalised to
 them (kind "stem"), else it is removed (kind "term").
 
@@ -41,6 +42,7 @@ KEY, TERM_KIND, STEM_KIND = 4, 5, 6
 REACH = 12
 SUPPORT = 3
 DISCLOSURE = 0.9
+SHARE = 0.001
 #: Characters that a generalised term keeps.
 STEM = 3
 
@@ -208,13 +210,21 @@ def row_key() -> Column:
     return F.xxhash64(F.col("text").cast("string")).alias("key")
 
 
+def joined_by_entity(rows: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
+    """An inner join; the few rows known of the kinds (at most 1 / SHARE terms each) are broadcast, as kinds are hot keys."""
+    kind = F.col("entity").isin(KIND_HASHES)
+    values = rows.where(~kind).join(known.where(~kind), on)
+    return values.unionByName(rows.where(kind).join(F.broadcast(known.where(kind)), on))
+
+
 def disclosing(scanned: DataFrame, docs: DataFrame) -> DataFrame:
     """(entity, term, general) over the disclosure threshold; general: its stem is not, so that it may stay."""
     near = scanned.select(F.explode("near").alias("o")).select("o.*")
     entities = near.groupBy("entity").agg(F.count("*").alias("n_c"))
     pairs = near.groupBy("entity", "term", "stem").agg(F.count("*").alias("n_ct"), F.count_distinct("line").alias("support")).where(F.col("support") >= SUPPORT)
     stems = near.groupBy("entity", "stem").agg(F.count("*").alias("n_cs"))
-    pairs, _ = written(pairs.join(entities, "entity").join(stems, ["entity", "stem"]), "pairs")
+    pairs = joined_by_entity(pairs, entities, ["entity"]).where(F.col("n_ct") >= SHARE * F.col("n_c"))
+    pairs, _ = written(pairs.join(stems, ["entity", "stem"]), "pairs")
     counted = docs.select(F.col("text").cast("string")).mapInArrow(count_terms, "term long, n long")
     wanted = pairs.select(F.explode(F.array("term", "stem", F.lit(ALL_TERMS))).alias("term")).distinct()
     counts, _ = written(counted.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n")), "terms")
@@ -231,7 +241,8 @@ def disclosing(scanned: DataFrame, docs: DataFrame) -> DataFrame:
 def term_spans(scanned: DataFrame, flagged: DataFrame) -> DataFrame:
     """(key, doc, terms): spans of disclosing terms, for the rows that have any; a term that must go is not generalised."""
     near = scanned.select("key", F.col("doc_id").alias("doc"), F.explode("near").alias("o")).select("key", "doc", "o.*")
-    hit = near.join(flagged, ["entity", "term"]).groupBy("key", "doc", "start", "end").agg(F.bool_and("general").alias("general"))
+    flagged, _ = written(flagged, "flagged")
+    hit = joined_by_entity(near, flagged, ["entity", "term"]).groupBy("key", "doc", "start", "end").agg(F.bool_and("general").alias("general"))
     span = F.struct("start", F.when(F.col("general"), STEM_KIND).otherwise(TERM_KIND).alias("kind"), "end")
     return hit.groupBy("key", "doc").agg(F.collect_list(span).alias("terms"))  # as many as a row has terms near entities
 

@@ -72,7 +72,7 @@ def by_hand(rows):
     out = defaultdict(dict)
     for row, found in places.items():
         for entity, term, a, b in found:
-            if len(lines[entity, term]) >= pii.SUPPORT and discloses(near[entity, term], n_t[term], entity):
+            if len(lines[entity, term]) >= pii.SUPPORT and near[entity, term] >= pii.SHARE * n_c[entity] and discloses(near[entity, term], n_t[term], entity):
                 stem = pii.stem_of(term)
                 removed = discloses(n_cs[entity, stem], n_s[stem], entity)
                 out[row][a, b] = "term" if removed or out[row].get((a, b)) == "term" else "stem"
