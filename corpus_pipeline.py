@@ -49,10 +49,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     row, group = _free(docs, "row", "group")
     numbered, _ = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     found = near_copies(numbered.select(F.col(row).alias("doc_id"), "text"), shingle=5, similarity=0.8).select(F.col("doc_id").alias(row), F.col("component_id").alias(group))
-    several = found.groupBy(group).agg(F.count("*").alias("n")).where("n > 1").select(group)
-    grouped, _ = written(found.join(several, group).join(numbered.select(row, F.struct(F.col("doc_id").isNull(), "doc_id", row).alias("rank")), row), "grouped")
-    first = grouped.groupBy(group).agg(F.min("rank")[row].alias(row))
-    copies, _ = written(grouped.select(row).join(first.select(row), row, "left_anti"), "copies")
+    # the first of a group is an aggregate: no join has a group as its key
+    ranked = found.join(numbered.select(row, F.struct(F.col("doc_id").isNull(), "doc_id", row).alias("rank")), row)
+    first = ranked.groupBy(group).agg(F.min("rank")[row].alias(row))
+    copies, _ = written(found.select(row).join(first.select(row), row, "left_anti"), "copies")
     return numbered.join(copies, row, "left_anti").select(*docs.columns)
 
 

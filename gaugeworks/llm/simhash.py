@@ -231,19 +231,28 @@ def close_links(nodes: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
     return bucket_links(few.select("key", "node", "prints").unionByName(again.select("key", "node", "prints")), radius)
 
 
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """(key, node, n) of keys that more than one row has; only numbers are shuffled."""
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return written(keyed.join(sizes, "key").select("key", "node", "n"), "keys")[0]
+
+
 def similar_links(nodes: DataFrame, radius: int, hot: int = HOT_WIDE) -> DataFrame:
     """(a, b): links of (node, prints, anchors) within the radius among rows that share an anchor."""
-    keyed = nodes.select("node", "prints", "anchors", F.posexplode(F.slice("anchors", 1, ANCHORS)).alias("j", "x")).withColumn("key", F.xxhash64("j", "x"))
-    few, many = split_hot(keyed, hot)
-    cols = ["key", "node", "prints"]
-    many, _ = written(many.select(*cols, "anchors"), "hot-anchors")
+    shared = shared_keys(nodes.select("node", F.posexplode(F.slice("anchors", 1, ANCHORS)).alias("j", "x")).select("node", F.xxhash64("j", "x").alias("key")))
+    few, many = shared.where(F.col("n") <= hot), shared.where(F.col("n") > hot)
+    prints = nodes.select("node", "prints")
+
+    def linked_rows(rows: DataFrame) -> DataFrame:
+        return bucket_links(rows.select("key", "node").join(prints, "node"), radius)
+
     if many.isEmpty():
-        return bucket_links(few.select(*cols), radius)
+        return linked_rows(few)
     further = F.transform(F.sequence(F.lit(ANCHORS), F.lit(ANCHORS + FURTHER - 1)), lambda k: F.xxhash64("key", k, F.get("anchors", k)))
-    again = many.select("node", "prints", F.explode(further).alias("key"))
-    some, rest = split_hot(again, hot)
-    links = bucket_links(few.select(*cols).unionByName(some.select(*cols)), radius)
-    return links.unionByName(hot_links(rest.select(*cols, "n", F.lit(1.0).alias("w")), lambda rows: bucket_links(rows, radius), hot))
+    again = shared_keys(many.select("key", "node").join(nodes.select("node", "anchors"), "node").select("node", F.explode(further).alias("key")))
+    links = linked_rows(few.unionByName(again.where(F.col("n") <= hot)))
+    rest = again.where(F.col("n") > hot).join(prints, "node")
+    return links.unionByName(hot_links(rest.select("key", "node", "prints", "n", F.lit(1.0).alias("w")), lambda rows: bucket_links(rows, radius), hot))
 
 
 def hot_links(many: DataFrame, link, most: int) -> DataFrame:
