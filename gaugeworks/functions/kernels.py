@@ -145,6 +145,16 @@ def trueskill_step(a, b, s, c):
     return p, new(a[0], va, 1), new(b[0], vb, -1)
 
 
+def trueskill_draw(a, b, c) -> tuple[float, float]:
+    """P(draw), and P(win) given that there is no draw, before a game."""
+    margin = c.get("margin")
+    if margin is None:
+        margin = phi_inverse((c["p_draw"] + 1) / 2) * sqrt(2) * c["beta"]
+    spread = sqrt(2 * c["beta"] ** 2 + a[1] ** 2 + b[1] ** 2)
+    win, loss = phi_cdf((a[0] - b[0] - margin) / spread), phi_cdf((b[0] - a[0] - margin) / spread)
+    return 1 - win - loss, win / max(win + loss, 1e-300)
+
+
 MODELS = {"elo": (elo_step, lambda c: (0.0,)), "glicko2": (glicko_step, lambda c: (0.0, PHI0, 0.06)), "trueskill": (trueskill_step, lambda c: (25.0, c.get("sigma0", 25 / 3)))}
 
 

@@ -27,6 +27,11 @@ def lang_by_script(text: Column, rules=RULES, other: str = "en") -> Column:
     return out
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end; null stays."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def norm_text(text: Column) -> Column:
     """Lower case, runs of characters other than letters, digits and _ as one space, trimmed."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+", " "))
@@ -47,5 +52,8 @@ def logit(p: Column, least: float = 1e-3) -> Column:
 
 def hash01(*parts: Column, seed: int = 0) -> Column:
     """A number in [0, 1) from a key and a seed that any engine can repeat: md5, first 8 hex digits."""
-    text = F.concat_ws("|", *[p.cast("string") for p in parts], F.lit(str(seed)))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    return F.conv(F.substring(F.md5(hash_text(*parts, seed=seed)), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+
+
+def hash_text(*parts: Column, seed: int = 0) -> Column:
+    return F.concat_ws("|", *[p.cast("string") for p in parts], F.lit(str(seed)))

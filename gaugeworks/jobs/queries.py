@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import difficulty, lang_by_script, norm_text, sigmoid
 from ..operators import audit, items, metrics, ratings, responses
-from ..operators.ordering import indexed, time_split
+from ..operators.ordering import cuts, indexed, time_split
 from ..sources.scratch import written
 from ..sources.standins import duck, table, view
 
@@ -34,9 +34,23 @@ def r6(c):
     return F.round(c, 6)
 
 
+def tail_of(z: str) -> str:
+    """DuckDB text of the two-sided normal tail: the error function's continued fraction beyond 3, its series below."""
+    x = f"(abs({z}) / sqrt(2.0::DOUBLE))"
+    series = f"(1 - 2 / sqrt(pi()) * list_reduce(list_transform(range(0, 90), lambda k: exp((2 * k + 1) * ln(greatest({x}, 1e-300)) - {x} * {x} + k * ln(2.0::DOUBLE) - list_sum(list_transform(range(0, k + 1), lambda j: ln((2 * j + 1)::DOUBLE))))), lambda a, b: a + b))"
+    tail = f"(exp(-{x} * {x}) / sqrt(pi()) / list_reduce(list_prepend({x}, list_transform(range(1, 80), lambda k: (80 - k) / 2.0::DOUBLE)), lambda f, a: {x} + a / f))"
+    return f"(CASE WHEN {x} < 3 THEN {series} ELSE {tail} END)"
+
+
+def weights_of(unit: str, table: str, name: str = "wt", reps: int = 1000) -> str:
+    """DuckDB text of the Poisson(1) weights of bootstrap replicates, as a common table expression (unit, rep, w)."""
+    u = f"('0x' || substr(md5({unit} || '|' || (rep // {metrics.PER_HASH}) || '|0'), 1 + 8 * (rep % {metrics.PER_HASH})::INT, 8))::BIGINT / 4294967296.0"
+    return f"{name} AS (SELECT {unit}, rep, len(list_filter({metrics.POISSON}::DOUBLE[], lambda c: u >= c)) AS w FROM (SELECT {unit}, rep, {u} AS u FROM (SELECT DISTINCT {unit} FROM {table}), range({reps}) t(rep)))"
+
+
 # -- item bank ----------------------------------------------------------------
 
-CAL = "cal AS (SELECT *, correct / n AS p, ln((fail + 0.5) / (correct + 0.5)) AS b_logit FROM bank WHERE n >= 30 AND length(trim(coalesce(text, ''))) >= 3)"
+CAL = "cal AS (SELECT * REPLACE (regexp_replace(coalesce(text, ''), '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g') AS text), correct / n AS p, ln((fail + 0.5) / (correct + 0.5)) AS b_logit FROM bank WHERE n >= 30 AND length(trim(coalesce(text, ''))) >= 3)"
 HASH = "('0x' || substr(md5({} || '|0'), 1, 8))::BIGINT / 4294967296.0"
 NORM = "trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_]+', ' ', 'g'))"
 SPLIT = f"""grp AS (SELECT *, min(id) OVER (PARTITION BY {NORM}) AS grp FROM cal),
@@ -47,7 +61,8 @@ SPLIT = f"""grp AS (SELECT *, min(id) OVER (PARTITION BY {NORM}) AS grp FROM cal
 
 def split_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     bank = items.calibrated_items(view(spark, sf_dir, "bank").withColumn("main_question_id", F.lit(None).cast("long")))
-    return items.group_split(bank.join(items.item_groups(bank), "id"))
+    bank, _ = written(bank, "bank")
+    return written(items.group_split(written(bank.join(items.item_groups(bank), "id"), "grouped")[0]), "split-bank")[0]
 
 
 @job(f"WITH {CAL} SELECT id, n, round(p, 6) AS p, round(b_logit, 6) AS b_logit FROM cal", "bank")
@@ -75,7 +90,7 @@ def item_bank_report(spark, sf_dir):
 
 
 @job(
-    """SELECT id, length(coalesce(text, '')) AS n_chars, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) AS n_words,
+    """SELECT id, length(regexp_replace(coalesce(text, ''), '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g')) AS n_chars, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) AS n_words,
     regexp_matches(coalesce(text, ''), '[0-9]')::INT AS has_digit, contains(coalesce(text, ''), '?')::INT AS has_qmark, (main_question_id IS NOT NULL)::INT AS is_translation FROM doc_items""",
     "doc_items",
 )
@@ -164,7 +179,7 @@ ADDITIVE = f"""held AS (SELECT *, ('0x' || substr(md5(user_id || '|' || question
 
 
 def additive(spark, sf_dir):
-    rows = responses.holdout(scored(spark, sf_dir))
+    rows, _ = written(responses.holdout(scored(spark, sf_dir)), "holdout")
     return responses.additive_predict(rows.where("not held"), rows.where("held")).withColumn("p", F.round("p", 9))
 
 
@@ -186,7 +201,7 @@ def additive_scores(spark, sf_dir):
     "answer_keys",
 )
 def residual_q3(spark, sf_dir):
-    rows = responses.holdout(scored(spark, sf_dir))
+    rows, _ = written(responses.holdout(scored(spark, sf_dir)), "holdout")
     pred = responses.additive_predict(rows.where("not held"), rows).withColumn("p", F.round("p", 9))
     return responses.q3(pred.select("user_id", "question_id", (F.col("y") - F.col("p")).alias("r"))).withColumn("q3", F.round("q3", 5))
 
@@ -220,34 +235,53 @@ def shift_by_category(spark, sf_dir):
 
 
 @job(
-    f"""WITH {PAIRS}, tests AS (SELECT id_t, round(z, 6) AS z, round(exp(-z * z / 2), 12) AS p_value FROM pairs),
+    f"""WITH {PAIRS}, tests AS (SELECT id_t, round(z, 6) AS z, {tail_of('z')} AS p_value FROM pairs),
     ordered AS (SELECT *, row_number() OVER (ORDER BY p_value, id_t) - 1 AS r, count(*) OVER () AS m FROM tests),
     edge AS (SELECT min(r) FILTER (WHERE p_value > 0.05 / (m - r)) AS holm, max(r) FILTER (WHERE p_value <= 0.05 * (r + 1) / m) AS bh FROM ordered)
-    SELECT id_t, z, r < coalesce(edge.holm, m) AS holm, r <= coalesce(edge.bh, -1) AS bh FROM ordered, edge""",
+    SELECT id_t, z, round(p_value, 6) AS p_value, r < coalesce(edge.holm, m) AS holm, r <= coalesce(edge.bh, -1) AS bh FROM ordered, edge""",
     "pair_items",
 )
 def adjusted_tests(spark, sf_dir):
-    """Decisions on a bound of the normal tail, which SQL can say too; `design_effects` takes the exact tail."""
-    z = pair_rows(spark, sf_dir).select("id_t", F.col("z"))
-    tests = z.select("id_t", F.round("z", 6).alias("z"), F.round(F.exp(-F.col("z") * F.col("z") / 2), 12).alias("p_value"))
-    return metrics.adjust(tests, "id_t").select("id_t", "z", "holm", "bh")
+    """Decisions on the two-sided normal tail."""
+    tests = pair_rows(spark, sf_dir).select("id_t", F.round("z", 6).alias("z"), metrics.z_to_p(F.col("z")).alias("p_value"))
+    return metrics.adjust(tests, "id_t").select("id_t", "z", r6(F.col("p_value")).alias("p_value"), "holm", "bh")
 
 
-@job()
+@job(
+    f"""WITH {PAIRS}, d AS (SELECT unnest([1.0, 2.0, 5.0, 10.0, 20.0, 50.0])::DOUBLE AS deff),
+    t AS (SELECT deff, {tail_of('z / sqrt(deff)')} AS p, row_number() OVER (PARTITION BY deff ORDER BY abs(z) DESC, id_t) - 1 AS r, count(*) OVER (PARTITION BY deff) AS m FROM pairs, d)
+    SELECT deff, round(coalesce(min(r) FILTER (WHERE p > 0.05 / (m - r)), any_value(m)) / any_value(m), 6) AS share_holm, round((coalesce(max(r) FILTER (WHERE p <= 0.05 * (r + 1) / m), -1) + 1) / any_value(m), 6) AS share_bh FROM t GROUP BY 1""",
+    "pair_items",
+)
 def design_effects(spark, sf_dir):
-    return metrics.design_effect(pair_rows(spark, sf_dir), "id_t")
+    out = metrics.design_effect(pair_rows(spark, sf_dir), "id_t")
+    return out.select("deff", r6(F.col("share_holm")).alias("share_holm"), r6(F.col("share_bh")).alias("share_bh"))
 
 
-@job()
+@job(
+    f"""WITH {PAIRS}, e AS (SELECT round(bt, 9) - round(bo, 9) AS d FROM pairs), nz AS (SELECT round(d, 9) AS d, round(abs(d), 9) AS a FROM e WHERE round(d, 9) <> 0),
+    k AS (SELECT d, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS r FROM nz), w AS (SELECT count(*) AS n, sum(r) FILTER (WHERE d > 0) AS w_plus FROM k),
+    ties AS (SELECT sum((t ** 3 - t) / 48.0) AS tie FROM (SELECT count(*) AS t FROM nz GROUP BY a))
+    SELECT n, w_plus, round((w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tie), 6) AS z, (SELECT round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) FROM e) AS paired_t FROM w, ties""",
+    "pair_items",
+)
 def paired_tests(spark, sf_dir):
-    return metrics.signed_rank(pair_rows(spark, sf_dir), "id_t", "b_logit_t", "b_logit_o")
+    rows = pair_rows(spark, sf_dir).select("id_t", F.round("b_logit_t", 9).alias("a"), F.round("b_logit_o", 9).alias("b"))
+    out = metrics.signed_rank(rows.withColumn("d", F.round(F.col("a") - F.col("b"), 9)).withColumn("zero", F.lit(0.0)), "id_t", "d", "zero")
+    return out.select("n", "w_plus", r6(F.col("z")).alias("z"), r6(F.col("paired_t")).alias("paired_t"))
 
 
-@job()
+@job(
+    f"""WITH {PAIRS}, u AS (SELECT cat_id, count(*) AS n, sum(d) AS d, sum((abs(d) > 0.5)::INT) AS big FROM pairs GROUP BY 1), {weights_of('cat_id', 'u')},
+    s AS (SELECT rep, sum(w * n) AS n, sum(w * d) AS d, sum(w * big) AS big FROM u JOIN wt USING (cat_id) GROUP BY 1)
+    SELECT 'mean_shift' AS stat, (SELECT round(sum(d) / sum(n), 6) FROM u) AS value, round(quantile_cont(d / n, 0.025), 6) AS ci_low, round(quantile_cont(d / n, 0.975), 6) AS ci_high FROM s
+    UNION ALL SELECT 'share_large', (SELECT round(sum(big) / sum(n), 6) FROM u), round(quantile_cont(big / n, 0.025), 6), round(quantile_cont(big / n, 0.975), 6) FROM s""",
+    "pair_items",
+)
 def shift_bootstrap(spark, sf_dir):
     """Category-cluster bootstrap of the mean shift and its share of large values."""
     d = F.col("b_logit_t") - F.col("b_logit_o")
-    return metrics.bootstrap(pair_rows(spark, sf_dir), ["cat_id"], {"n": F.lit(1.0), "d": d, "big": (F.abs(d) > 0.5).cast("double")}, {"mean_shift": "d / n", "share_large": "big / n"})
+    return metrics.bootstrap(pair_rows(spark, sf_dir), ["cat_id"], {"n": F.lit(1.0), "d": d, "big": (F.abs(d) > 0.5).cast("double")}, {"mean_shift": "d / n", "share_large": "big / n"}).select("stat", *[r6(F.col(c)).alias(c) for c in ("value", "ci_low", "ci_high")])
 
 
 @job(
@@ -297,7 +331,7 @@ def ordered_games(spark, sf_dir):
     return indexed(ratings.duel_outcome(view(spark, sf_dir, "duels")), ["created_at", "id"])
 
 
-@job(f"WITH {GAMES}, n AS (SELECT count(*) AS n FROM games) SELECT id, seq, CASE WHEN seq < floor(n * 0.6) THEN 'train' WHEN seq < floor(n * 0.8) THEN 'val' ELSE 'test' END AS split FROM games, n", "duels")
+@job(f"WITH {GAMES}, n AS (SELECT count(*) AS n FROM games) SELECT id, seq, CASE WHEN seq < n * 0.6::DOUBLE THEN 'train' WHEN seq < n * 0.8::DOUBLE THEN 'val' ELSE 'test' END AS split FROM games, n", "duels")
 def duel_split(spark, sf_dir):
     return time_split(ratings.duel_outcome(view(spark, sf_dir, "duels")), ["created_at", "id"]).select("id", "seq", "split")
 
@@ -359,7 +393,7 @@ def reconstruction_audit(spark, sf_dir):
     return audit.reconstruction_audit(view(spark, sf_dir, "duels"), view(spark, sf_dir, "rounds")).withColumn("draw_share", r6(F.col("draw_share")))
 
 
-ELO_GRID = {f"{k:03d}-{home:02d}": {"k": float(k), "home": float(home)} for k in (8, 16, 24, 32, 48, 64, 96) for home in (0, 20, 40)}
+ELO_GRID = {f"{k:03d}{home:+03d}": {"k": float(k), "home": float(home)} for k in (16, 32, 48, 64, 96, 128, 192) for home in (0, -25, 25)}
 
 
 @job()
@@ -373,7 +407,8 @@ def elo_exact(spark, sf_dir):
 def grid_scores(games: DataFrame, model: str, configs: dict) -> DataFrame:
     pred, _ = ratings.replay(games, model, configs)
     n = games.count()
-    val = games.where((F.col("seq") >= int(n * 0.6)) & (F.col("seq") < int(n * 0.8)) & (F.col("s") != 0.5)).withColumn("y", F.col("s").cast("int"))
+    a, b = cuts(n)
+    val = games.where((F.col("seq") >= a) & (F.col("seq") < b) & (F.col("s") != 0.5)).withColumn("y", F.col("s").cast("int"))
     return metrics.binary_scores(val.join(pred, "seq"), ["config"])
 
 
@@ -423,7 +458,7 @@ def rating_comparison(spark, sf_dir):
     games = ordered_games(spark, sf_dir)
     parts = [ratings.replay(games, m, {m: c})[0] for m, c in (("elo", {"k": 24.0}), ("glicko2", {"tau": 0.5}), ("trueskill", {"beta": 25 / 6, "tau": 25 / 300, "p_draw": 0.1}))]
     n = games.count()
-    test = games.where((F.col("seq") >= int(n * 0.8)) & (F.col("s") != 0.5)).withColumn("y", F.col("s").cast("int"))
+    test = games.where((F.col("seq") >= cuts(n)[1]) & (F.col("s") != 0.5)).withColumn("y", F.col("s").cast("int"))
     return metrics.binary_scores(test.join(parts[0].unionByName(parts[1]).unionByName(parts[2]), "seq"), ["config"])
 
 
@@ -597,8 +632,8 @@ def experienced_duels(spark, sf_dir):
 
 
 @job(
-    f"""WITH {GAMES}, n AS (SELECT count(*) AS n FROM games), rate AS (SELECT avg(s) AS p FROM games, n WHERE seq < floor(n * 0.6) AND s <> 0.5)
-    SELECT count(*) AS n, round(avg((s - p) ** 2), 6) AS brier, round(avg((s = 0.5)::INT), 6) AS draw_share FROM games, rate, n WHERE seq >= floor(n * 0.8)""",
+    f"""WITH {GAMES}, n AS (SELECT count(*) AS n FROM games), rate AS (SELECT avg(s) AS p FROM games, n WHERE seq < n * 0.6::DOUBLE AND s <> 0.5)
+    SELECT count(*) AS n, round(avg((s - p) ** 2), 6) AS brier, round(avg((s = 0.5)::INT), 6) AS draw_share FROM games, rate, n WHERE seq >= n * 0.8::DOUBLE""",
     "duels",
 )
 def draw_report(spark, sf_dir):
@@ -620,8 +655,8 @@ def label_precision(spark, sf_dir):
 
 
 @job(
-    f"""WITH {LONG}, a AS (SELECT cat_id, avg(y) AS v FROM resp WHERE id % 2 = 0 GROUP BY 1), b AS (SELECT cat_id, avg(y) AS v FROM resp WHERE id % 2 = 1 GROUP BY 1)
-    SELECT cat_id, round(a.v, 6) AS ref, round(b.v, 6) AS new, coalesce(abs(a.v - b.v) <= 0.05, false) AS ok FROM a FULL JOIN b USING (cat_id)""",
+    f"""WITH {LONG}, v AS (SELECT cat_id, avg(CASE WHEN id % 2 = 0 THEN y END) AS a, avg(CASE WHEN id % 2 = 1 THEN y END) AS b FROM resp GROUP BY 1)
+    SELECT cat_id, round(a, 6) AS ref, round(b, 6) AS new, coalesce(abs(a - b) <= 0.05, false) AS ok FROM v""",
     "duels",
     "rounds",
 )
@@ -676,11 +711,11 @@ def metadata_boosted(spark, sf_dir):
 
 @job()
 def response_elo_grid(spark, sf_dir):
-    """Scores of 5 gains and 4 decays on the responses between 60 and 80 % of the log."""
+    """Scores of 5 gains and 4 decays, without and with the term of learner and category, on the responses between 60 and 80 % of the log."""
     resp = round_responses(spark, sf_dir)
-    pred, _ = ratings.response_elo(resp, {f"{a:g}-{b:g}": {"a": a, "b": b} for a in (0.1, 0.2, 0.4, 0.8, 1.2) for b in (0.0, 0.02, 0.05, 0.1)})
-    n = resp.count()
-    return metrics.binary_scores(resp.where((F.col("seq") >= int(n * 0.6)) & (F.col("seq") < int(n * 0.8))).join(pred, "seq"), ["config"])
+    pred, _ = ratings.response_elo(resp, {f"{a:g}-{b:g}{'-pairs' * c}": {"a": a, "b": b, "per_cat": c} for c in (False, True) for a in (0.03, 0.05, 0.1, 0.2, 0.4) for b in (0.001, 0.005, 0.02, 0.05)})
+    a, b = cuts(resp.count())
+    return metrics.binary_scores(resp.where((F.col("seq") >= a) & (F.col("seq") < b)).join(pred, "seq"), ["config"])
 
 
 @job()

@@ -5,23 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import difficulty, hash01, norm_text, proportion
+from ..functions.scalars import difficulty, hash01, norm_text, proportion, strip
 from .graphs import connected_components
 from .ordering import indexed, prefix_sums
 
 
 def calibrated_items(q: DataFrame, min_n: int = 30, min_len: int = 3) -> DataFrame:
-    """Items with enough attempts and text, with p and b_logit. A null text counts as empty."""
+    """Items with enough attempts and text, with p and b_logit, their text trimmed. A null text counts as empty."""
     n = F.col("correct") + F.col("fail")
-    keep = q.where((n >= min_n) & (F.length(F.trim(F.coalesce("text", F.lit("")))) >= min_len))
+    keep = q.withColumn("text", strip(F.coalesce("text", F.lit("")))).where((n >= min_n) & (F.length("text") >= min_len))
     return keep.withColumn("p", proportion(F.col("correct"), F.col("fail"))).withColumn("b_logit", difficulty(F.col("correct"), F.col("fail")))
 
 
 def item_features(q: DataFrame) -> DataFrame:
-    """Characters, white-space words, digit and question-mark flags, translation flag."""
-    text = F.coalesce("text", F.lit(""))
+    """Characters and white-space words of the trimmed text, digit and question-mark flags, translation flag.
+
+    Where q has them: image and user flags, reports per 1000 attempts, year of creation.
+    """
+    text = strip(F.coalesce("text", F.lit("")))
+    more = {
+        "image": F.col("image").isNotNull().cast("int").alias("has_image") if "image" in q.columns else None,
+        "user_id": F.col("user_id").isNotNull().cast("int").alias("user_submitted") if "user_id" in q.columns else None,
+        "report": (F.col("report") / (F.col("correct") + F.col("fail")) * 1000).alias("report_rate") if "report" in q.columns else None,
+        "created_at": F.year("created_at").alias("year") if "created_at" in q.columns else None,
+    }
     words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
-    return q.select("id", F.length(text).alias("n_chars"), words.alias("n_words"), text.rlike("[0-9]").cast("int").alias("has_digit"), text.contains("?").cast("int").alias("has_qmark"), F.col("main_question_id").isNotNull().cast("int").alias("is_translation"))
+    return q.select("id", F.length(text).alias("n_chars"), words.alias("n_words"), text.rlike("[0-9]").cast("int").alias("has_digit"), text.contains("?").cast("int").alias("has_qmark"), F.col("main_question_id").isNotNull().cast("int").alias("is_translation"), *(c for c in more.values() if c is not None))
 
 
 def with_options(items: DataFrame, answers: DataFrame, keys: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import normal_two_sided, t_two_sided
-from ..functions.scalars import clip, sigmoid
+from ..functions.scalars import clip, hash_text, sigmoid
+from ..sources.scratch import written
 from .ordering import indexed, prefix_sums
 
 
@@ -104,13 +108,16 @@ def z_to_p(z: Column) -> Column:
 
 
 def design_effect(pairs: DataFrame, key: str, deffs: tuple[float, ...] = (1, 2, 5, 10, 20, 50), level: float = 0.05) -> DataFrame:
-    """Shares rejected (Holm, BH) when z is deflated by the root of each variance inflation."""
-    out = None
-    for d in deffs:
-        part = adjust(pairs.select(key, z_to_p(F.col("z") / d**0.5).alias("p_value")), key, level=level)
-        part = part.agg(F.lit(float(d)).alias("deff"), F.avg(F.col("holm").cast("double")).alias("share_holm"), F.avg(F.col("bh").cast("double")).alias("share_bh"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Shares rejected (Holm, BH) when z is deflated by the root of each variance inflation.
+
+    One order by abs(z) serves all: deflation keeps it.
+    """
+    tested = pairs.where("z is not null").select(key, F.abs("z").alias("_z"), (-F.abs("z")).alias("_order"))
+    placed, _ = written(indexed(tested, ["_order", key], "_r"), "tests")
+    m = placed.count()
+    rows = placed.select("_r", F.posexplode(F.array(*[F.lit(float(d)) for d in deffs])).alias("_k", "deff"), "_z").withColumn("_p", z_to_p(F.col("_z") / F.sqrt("deff")))
+    edges = rows.groupBy("deff").agg(F.min(F.when(F.col("_p") > level / (m - F.col("_r")), F.col("_r"))).alias("holm"), F.max(F.when(F.col("_p") <= level * (F.col("_r") + 1) / m, F.col("_r"))).alias("bh"))
+    return edges.select("deff", (F.coalesce("holm", F.lit(m)) / m).alias("share_holm"), ((F.coalesce("bh", F.lit(-1)) + 1) / m).alias("share_bh"))
 
 
 def signed_rank(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
@@ -125,29 +132,87 @@ def signed_rank(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return w.crossJoin(ties).withColumn("z", z).crossJoin(t).select("n", "w_plus", "z", "paired_t")
 
 
-def bootstrap(df: DataFrame, units: list[str], moments: dict[str, Column], stats: dict[str, str], reps: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
+#: P(N <= k) of a Poisson(1) number, k from 0; what lies beyond the last is below 1e-9.
+POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974149, 0.9999998885745217]
+#: Replicates whose numbers one md5 gives: 8 hex digits each.
+PER_HASH = 4
+
+
+def block_weights(units: list[str], block: Column, seed: int = 0) -> list[Column]:
+    """Poisson(1) weights of the replicates of a block, the product over units; SQL can repeat them from md5."""
+    out = []
+    for k in range(PER_HASH):
+        w = F.lit(1)
+        for unit in units:
+            u = F.conv(F.substring(F.md5(hash_text(F.col(unit), block, seed=seed)), 1 + 8 * k, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+            w = w * sum((u >= c).cast("int") for c in POISSON)
+        out.append(w)
+    return out
+
+
+def bootstrap(df: DataFrame, units: list[str], moments: dict[str, Column], stats: dict[str, str], reps: int = 1000, seed: int = 0, level: float = 0.95, by: list[str] | None = None) -> DataFrame:
     """Percentile intervals of statistics of weighted sums, units resampled with Poisson(1) weights.
 
     moments: sums a statistic needs; stats: SQL over their names. Moments are summed per unit
     first, so a replicate costs a number per unit, and resamples are never made. Several units
     (two players) multiply their weights. A weight depends on the unit, replicate and seed alone.
+    With `by`, a row for each of its groups and statistics.
     """
-    per_unit = df.groupBy(*units).agg(*[F.sum(c).alias(k) for k, c in moments.items()])
-    cut = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974149, 0.9999998885745217]
-
-    def weight(unit: str, r: Column) -> Column:
-        u = F.pmod(F.xxhash64(F.col(unit), r, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-        return sum((u >= c).cast("int") for c in cut)
-
-    rep = per_unit.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    w = weight(units[0], F.col("_rep"))
-    for u in units[1:]:
-        w = w * weight(u, F.col("_rep"))
-    sums = rep.withColumn("_w", w).groupBy("_rep").agg(*[F.sum(F.col("_w") * F.col(k)).alias(k) for k in moments])
-    point = per_unit.agg(*[F.sum(k).alias(k) for k in moments])
+    by = by or []
+    per_unit = df.groupBy(*by, *units).agg(*[F.sum(c).alias(k) for k, c in moments.items()])
+    blocks = per_unit.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(-(-reps // PER_HASH) - 1))))
+    hashed = blocks.withColumns({f"_w{k}": w for k, w in enumerate(block_weights(units, F.col("_block"), seed))})
+    # made once each: the sums below only read them
+    sums = hashed.groupBy(*by, "_block").agg(*[F.sum(F.col(f"_w{k}") * F.col(m)).alias(f"{m}_{k}") for k in range(PER_HASH) for m in moments])
+    each = F.array(*[F.struct(F.lit(k).alias("_k"), *[F.col(f"{m}_{k}").alias(m) for m in moments]) for k in range(PER_HASH)])
+    reps_of = sums.select(*by, "_block", F.explode(each).alias("_s")).where(F.col("_block") * PER_HASH + F.col("_s._k") < reps).select(*by, "_s.*")
+    point = per_unit.groupBy(*by).agg(*[F.sum(k).alias(k) for k in moments])
+    return intervals(reps_of, point, stats, by, level)
+
+
+def intervals(reps: DataFrame, point: DataFrame, stats: dict[str, str], by: list[str], level: float = 0.95) -> DataFrame:
+    """(stat, value, ci_low, ci_high) of each statistic, by group."""
     tail = (1 - level) / 2
-    out = None
-    for name, text in stats.items():
-        part = sums.select(F.expr(text).alias("v")).agg(F.percentile("v", tail).alias("ci_low"), F.percentile("v", 1 - tail).alias("ci_high")).crossJoin(point.select(F.expr(text).alias("value"))).select(F.lit(name).alias("stat"), "value", "ci_low", "ci_high")
-        out = part if out is None else out.unionByName(part)
-    return out
+    unpivot = lambda df, to: df.select(*by, F.explode(F.array(*[F.struct(F.lit(n).alias("stat"), F.expr(t).cast("double").alias(to)) for n, t in stats.items()])).alias("_e")).select(*by, "_e.*")
+    ranges = unpivot(reps, "v").groupBy(*by, "stat").agg(F.percentile("v", tail).alias("ci_low"), F.percentile("v", 1 - tail).alias("ci_high"))
+    return unpivot(point, "value").join(ranges, [*by, "stat"]).select(*by, "stat", "value", "ci_low", "ci_high")
+
+
+def auc_difference(df: DataFrame, units: list[str], y: str, scores: dict[str, str], pairs: list[tuple[str, str]], reps: int = 1000, seed: int = 0, level: float = 0.95, block: int = 1 << 12) -> DataFrame:
+    """AUC of one score less that of another, with percentile intervals, units resampled with Poisson(1) weights.
+
+    Each score orders the rows once. A task holds a block of distinct scores and sums, for all
+    replicates together, the weights of both classes and what pairs inside the block add to the AUC;
+    blocks then need only the negatives before them. Several units multiply their weights.
+    """
+    names = {name: k for k, name in enumerate(scores)}
+    long = df.select(*units, F.col(y).cast("int").alias("_y"), F.explode(F.array(*[F.struct(F.lit(k).alias("_m"), F.col(scores[n]).cast("double").alias("_p")) for n, k in names.items()])).alias("_e")).select(*units, "_y", "_e.*")
+    counts = long.groupBy("_m", "_p").agg(F.count("*").alias("_n"))
+    placed = prefix_sums(indexed(counts, ["_m", "_p"]), ["_m"], "seq", {"_before": F.col("_n")})
+    rows = long.join(placed.select("_m", "_p", F.floor(F.col("_before") / block).alias("_b")), ["_m", "_p"])
+
+    def partial(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_p", kind="stable")
+        weights = np.ones((len(part), reps + 1))  # the last column is the sample itself
+        for unit in units:
+            text = part[unit].astype(str)
+            known = {u: poisson_weights(u, reps, seed) for u in text.unique()}
+            weights[:, :reps] *= np.stack([known[u] for u in text])
+        new = np.concatenate(([True], part["_p"].to_numpy()[1:] != part["_p"].to_numpy()[:-1]))
+        at = np.flatnonzero(new)
+        pos = np.add.reduceat(weights * (part["_y"].to_numpy() == 1)[:, None], at)
+        neg = np.add.reduceat(weights * (part["_y"].to_numpy() == 0)[:, None], at)
+        inside = (pos * (np.cumsum(neg, axis=0) - neg / 2)).sum(axis=0)
+        return pd.DataFrame({"_m": key[0], "_b": key[1], "_rep": np.arange(reps + 1), "_pos": pos.sum(axis=0), "_neg": neg.sum(axis=0), "_in": inside})
+
+    sums = rows.groupBy("_m", "_b").applyInPandas(partial, "_m int, _b long, _rep int, _pos double, _neg double, _in double")
+    before = Window.partitionBy("_m", "_rep").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    auc = sums.withColumn("_less", F.coalesce(F.sum("_neg").over(before), F.lit(0.0))).groupBy("_rep").pivot("_m", list(names.values())).agg(F.sum(F.col("_in") + F.col("_pos") * F.col("_less")) / (F.sum("_pos") * F.sum("_neg")))
+    stats = {f"{a} - {b}": f"`{names[a]}` - `{names[b]}`" for a, b in pairs}
+    return intervals(auc.where(F.col("_rep") < reps), auc.where(F.col("_rep") == reps), stats, [], level)
+
+
+def poisson_weights(unit: str, reps: int, seed: int = 0) -> np.ndarray:
+    """The weights of `block_weights` of one unit, for all replicates."""
+    digest = b"".join(hashlib.md5(f"{unit}|{b}|{seed}".encode()).digest() for b in range(-(-reps // PER_HASH)))
+    return np.searchsorted(POISSON, np.frombuffer(digest, ">u4")[:reps] / 4294967296.0, side="right")

@@ -42,8 +42,12 @@ def prefix_sums(df: DataFrame, key: list[str], seq: str, values: dict[str, Colum
 
 
 def time_split(df: DataFrame, order: list[str], shares: tuple[float, float] = (0.6, 0.2)) -> DataFrame:
-    """seq and split by place: the first share train, the next val, the rest test."""
+    """seq and split by place: train while seq < the first share of n, then val to the sum of both, the rest test."""
     placed = indexed(df, order)
-    n = placed.count()
-    a, b = int(n * shares[0]), int(n * (shares[0] + shares[1]))
+    a, b = cuts(placed.count(), shares)
     return placed.withColumn("split", F.when(F.col("seq") < a, "train").when(F.col("seq") < b, "val").otherwise("test"))
+
+
+def cuts(n: int, shares: tuple[float, float] = (0.6, 0.2)) -> tuple[float, float]:
+    """Places (not rounded) before which train and val rows are."""
+    return shares[0] * n, round(shares[0] + shares[1], 12) * n

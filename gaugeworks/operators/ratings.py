@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import MODELS, PHI0, glicko_update, response_step
-from ..sources.scratch import written
+from ..functions.kernels import MODELS, PHI0, glicko_update, phi_inverse, response_step, trueskill_draw
+from ..sources.scratch import new_path, written
 from .ordering import indexed, prefix_sums
 
 CHUNK = 1 << 17
@@ -78,7 +78,8 @@ OUT = f"kind string, seq long, p double, {STATE}"
 def replay_chunk(games: DataFrame, state: DataFrame, model: str, configs: dict[str, dict], name: str = "chunk") -> tuple[DataFrame, DataFrame]:
     """Predictions and new states of one chunk. games: seq, user_id, opponent_id, s; state: STATE.
 
-    Only the players of the chunk send their states; the result is written before it is used.
+    Only the players of the chunk send their states; the result is written before it is used. Predictions
+    of TrueSkill have p_draw; with `conditional` in a setting, p is that of a win given no draw.
     """
     spark = games.sparkSession
     step, start = MODELS[model]
@@ -92,9 +93,14 @@ def replay_chunk(games: DataFrame, state: DataFrame, model: str, configs: dict[s
         now = {x.player: (x.a, x.b, x.c)[:width] for x in known.itertuples()}
         log = log.sort_values("seq")
         for seq, u, o, s in zip(log["seq"], log["user_id"].astype(str), log["opponent_id"].astype(str), log["s"]):
-            p, now[u], now[o] = step(now.get(u) or start(config), now.get(o) or start(config), s, config)
+            before = now.get(u) or start(config), now.get(o) or start(config)
+            p, now[u], now[o] = step(*before, s, config)
             seen |= {u, o}
-            rows.append(("p", seq, p, key[0], None, None, None, None))
+            draw = None
+            if model == "trueskill":
+                draw, given = trueskill_draw(*before, config)
+                p = given if config.get("conditional") else p
+            rows.append(("p", seq, p, key[0], None, draw, None, None))
         rows += [("s", None, None, key[0], u, *(now[u] + (None,) * 3)[:3]) for u in sorted(seen)]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
 
@@ -102,12 +108,14 @@ def replay_chunk(games: DataFrame, state: DataFrame, model: str, configs: dict[s
     done, _ = written(log.groupBy("config").cogroup(mine.groupBy("config")).applyInPandas(run, OUT), name)
     fresh = done.where("kind = 's'").select("config", "player", "a", "b", "c")
     kept = state.join(fresh.select("config", "player"), ["config", "player"], "left_anti")
-    return done.where("kind = 'p'").select("config", "seq", "p"), kept.unionByName(fresh)
+    draw = [F.col("a").alias("p_draw")] if model == "trueskill" else []
+    return done.where("kind = 'p'").select("config", "seq", "p", *draw), kept.unionByName(fresh)
 
 
 def replay(games: DataFrame, model: str, configs: dict[str, dict], chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """Exact predictions before each game, and final states, for every setting. games need seq."""
     spark = games.sparkSession
+    configs = {k: {"margin": phi_inverse((c["p_draw"] + 1) / 2) * 2**0.5 * c["beta"], **c} if model == "trueskill" and "p_draw" in c else c for k, c in configs.items()}
     state, out = spark.createDataFrame([], STATE), None
     for k in range(max(1, -(-games.count() // chunk))):
         some = games.where((F.col("seq") >= k * chunk) & (F.col("seq") < (k + 1) * chunk))
@@ -147,17 +155,24 @@ def response_elo(resp: DataFrame, configs: dict[str, dict], chunk: int = CHUNK)
 # -- period mode --------------------------------------------------------------
 
 
-def periods_of(games: DataFrame, unit: str) -> list:
-    """The period starts, in order: as many as the log has days or weeks, not rows."""
-    return [r[0] for r in games.select(F.date_trunc(unit, "created_at").alias("t")).distinct().orderBy("t").collect()]
+def by_period(games: DataFrame, unit: str) -> list[DataFrame]:
+    """The games of each period, in order. They are written once by period, so each is a pruned scan of its own folder.
+
+    The driver holds the period starts: as many as the log has hours, days or weeks, not rows.
+    """
+    path = new_path(games.sparkSession, "periods")
+    started = games.withColumn("_period", F.unix_timestamp(F.date_trunc(unit, "created_at")))
+    started.repartition("_period").write.partitionBy("_period").parquet(path)
+    log = games.sparkSession.read.schema(started.schema).parquet(path)
+    starts = sorted(r[0] for r in log.select("_period").distinct().collect())
+    return [log.where(F.col("_period") == t).drop("_period") for t in starts]
 
 
 def elo_periods(games: DataFrame, k: float, home: float = 0.0, unit: str = "week") -> tuple[DataFrame, DataFrame]:
     """Elo with ratings frozen over a period and the updates of a player's games summed."""
     spark = games.sparkSession
     state, out = spark.createDataFrame([], "player long, r double"), None
-    for t in periods_of(games, unit):
-        now = games.where(F.date_trunc(unit, "created_at") == F.lit(t))
+    for now in by_period(games, unit):
         for side, who in (("u", "user_id"), ("o", "opponent_id")):
             now = now.join(state.select(F.col("player").alias(who), F.col("r").alias(f"_{side}")), who, "left")
         diff = F.coalesce("_o", F.lit(0.0)) - F.coalesce("_u", F.lit(0.0)) - home
@@ -173,20 +188,19 @@ def elo_periods(games: DataFrame, k: float, home: float = 0.0, unit: str = "week
 def glicko_periods(games: DataFrame, tau: float = 0.5, unit: str = "week") -> tuple[DataFrame, DataFrame]:
     """Glicko-2 by period: predictions from the states at its start, each player's games summed, one volatility step.
 
-    A player without games in a period keeps mu and sigma; phi grows by sigma, capped at its start.
+    A player without games in a period keeps the whole state.
     """
     spark = games.sparkSession
     state, out = spark.createDataFrame([], "player long, mu double, phi double, sigma double"), None
 
     def update(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [glicko_update(m, f, s, i, g, tau) if i == i and i > 0 else (m, min((f * f + s * s) ** 0.5, PHI0), s) for m, f, s, i, g in zip(b["mu"], b["phi"], b["sigma"], b["info"], b["gain"])]
+            rows = [glicko_update(m, f, s, i, g, tau) for m, f, s, i, g in zip(b["mu"], b["phi"], b["sigma"], b["info"], b["gain"])]
             yield pd.DataFrame({"player": b["player"], "mu": [r[0] for r in rows], "phi": [r[1] for r in rows], "sigma": [r[2] for r in rows]})
 
     pi2 = 9.869604401089358
     g_of = lambda phi: 1 / F.sqrt(1 + 3 * phi * phi / pi2)
-    for t in periods_of(games, unit):
-        now = games.where(F.date_trunc(unit, "created_at") == F.lit(t))
+    for now in by_period(games, unit):
         for side, who in (("u", "user_id"), ("o", "opponent_id")):
             now = now.join(state.select(F.col("player").alias(who), F.col("mu").alias(f"m{side}"), F.col("phi").alias(f"f{side}")), who, "left")
         now = now.withColumns({f"m{x}": F.coalesce(f"m{x}", F.lit(0.0)) for x in "uo"} | {f"f{x}": F.coalesce(f"f{x}", F.lit(PHI0)) for x in "uo"})
@@ -199,13 +213,15 @@ def glicko_periods(games: DataFrame, tau: float = 0.5, unit: str = "week") -> tu
             return now.select(F.col(player).alias("player"), (g * g * e * (1 - e)).alias("info"), (g * (score - e)).alias("gain"))
 
         sums = side("u", "user_id", "o", F.col("s")).unionByName(side("o", "opponent_id", "u", 1 - F.col("s"))).groupBy("player").agg(F.sum("info").alias("info"), F.sum("gain").alias("gain"))
-        full = state.join(sums, "player", "full").select("player", F.coalesce("mu", F.lit(0.0)).alias("mu"), F.coalesce("phi", F.lit(PHI0)).alias("phi"), F.coalesce("sigma", F.lit(0.06)).alias("sigma"), F.coalesce("info", F.lit(0.0)).alias("info"), F.coalesce("gain", F.lit(0.0)).alias("gain"))
-        state, _ = written(full.mapInPandas(update, "player long, mu double, phi double, sigma double"), "ratings")
+        played = sums.join(state, "player", "left").select("player", F.coalesce("mu", F.lit(0.0)).alias("mu"), F.coalesce("phi", F.lit(PHI0)).alias("phi"), F.coalesce("sigma", F.lit(0.06)).alias("sigma"), "info", "gain")
+        idle = state.join(sums.select("player"), "player", "left_anti")
+        state, _ = written(idle.unionByName(played.mapInPandas(update, "player long, mu double, phi double, sigma double")), "ratings")
         pred = now.select("seq", "p")
         out = pred if out is None else out.unionByName(pred)
     return out, state
 
 
 def draw_report(preds: DataFrame) -> DataFrame:
-    """Brier score of the expected score with draws, and the shares of draws. preds: s, p."""
-    return preds.agg(F.count("*").alias("n"), F.avg((F.col("s") - F.col("p")) ** 2).alias("brier"), F.avg((F.col("s") == 0.5).cast("double")).alias("draw_share"))
+    """Brier score of the expected score with draws, and the shares of draws. preds: s, p, and p_draw if the model has it."""
+    more = [F.avg("p_draw").alias("mean_p_draw")] if "p_draw" in preds.columns else []
+    return preds.agg(F.count("*").alias("n"), F.avg((F.col("s") - F.col("p")) ** 2).alias("brier"), F.avg((F.col("s") == 0.5).cast("double")).alias("draw_share"), *more)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash01, logit, sigmoid
+from ..sources.scratch import written
 
 
 def score_response(resp: DataFrame, keys: DataFrame) -> DataFrame:
@@ -24,11 +25,15 @@ def first_attempt(resp: DataFrame) -> DataFrame:
 
 
 def prune(resp: DataFrame, item_min: int = 30, user_min: int = 10, passes: int = 3) -> DataFrame:
-    """Items with enough learners, then learners with enough items, exactly `passes` times."""
+    """Items with enough learners, then learners with enough items, exactly `passes` times.
+
+    Each pass is written, so the log is read once and a pass reads what the one before kept.
+    """
+    resp, _ = written(resp, "responses")
     for _ in range(passes):
         for key, least in (("question_id", item_min), ("user_id", user_min)):
             keep = resp.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(key)
-            resp = resp.join(keep, key, "left_semi")
+            resp, _ = written(resp.join(keep, key, "left_semi"), "pruned")
     return resp
 
 

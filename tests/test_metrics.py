@@ -102,3 +102,49 @@ def test_options_use_keys_of_any_question(spark):
 def test_group_that_crosses_the_share_goes_up(spark):
     df = spark.createDataFrame([(k, 1) for k in range(9)] + [(9, 2)], "id long, group long")
     assert {r.split for r in items.group_split(df).where("group = 1").collect()} <= {"val", "test"}
+
+
+def test_time_split_counts_from_the_shares(spark):
+    from gaugeworks.operators.ordering import time_split
+
+    for n in (7, 10, 13):
+        got = [r.split for r in time_split(spark.range(n), ["id"]).orderBy("seq").collect()]
+        assert got == ["train" if k < 0.6 * n else "val" if k < 0.8 * n else "test" for k in range(n)]
+
+
+def test_auc_difference_against_brute_force(spark):
+    import random
+
+    import numpy as np
+
+    from gaugeworks.operators import metrics
+
+    rnd = random.Random(2)
+    rows = [(k % 9, rnd.randint(0, 11), rnd.randint(0, 1), round(rnd.random(), 1), round(rnd.random(), 1)) for k in range(150)]
+    df = spark.createDataFrame(rows, "u long, o long, y int, a double, b double").repartition(3)
+
+    def auc(w, p):
+        y = np.array([r[2] for r in rows])
+        less = (p[:, None] > p[None, :]) + (p[:, None] == p[None, :]) / 2
+        both = w[:, None] * w[None, :] * (y[:, None] == 1) * (y[None, :] == 0)
+        return (both * less).sum() / both.sum()
+
+    a, b = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+    for units in (["u"], ["u", "o"]):
+        weights = np.ones((40, len(rows)))
+        for k, unit in enumerate(["u", "o"][: len(units)]):
+            known = {r[k]: metrics.poisson_weights(str(r[k]), 40) for r in rows}
+            weights *= np.stack([known[r[k]] for r in rows]).T
+        diffs = [auc(w, a) - auc(w, b) for w in weights]
+        got = metrics.auc_difference(df, units, "y", {"a": "a", "b": "b"}, [("a", "b")], reps=40, block=7).first()
+        assert got.value == __import__("pytest").approx(auc(np.ones(len(rows)), a) - auc(np.ones(len(rows)), b))
+        assert (got.ci_low, got.ci_high) == __import__("pytest").approx(tuple(np.quantile(diffs, [0.025, 0.975])))
+
+
+def test_weights_are_the_same_in_spark_and_numpy(spark):
+    from pyspark.sql import functions as F
+
+    from gaugeworks.operators import metrics
+
+    got = spark.range(5).select("id", *[w.alias(f"w{k}") for k, w in enumerate(metrics.block_weights(["id"], F.lit(3)))]).collect()
+    assert all([r[f"w{k}"] for k in range(4)] == metrics.poisson_weights(str(r.id), 16).tolist()[12:] for r in got)
