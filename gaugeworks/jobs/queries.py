@@ -221,7 +221,7 @@ def pair_rows(spark, sf_dir):
 
 @job(
     f"""WITH {PAIRS} SELECT count(*) AS n, round(corr(bt, bo), 6) AS pearson, round(avg(pt), 6) AS mean_p_t, round(avg(po), 6) AS mean_p_o, round(avg(d), 6) AS mean_shift,
-    round(avg((abs(d) > 0.5)::INT), 6) AS share_large, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS paired_t FROM pairs""",
+    round(avg((abs(d) > 0.5)::INT), 6) AS share_large, round(avg((abs(z) > 3.29)::INT), 6) AS share_significant, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS paired_t FROM pairs""",
     "pair_items",
 )
 def cross_lingual_summary(spark, sf_dir):
@@ -563,8 +563,8 @@ def fitted(spark, sf_dir, model: str):
 
     rows, _ = written(responses.holdout(responses.prune(scored(spark, sf_dir))), "responses")
     train = rows.where("not held").select("user_id", "question_id", "y")
-    params, trace, learners = irt.irt_fit(train, model, rounds=12 if model != "1PL" else 15, tol=0.05)
-    return irt, rows, params, learners
+    params, trace, learners = irt.irt_fit(train, model)
+    return irt, rows, params, learners, irt.converged(trace, 1e-7 * train.count())
 
 
 @job()
@@ -574,19 +574,29 @@ def irt_2pl_items(spark, sf_dir):
 
 @job()
 def irt_criteria(spark, sf_dir):
-    """Information criteria of the 1PL and the 2PL."""
+    """Information criteria of the three models, the best by BIC, and whether the fits converged."""
     out = None
-    for model in ("1PL", "2PL"):
-        irt, rows, params, learners = fitted(spark, sf_dir, model)
-        part = irt.information_criteria(irt.eap(learners, params), params.count(), rows.where("not held").count(), model)
+    for model in ("1PL", "2PL", "3PL"):
+        irt, rows, params, learners, done = fitted(spark, sf_dir, model)
+        part = irt.information_criteria(irt.eap(learners, params), params.count(), rows.where("not held").count(), model).withColumn("converged", F.lit(done))
         out = part if out is None else out.unionByName(part)
-    return out
+    out, _ = written(out, "criteria")
+    return out.crossJoin(F.broadcast(out.agg(F.min_by("model", "bic").alias("_best")))).withColumn("best", F.col("model") == F.col("_best")).drop("_best")
+
+
+@job()
+def irt_without_priors(spark, sf_dir):
+    """Maximum likelihood, and how many discriminations run away."""
+    from ..operators import irt
+
+    rows, _ = written(responses.prune(scored(spark, sf_dir)), "responses")
+    return irt.runaway(irt.irt_fit(rows.select("user_id", "question_id", "y"), "2PL", priors=False)[0])
 
 
 @job()
 def irt_holdout_scores(spark, sf_dir):
     """Held-out responses under the 2PL against the additive predictor."""
-    irt, rows, params, learners = fitted(spark, sf_dir, "2PL")
+    irt, rows, params, learners, _ = fitted(spark, sf_dir, "2PL")
     held = rows.where("held").select("user_id", "question_id", "y")
     a = irt.irt_predict(held, irt.eap(learners, params), params).withColumn("model", F.lit("2PL"))
     b = responses.additive_predict(rows.where("not held"), held).withColumn("model", F.lit("additive")).select(*a.columns)
@@ -595,13 +605,13 @@ def irt_holdout_scores(spark, sf_dir):
 
 @job()
 def irt_item_fit(spark, sf_dir):
-    irt, rows, params, learners = fitted(spark, sf_dir, "2PL")
+    irt, rows, params, learners, _ = fitted(spark, sf_dir, "2PL")
     return responses.item_fit(rows.where("not held"), params, irt.eap(learners, params).select("user_id", "theta"))
 
 
 @job()
 def irt_reliability(spark, sf_dir):
-    irt, _, params, learners = fitted(spark, sf_dir, "2PL")
+    irt, _, params, learners, _ = fitted(spark, sf_dir, "2PL")
     return irt.reliability(irt.eap(learners, params))
 
 
@@ -668,7 +678,7 @@ def metric_comparison(spark, sf_dir):
 
 
 @job(
-    "SELECT count(*) AS tables, sum(rows)::BIGINT AS rows, sum(columns)::BIGINT AS columns, 0::BIGINT AS truncated, count(*) FILTER (WHERE rows = 0) AS empty FROM (" + ORACLE_SQL["data_catalog"] + ")"
+    "SELECT count(*) AS tables, sum(rows)::BIGINT AS rows, sum(columns)::BIGINT AS columns, 0::BIGINT AS truncated, count(*) FILTER (WHERE rows = 0) AS empty, 0::BIGINT AS missing FROM (" + ORACLE_SQL["data_catalog"] + ")"
 )
 def catalog_summary(spark, sf_dir):
     return audit.catalog_summary(audit.catalog({t: table(spark, sf_dir, t) for t in NAMES}))
@@ -740,5 +750,8 @@ def series_abilities(spark, sf_dir):
     from ..operators import irt
 
     rows, _ = written(responses.prune(scored(spark, sf_dir)), "responses")
-    params, _, _ = irt.irt_fit(rows.select("user_id", "question_id", "y"), "1PL", rounds=8, tol=0.5)
+    params, _, _ = irt.irt_fit(rows.select("user_id", "question_id", "y"), "1PL")
     return irt.series_ability(rows, params)
+
+
+from . import extended  # noqa: E402,F401  registers more jobs

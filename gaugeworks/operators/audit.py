@@ -22,8 +22,17 @@ def catalog(tables: dict[str, DataFrame], limit: int = 0) -> DataFrame:
     return out.withColumn("truncated", (F.lit(limit) > 0) & (F.col("rows") >= limit))
 
 
+def manifest_catalog(manifest: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """The catalogue of an export: what its manifest lists beside what is there. manifest: as `sources.tables.read_manifest` gives."""
+    times = catalog(tables).select("table", "first", "last", F.lit(True).alias("_there"))
+    out = manifest.join(times, "table", "left")
+    return out.select("table", "rows", F.size("columns").alias("columns"), (F.col("rows") >= F.col("row_limit")).alias("truncated"), F.coalesce("_there", F.lit(False)).alias("present"), F.array_join("excluded_columns", ",").alias("excluded"), "first", "last")
+
+
 def catalog_summary(cat: DataFrame) -> DataFrame:
-    return cat.agg(F.count("*").alias("tables"), F.sum("rows").alias("rows"), F.sum("columns").alias("columns"), F.count_if("truncated").alias("truncated"), F.count_if(F.col("rows") == 0).alias("empty"))
+    """One row of totals; missing counts listed tables that are not there."""
+    missing = F.count_if(~F.col("present")) if "present" in cat.columns else F.lit(0).cast("long")
+    return cat.agg(F.count("*").alias("tables"), F.sum("rows").alias("rows"), F.sum("columns").alias("columns"), F.count_if("truncated").alias("truncated"), F.count_if(F.col("rows") == 0).alias("empty"), missing.alias("missing"))
 
 
 def reconstruction_audit(games: DataFrame, rounds: DataFrame) -> DataFrame:
@@ -34,6 +43,31 @@ def reconstruction_audit(games: DataFrame, rounds: DataFrame) -> DataFrame:
     return a.crossJoin(players).crossJoin(b)
 
 
+def round_histogram(rounds: DataFrame) -> DataFrame:
+    """Games by their number of rounds, with the share of them whose rounds all have one time."""
+    per = rounds.groupBy("game_id").agg(F.count("*").alias("rounds"), F.count_distinct("created_at").alias("times"))
+    return per.groupBy("rounds").agg(F.count("*").alias("games"), F.avg((F.col("times") == 1).cast("double")).alias("share_one_time"))
+
+
+def category_link(difficulty: DataFrame, items: DataFrame, preds: DataFrame | None = None) -> DataFrame:
+    """Difficulty of categories in duels beside the mean difficulty of their bank items, and of predictions if there are any.
+
+    difficulty: (cat_id, elo_difficulty, n_resp); items: (id, cat_id, b_logit); preds: (cat_id, pred).
+    """
+    bank = items.groupBy("cat_id").agg(F.avg("b_logit").alias("bank_b"), F.count("*").alias("n_items"))
+    link = difficulty.join(bank, "cat_id")
+    return link.join(preds.groupBy("cat_id").agg(F.avg("pred").alias("model_b")), "cat_id", "left") if preds is not None else link
+
+
+def link_report(link: DataFrame, key: str, x: str, y: str, weight: str) -> DataFrame:
+    """r of all rows, the range of r without each row and the row whose removal gives the lowest, and r without the two of smallest weight."""
+    loo = leave_one_out(link, key, x, y).agg(F.min("r").alias("loo_low"), F.max("r").alias("loo_high"), F.min_by(key, F.struct("r", key)).alias("lowest_without"))
+    two = F.array_sort(F.collect_list(F.struct(weight, key)))  # a row a category
+    few = link.agg(F.slice(two, 1, 2)[key].alias("_few"))
+    kept = link.crossJoin(F.broadcast(few)).where(~F.array_contains("_few", F.col(key))).agg(F.corr(x, y).alias("r_without_two"), F.count("*").alias("n_without_two"))
+    return link.agg(F.count("*").alias("n"), F.corr(x, y).alias("r_all")).crossJoin(loo).crossJoin(kept)
+
+
 def label_audit(items: DataFrame, label: str, other: str) -> DataFrame:
     """Confusion counts of two labels."""
     return items.groupBy(F.col(label).alias("label"), F.col(other).alias("other")).agg(F.count("*").alias("n"))
@@ -82,6 +116,12 @@ def read_runs(spark: SparkSession, glob: str) -> DataFrame:
     return rows.withColumns({"model": parts[0], "input": parts[1], "seed": F.substring(parts[2], 2, 9).cast("int"), "split": parts[3]})
 
 
+def read_run_folders(spark: SparkSession, path: str) -> DataFrame:
+    """Runs written by name, run=model__input__sN__split, with the parts of their names."""
+    parts = F.split("run", "__")
+    return spark.read.csv(path, header=True, inferSchema=False).withColumns({"model": parts[0], "input": parts[1], "seed": F.substring(parts[2], 2, 9).cast("int"), "split": parts[3]})
+
+
 def pivot_predictions(runs: DataFrame, item: str = "id", pred: str = "pred") -> DataFrame:
     return runs.groupBy(item).pivot("model").agg(F.first(pred))
 

@@ -43,20 +43,44 @@ def posterior(items: np.ndarray, ys: np.ndarray, params: dict, nodes: np.ndarray
 
 
 def expected_counts(learners: DataFrame, params: dict) -> DataFrame:
-    """(question_id, n array, r array, loglik) summed over learners; question_id null carries the log-likelihood."""
-    shared = learners.sparkSession.sparkContext.broadcast(params)
+    """(question_id, n array, r array, loglik) summed over learners; question_id null carries the log-likelihood.
+
+    A batch of learners is a few array operations: log-likelihoods of all its responses, summed by
+    learner, and the posteriors of its responses, summed by item.
+    """
+    names = np.array(sorted(params), np.int64)
+    shared = learners.sparkSession.sparkContext.broadcast((names, np.array([params[q] for q in names.tolist()]).reshape(-1, 3)))
     nodes, weights = normal_nodes(NODES)
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, r, total = {}, {}, 0.0
+        names, abc = shared.value
+        p = np.clip(icc(nodes[None, :], *(abc[:, k : k + 1] for k in range(3))), 1e-10, 1 - 1e-10)
+        right, wrong = np.log(p), np.log(1 - p)
+        n, r, total = np.zeros((len(names), NODES)), np.zeros((len(names), NODES)), 0.0
         for batch in batches:
-            for items, ys in zip(batch["items"], batch["ys"]):
-                post, ll = posterior(items, ys, shared.value, nodes, weights)
-                total += ll
-                for q, y in zip(items, ys):
-                    n[q] = n.get(q, 0) + post
-                    r[q] = r.get(q, 0) + y * post
-        rows = [(int(q), (np.zeros(NODES) + n[q]).tolist(), (np.zeros(NODES) + r[q]).tolist(), 0.0) for q in n]
+            counts = np.fromiter(map(len, batch["items"]), np.int64, len(batch))
+            item, y = np.concatenate(batch["items"].tolist()).astype(np.int64), np.concatenate(batch["ys"].tolist()).astype(float)
+            learner = np.repeat(np.arange(len(batch)), counts)
+            at = np.minimum(np.searchsorted(names, item), len(names) - 1)
+            known = names[at] == item
+            at, y, learner = at[known], y[known][:, None], learner[known]
+            like = np.tile(np.log(weights), (len(batch), 1))
+            edge = np.flatnonzero(np.concatenate(([True], learner[1:] != learner[:-1]))) if len(learner) else np.zeros(0, np.int64)
+            if len(edge):
+                like[learner[edge]] += np.add.reduceat(np.where(y > 0, right[at], wrong[at]), edge)
+            top = like.max(axis=1, keepdims=True)
+            mass = np.exp(like - top)
+            whole = mass.sum(axis=1, keepdims=True)
+            total += float((top + np.log(whole)).sum())
+            post = mass / whole
+            order = np.argsort(at, kind="stable")
+            if len(order):
+                edge = np.flatnonzero(np.concatenate(([True], at[order][1:] != at[order][:-1])))
+                mine = post[learner[order]]
+                n[at[order][edge]] += np.add.reduceat(mine, edge)
+                r[at[order][edge]] += np.add.reduceat(mine * y[order], edge)
+        some = np.flatnonzero(n.sum(axis=1))
+        rows = [(int(names[k]), n[k].tolist(), r[k].tolist(), 0.0) for k in some]
         yield pd.DataFrame([*rows, (None, [0.0] * NODES, [0.0] * NODES, total)], columns=["question_id", "n", "r", "loglik"]).astype({"question_id": "Int64"})
 
     parts = learners.mapInPandas(step, "question_id long, n array<double>, r array<double>, loglik double")
@@ -65,52 +89,68 @@ def expected_counts(learners: DataFrame, params: dict) -> DataFrame:
 
 
 def maximised(counts: DataFrame, params: dict, model: str, priors: bool) -> DataFrame:
-    """(question_id, a, b, c, ga, ha): item maxima, and the slope and curvature of the objective in a common log a."""
+    """(question_id, a, b, c, ga, ha, loglik): item maxima, and the slope and curvature of the objective in a common log a.
+
+    The row without an item passes the log-likelihood on.
+    """
     shared = counts.sparkSession.sparkContext.broadcast(params)
     nodes, _ = normal_nodes(NODES)
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for q, n, r in zip(batch["question_id"], batch["n"], batch["r"]):
+            for q, n, r, ll in zip(batch["question_id"], batch["n"], batch["r"], batch["loglik"]):
+                if pd.isna(q):
+                    rows.append((None, 0.0, 0.0, 0.0, 0.0, 0.0, ll))
+                    continue
                 n, r = np.asarray(n), np.asarray(r)
-                a, b, c = item_maximum(n, r, nodes, *shared.value[q], model, priors)
+                a, b, c = item_maximum(n, r, nodes, *shared.value[int(q)], model, priors)
                 p = icc(nodes, a, b, c)
                 d = a * (nodes - b)
-                rows.append((q, a, b, c, float(((r - n * p) * d).sum()), float((n * p * (1 - p) * d * d).sum())))
-            yield pd.DataFrame(rows, columns=["question_id", "a", "b", "c", "ga", "ha"])
+                rows.append((int(q), a, b, c, float(((r - n * p) * d).sum()), float((n * p * (1 - p) * d * d).sum()), 0.0))
+            yield pd.DataFrame(rows, columns=["question_id", "a", "b", "c", "ga", "ha", "loglik"]).astype({"question_id": "Int64"})
 
-    return counts.where("question_id is not null").select("question_id", "n", "r").mapInPandas(step, "question_id long, a double, b double, c double, ga double, ha double")
+    return counts.mapInPandas(step, "question_id long, a double, b double, c double, ga double, ha double, loglik double")
 
 
-def irt_fit(resp: DataFrame, model: str = "2PL", priors: bool = True, rounds: int = 60, tol: float = 1e-4) -> tuple[DataFrame, list[float], DataFrame]:
+def irt_fit(resp: DataFrame, model: str = "2PL", priors: bool = True, rounds: int = 200, tol: float = 1e-7) -> tuple[DataFrame, list[float], DataFrame]:
     """Item parameters (question_id, a, b, c), the objective after each round, and the packed learners.
 
-    Stops when the objective gains less than tol; it does not fall (a test checks this).
+    Stops when the objective gains less than tol for each response; it does not fall (a test
+    checks both). A round is one job: counts, sums by item, item maxima; the driver gets a row per
+    item. `converged` tells whether the last gain was under the tolerance.
     """
     if model not in MODELS:
         raise ValueError(f"model must be one of {sorted(MODELS)}")
     spark = resp.sparkSession
     learners = packed(resp)
-    stats = resp.groupBy("question_id").agg(((F.sum("y") + 0.5) / (F.count("*") + 1)).alias("p")).toPandas()  # a row per item
+    stats = resp.groupBy("question_id").agg(((F.sum("y") + 0.5) / (F.count("*") + 1)).alias("p"), F.count("*").alias("n")).toPandas()  # a row per item
     params = {int(q): (1.0, float(np.clip(-np.log(p / (1 - p)), -4, 4)), 0.15 if model == "3PL" else 0.0) for q, p in zip(stats["question_id"], stats["p"])}
+    limit = tol * max(1, int(stats["n"].sum()))
     trace: list[float] = []
-    schema = "question_id long, a double, b double, c double"
-    for _ in range(rounds):
-        counts, _ = written(expected_counts(learners, params), "counts")
-        value = counts.where("question_id is null").first()
-        objective = (value["loglik"] if value else 0.0) + (sum(log_prior(x, model) for x in params.values()) if priors else 0.0)
-        if trace and objective - trace[-1] < tol:
-            trace.append(objective)
-            break
+    for _ in range(rounds if params else 0):
+        found = maximised(expected_counts(learners, params), params, model, priors).toPandas()
+        total, found = float(found["loglik"].sum()), found[found["question_id"].notna()]
+        objective = total + (sum(log_prior(x, model) for x in params.values()) if priors else 0.0)
         trace.append(objective)
-        found = maximised(counts, params, model, priors).toPandas()
-        params = {int(r.question_id): (r.a, r.b, r.c) for r in found.itertuples()}
+        if converged(trace, limit):
+            break
+        new = {int(r.question_id): (r.a, r.b, r.c) for r in found.itertuples()}
         if model == "1PL" and len(found):
             a = float(np.exp(np.log(found["a"].iloc[0]) + np.clip(found["ga"].sum() / max(found["ha"].sum(), 1e-9), -0.5, 0.5)))
-            params = {q: (a, b, c) for q, (_, b, c) in params.items()}
+            new = {q: (a, b, c) for q, (_, b, c) in new.items()}
+        params = new
     rows = [(q, *map(float, x)) for q, x in sorted(params.items())]
-    return spark.createDataFrame(rows, schema), trace, learners
+    return spark.createDataFrame(rows, "question_id long, a double, b double, c double"), trace, learners
+
+
+def converged(trace: list[float], limit: float) -> bool:
+    return len(trace) > 1 and trace[-1] - trace[-2] < limit
+
+
+def runaway(params: DataFrame, most: float = 4.0) -> DataFrame:
+    """How many discriminations run away (over `most`), as without priors they may."""
+    return params.agg(F.count("*").alias("items"), F.count_if(F.col("a") > most).alias("runaway"), F.max("a").alias("largest_a"))
 
 
 def log_prior(abc: tuple[float, float, float], model: str) -> float:
@@ -179,7 +219,7 @@ def item_difficulty(rows: DataFrame, mu: float = 0.0, s2: float = 9.0, a: float
     return state
 
 
-def new_learner_holdout(resp: DataFrame, model: str = "2PL", seed: int = 0, rounds: int = 15) -> DataFrame:
+def new_learner_holdout(resp: DataFrame, model: str = "2PL", seed: int = 0) -> DataFrame:
     """Held-out answers of new learners: parameters from 80 % of the learners, ability from half of
     the answers of the rest, p for the other half. Shares are hashed, so partitioning has no say."""
     from ..functions.scalars import hash01
@@ -187,7 +227,7 @@ def new_learner_holdout(resp: DataFrame, model: str = "2PL", seed: int = 0, roun
     new = hash01(F.col("user_id"), seed=seed) < 0.2
     seen = hash01(F.col("user_id"), F.col("question_id"), seed=seed + 1) < 0.5
     rows, _ = written(resp.select("user_id", "question_id", "y").withColumn("_new", new).withColumn("_seen", seen), "new-learners")
-    params, _, _ = irt_fit(rows.where("not _new").drop("_new", "_seen"), model, rounds=rounds, tol=0.05)
+    params, _, _ = irt_fit(rows.where("not _new").drop("_new", "_seen"), model)
     ability = eap(packed(rows.where("_new and _seen").drop("_new", "_seen")), params)
     return irt_predict(rows.where("_new and not _seen").drop("_new", "_seen"), ability, params)
 

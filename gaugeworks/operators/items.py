@@ -33,6 +33,23 @@ def item_features(q: DataFrame) -> DataFrame:
     return q.select("id", F.length(text).alias("n_chars"), words.alias("n_words"), text.rlike("[0-9]").cast("int").alias("has_digit"), text.contains("?").cast("int").alias("has_qmark"), F.col("main_question_id").isNotNull().cast("int").alias("is_translation"), *(c for c in more.values() if c is not None))
 
 
+def with_category(items: DataFrame, cats: DataFrame) -> DataFrame:
+    """cat_name and cat_name_ru by cat_id; null without one. cats: (id, name, name_ru), a short list."""
+    names = cats.select(F.col("id").alias("cat_id"), F.col("name").alias("cat_name"), F.col("name_ru").alias("cat_name_ru"))
+    return items.join(names, "cat_id", "left")
+
+
+def model_input(category: Column, text: Column) -> Column:
+    """The text a model reads: category name, " : ", text; a null category is empty."""
+    return F.concat(F.coalesce(category, F.lit("")), F.lit(" : "), F.coalesce(text, F.lit("")))
+
+
+def tournament_items(questions: DataFrame, params: DataFrame, cats: DataFrame) -> DataFrame:
+    """Questions with item parameters (question_id, ...), their category names and whether they have an image."""
+    rows = with_category(questions.select("id", "text", "cat_id", F.col("image").isNotNull().cast("int").alias("has_image")), cats).drop("cat_name_ru")
+    return rows.join(params, rows["id"] == params["question_id"]).drop("question_id")
+
+
 def with_options(items: DataFrame, answers: DataFrame, keys: DataFrame) -> DataFrame:
     """Key texts and distractor texts, each by answer id and joined by " | "; membership in any question's key counts."""
     known = keys.select(F.col("answer_id").alias("id"), F.lit(True).alias("is_key")).distinct()
@@ -105,6 +122,7 @@ def cross_lingual(pairs: DataFrame) -> DataFrame:
         F.avg("p_o").alias("mean_p_o"),
         F.avg(d).alias("mean_shift"),
         F.avg((F.abs(d) > 0.5).cast("double")).alias("share_large"),
+        F.avg((F.abs("z") > 3.29).cast("double")).alias("share_significant"),
         (F.avg(d) / (F.stddev_samp(d) / F.sqrt(F.count("*")))).alias("paired_t"),
     )
 

@@ -83,6 +83,27 @@ def screening(df: DataFrame, key: str, truth: str, pred: str) -> DataFrame:
     return rows.agg(F.lit(k).alias("k"), (F.count_if(picked & (F.col("_t") == 1)) / k).alias("precision"), (F.count_if(picked & (F.col(truth) < F.col("_m"))) / k).alias("in_easier_half"))
 
 
+def decile_screening(df: DataFrame, key: str, truth: str, pred: str) -> DataFrame:
+    """AUC of the hardest and of the easiest tenth under the prediction, and the share of the predicted easiest in the harder half."""
+    n = df.count()
+    k = df.sparkSession.range(1).select(F.bround(F.lit(n * 0.1)).cast("long")).first()[0]
+    rows, _ = written(df.select(key, truth, pred), "screening")
+    ends = lambda c, sign, name: indexed(rows.select(key, (sign * F.col(c)).alias("_s")), ["_s", key], "_r").where(F.col("_r") < k).select(key, F.lit(1).alias(name))
+    median = rows.agg(F.percentile(truth, 0.5).alias("_m"))
+    all_, _ = written(rows.join(ends(truth, -1, "_hard"), key, "left").join(ends(truth, 1, "_easy"), key, "left").join(ends(pred, 1, "_low"), key, "left").crossJoin(F.broadcast(median)), "ends")
+    auc = lambda flag, p: binary_scores(all_.select(F.coalesce(flag, F.lit(0)).alias("y"), p.alias("p")), []).select("auc")
+    share = all_.agg(F.lit(k).alias("k"), (F.count_if((F.col("_low") == 1) & (F.col(truth) > F.col("_m"))) / k).alias("in_harder_half"))
+    return share.crossJoin(auc("_hard", F.col(pred)).withColumnRenamed("auc", "auc_hardest")).crossJoin(auc("_easy", -F.col(pred)).withColumnRenamed("auc", "auc_easiest"))
+
+
+def scale_correlations(df: DataFrame, pairs: list[tuple[str, str]], cuts: dict[str, Column]) -> DataFrame:
+    """(cut, x, y, n, pearson, spearman, p values) of pairs of columns over the rows of each named cut; a row may be in several."""
+    each = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) for x, y in pairs])
+    named = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in cuts.items()]))
+    rows = df.select(F.explode(named).alias("cut"), each.alias("_e")).select("cut", F.explode("_e").alias("e")).select("cut", "e.*")
+    return correlations(rows, ["cut", "x", "y"], "_x", "_y")
+
+
 def best_config(scores: DataFrame, by: list[str], loss: str = "log_loss", order: str = "config") -> DataFrame:
     """The row of smallest loss, the first in grid order on ties."""
     return scores.groupBy(*by).agg(F.min_by(F.struct(*scores.columns), F.struct(loss, order)).alias("r")).select("r.*")
@@ -207,7 +228,7 @@ def auc_difference(df: DataFrame, units: list[str], y: str, scores: dict[str, st
 
     sums = rows.groupBy("_m", "_b").applyInPandas(partial, "_m int, _b long, _rep int, _pos double, _neg double, _in double")
     before = Window.partitionBy("_m", "_rep").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
-    auc = sums.withColumn("_less", F.coalesce(F.sum("_neg").over(before), F.lit(0.0))).groupBy("_rep").pivot("_m", list(names.values())).agg(F.sum(F.col("_in") + F.col("_pos") * F.col("_less")) / (F.sum("_pos") * F.sum("_neg")))
+    auc = sums.withColumn("_less", F.coalesce(F.sum("_neg").over(before), F.lit(0.0))).groupBy("_rep").pivot("_m", list(names.values())).agg(F.try_divide(F.sum(F.col("_in") + F.col("_pos") * F.col("_less")), F.sum("_pos") * F.sum("_neg")))
     stats = {f"{a} - {b}": f"`{names[a]}` - `{names[b]}`" for a, b in pairs}
     return intervals(auc.where(F.col("_rep") < reps), auc.where(F.col("_rep") == reps), stats, [], level)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hash01, logit, sigmoid
 from ..sources.scratch import written
+from .graphs import connected_components
 
 
 def score_response(resp: DataFrame, keys: DataFrame) -> DataFrame:
@@ -80,6 +81,40 @@ def series_overlap(resp: DataFrame) -> DataFrame:
     return s.alias("a").join(s.alias("b"), F.expr("a.user_id = b.user_id and a.series_id < b.series_id")).groupBy(F.col("a.series_id").alias("series_a"), F.col("b.series_id").alias("series_b")).agg(F.count("*").alias("learners"))
 
 
+def series_counts(resp: DataFrame) -> DataFrame:
+    """Learners by the number of series they are in."""
+    per = resp.groupBy("user_id").agg(F.count_distinct("series_id").alias("series"))
+    return per.groupBy("series").agg(F.count("*").alias("learners"))
+
+
+def design_totals(resp: DataFrame) -> DataFrame:
+    """Density of the learner-item table, learners in several groups, and median responses of learners and items."""
+    cells = resp.select("user_id", "question_id").distinct().agg(F.count("*").alias("cells"))
+    users = resp.groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("group_id").alias("g")).agg(F.count("*").alias("learners"), F.percentile("n", 0.5).alias("median_by_learner"), F.count_if(F.col("g") > 1).alias("multi_round"))
+    items = resp.groupBy("question_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("items"), F.percentile("n", 0.5).alias("median_by_item"))
+    return cells.crossJoin(users).crossJoin(items).select("learners", "items", (F.col("cells") / (F.col("learners") * F.col("items"))).alias("density"), "multi_round", "median_by_learner", "median_by_item")
+
+
+def pair_shares(pairs: DataFrame, series: DataFrame, least: int = 50) -> DataFrame:
+    """Shares of all item pairs with any common learner and with `least` of them, and of pairs across series with any.
+
+    pairs: (i, j, n) that share a learner; series: (question_id, series_id) of every item.
+    """
+    of = lambda c: series.select(F.col("question_id").alias(c), F.col("series_id").alias(f"_s{c}"))
+    sides = pairs.join(of("i"), "i").join(of("j"), "j")
+    counts = sides.agg(F.count("*").alias("any"), F.count_if(F.col("n") >= least).alias("enough"), F.count_if(F.col("_si") != F.col("_sj")).alias("across"))
+    size = series.groupBy("series_id").agg(F.count("*").alias("k")).agg(F.sum("k").alias("items"), F.sum(F.col("k") * F.col("k")).alias("squares"))
+    i, q = F.col("items"), F.col("squares")
+    return counts.crossJoin(size).select((i * (i - 1) / 2).cast("long").alias("pairs"), (2 * F.col("any") / (i * (i - 1))).alias("share_any"), (2 * F.col("enough") / (i * (i - 1))).alias("share_enough"), (2 * F.col("across") / (i * i - q)).alias("share_across"))
+
+
+def response_components(resp: DataFrame) -> DataFrame:
+    """Components of the graph of learners and items, with their learners and items."""
+    node = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    parts = connected_components(resp.select(node("i", "question_id").alias("a"), node("u", "user_id").alias("b")).distinct())
+    return parts.groupBy("component").agg(F.count_if(F.col("node").startswith("u")).alias("learners"), F.count_if(F.col("node").startswith("i")).alias("items"))
+
+
 def item_fit(resp: DataFrame, params: DataFrame, theta: DataFrame) -> DataFrame:
     """Infit and outfit of each item under p = c + (1 - c) sigmoid(a (theta - b))."""
     rows = resp.join(params, "question_id").join(theta, "user_id")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StringIndexer
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import norm_text
+from ..sources.scratch import written
+from .ordering import indexed
 
 
 def word_grams(text: Column, low: int = 1, high: int = 2) -> Column:
@@ -74,6 +78,49 @@ def similar_pairs(vectors: DataFrame, key: str, threshold: float = 0.8) -> DataF
     return both.groupBy("i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("cosine")).where(F.col("cosine") >= threshold)
 
 
+def nearest(src: DataFrame, dst: DataFrame, key: str, digits: int = 9) -> DataFrame:
+    """(key, nearest, cosine): of each row of src that shares a gram the most similar row of dst (rounded; the smallest key on ties).
+
+    src and dst are rows (key, gram, weight) of one vectoriser. The products are summed before the
+    shuffle on pairs; no threshold prunes, as the maximum itself is wanted.
+    """
+    pairs = src.select(F.col(key).alias("i"), "gram", F.col("weight").alias("_a")).join(dst.select(F.col(key).alias("j"), "gram", F.col("weight").alias("_b")), "gram")
+    cosine = pairs.groupBy("i", "j").agg(F.round(F.sum(F.col("_a") * F.col("_b")), digits).alias("cosine"))
+    best = cosine.groupBy("i").agg(F.max(F.struct("cosine", (-F.col("j")).alias("_j"))).alias("b"))
+    return best.select(F.col("i").alias(key), (-F.col("b._j")).alias("nearest"), F.col("b.cosine").alias("cosine"))
+
+
+def near_matches(src: DataFrame, dst: DataFrame, key: str, threshold: float = 0.8) -> DataFrame:
+    """Keys of src with a row of dst at or above the threshold, by the prefix filter of `similar_pairs`, of src and dst sides only."""
+    from pyspark.sql import Window
+
+    both = src.withColumn("_side", F.lit(0)).unionByName(dst.withColumn("_side", F.lit(1)))
+    df = both.groupBy("gram").agg(F.count("*").alias("df"))
+    rest = Window.partitionBy("_side", key).orderBy(F.col("df").desc(), F.col("gram").desc())  # a row's own grams only
+    tail = both.join(df, "gram").withColumn("_tail", F.sqrt(F.sum(F.col("weight") ** 2).over(rest))).where(F.col("_tail") >= threshold - 1e-9)
+    a, b = (tail.where(F.col("_side") == k).select(F.col(key).alias(n), "gram") for k, n in ((0, "i"), (1, "j")))
+    candidates = a.join(b, "gram").select("i", "j").distinct()
+    left = candidates.join(src.select(F.col(key).alias("i"), "gram", F.col("weight").alias("_a")), "i")
+    found = left.join(dst.select(F.col(key).alias("j"), "gram", F.col("weight").alias("_b")), ["j", "gram"])
+    return found.groupBy("i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("c")).where(F.col("c") >= threshold).select(F.col("i").alias(key)).distinct()
+
+
+def overlap_flags(new: DataFrame, bank: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(id, same_form, near, linked, excluded) of new items against the bank: equal normal form, char 3-5-gram cosine at the threshold, a translation link either way.
+
+    The vectoriser takes both tables, raw counts and every gram.
+    """
+    forms = overlap(new.select("id", "text", "main_question_id"), bank)
+    rows = new.select("id", "text").withColumn("_n", F.lit(1)).unionByName(bank.select("id", "text").withColumn("_n", F.lit(0))).withColumn("_key", F.struct("_n", "id"))
+    vectors, _ = written(tfidf(rows, "_key", char_grams(F.col("text")), sublinear=False), "vectors")
+    near = near_matches(vectors.where("_key._n = 1"), vectors.where("_key._n = 0"), "_key", threshold).select(F.col("_key.id").alias("id"), F.lit(True).alias("_near"))
+    out = forms.join(near, "id", "left").join(bank.select(F.col("id").alias("main_question_id"), F.lit(True).alias("_to")).distinct(), "main_question_id", "left")
+    out = out.join(bank.select(F.col("main_question_id").alias("id"), F.lit(True).alias("_from")).where("id is not null").distinct(), "id", "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    flags = out.select("id", "same_form", yes("_near").alias("near"), (yes("_to") | yes("_from")).alias("linked"))
+    return flags.withColumn("excluded", F.col("same_form") | F.col("near") | F.col("linked"))
+
+
 def overlap(new: DataFrame, bank: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """New items with same_form: whether their normal form is in the bank."""
     forms = bank.select(norm_text(F.col(text)).alias("_f")).distinct().withColumn("_in", F.lit(True))
@@ -81,10 +128,14 @@ def overlap(new: DataFrame, bank: DataFrame, key: str = "id", text: str = "text"
 
 
 def ridge_fit(train: DataFrame, val: DataFrame, features: str, y: str, alphas: tuple[float, ...] = (0.3, 1, 3, 10, 30)):
-    """The ridge model of smallest validation RMSE, and a row for each alpha. The penalty is alpha over rows, unstandardised."""
-    n, best, rows = train.count(), None, []
+    """The ridge model of smallest validation RMSE, and a row for each alpha. Squared errors + alpha * squared coefficients, unstandardised.
+
+    Spark divides the penalty by the deviation of y, so that is multiplied in.
+    """
+    n, deviation = train.agg(F.count("*"), F.coalesce(F.stddev_pop(y), F.lit(1.0))).first()
+    best, rows = None, []
     for alpha in alphas:
-        model = LinearRegression(featuresCol=features, labelCol=y, predictionCol="yhat", elasticNetParam=0.0, regParam=alpha / max(1, n), standardization=False).fit(train)
+        model = LinearRegression(featuresCol=features, labelCol=y, predictionCol="yhat", elasticNetParam=0.0, regParam=alpha * deviation / max(1, n), standardization=False).fit(train)
         rmse = model.transform(val).agg(F.sqrt(F.avg((F.col("yhat") - F.col(y)) ** 2))).first()[0]
         rows.append((float(alpha), rmse))
         if best is None or rmse < best[0]:
@@ -99,9 +150,81 @@ def vector_ridge(df: DataFrame, vector: str, y: str, split: str) -> DataFrame:
     return model.transform(rows.where(F.col(split) == "test")).drop("features")
 
 
-def category_index(train: DataFrame, df: DataFrame, column: str) -> DataFrame:
-    """Category numbers learned on train; unknown ones share the last."""
-    return StringIndexer(inputCol=column, outputCol=f"{column}_index", handleInvalid="keep").fit(train).transform(df)
+def sparse_vectors(df: DataFrame, key: str, weights: DataFrame, train: DataFrame, out: str = "text_vector") -> DataFrame:
+    """df with the gram weights (key, gram, weight) of each row as a sparse vector; its places are the grams of train's rows in order."""
+    grams = indexed(weights.join(train.select(key), key, "left_semi").select("gram").distinct(), ["gram"], "_place")
+    size = grams.count()
+    placed = weights.join(grams, "gram").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("_place").cast("int").alias("i"), F.col("weight").alias("w")))).alias("_g"))  # grams of one row
+
+    @F.udf(VectorUDT())
+    def vector(cells):
+        return Vectors.sparse(size, [c["i"] for c in cells or ()], [c["w"] for c in cells or ()])
+
+    return df.join(placed, key, "left").withColumn(out, vector("_g")).drop("_g")
+
+
+def metadata_vector(train: DataFrame, df: DataFrame, categories: list[str], numbers: list[str], out: str = "metadata_vector") -> DataFrame:
+    """One-hot categories (unknown ones are all zero) beside numbers standardised on train."""
+    index = [f"_{c}_index" for c in categories]
+    hot = [f"_{c}_hot" for c in categories]
+    steps = [
+        StringIndexer(inputCols=categories, outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc"),
+        OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True),
+        VectorAssembler(inputCols=numbers, outputCol="_numbers"),
+        StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True),
+        VectorAssembler(inputCols=[*hot, "_scaled"], outputCol=out),
+    ]
+    return Pipeline(stages=steps).fit(train).transform(df).drop(*index, *hot, "_numbers", "_scaled")
+
+
+def text_ridge(rows: DataFrame, key: str, grams: Column, y: str, split: str = "split", categories: list[str] | None = None, numbers: list[str] | None = None, min_df: int = 2, max_features: int | None = 200_000, alphas: tuple[float, ...] = (0.3, 1, 3, 10, 30)) -> DataFrame:
+    """Ridge on TF-IDF, with metadata if any is named; alpha by validation. Predictions (yhat) of all rows but train's."""
+    rows, _ = written(rows, "ridge-rows")
+    train = rows.where(F.col(split) == "train")
+    # document frequencies come from train rows, weights of the others from the same table
+    weights, _ = written(tfidf_from(train, rows, key, grams, min_df, max_features), "weights")
+    made, parts = sparse_vectors(rows, key, weights, train), ["text_vector"]
+    if categories or numbers:
+        made, parts = metadata_vector(train, made, categories or [], numbers or []), ["text_vector", "metadata_vector"]
+    made, _ = written(VectorAssembler(inputCols=parts, outputCol="features").transform(made).drop(*parts).withColumn(y, F.col(y).cast("double")), "features")
+    model, _ = ridge_fit(made.where(F.col(split) == "train"), made.where(F.col(split) == "val"), "features", y, alphas)
+    return model.transform(made.where(F.col(split) != "train")).drop("features")
+
+
+def tfidf_from(train: DataFrame, df: DataFrame, key: str, grams: Column, min_df: int = 1, max_features: int | None = None) -> DataFrame:
+    """TF-IDF of all rows with the vocabulary and document frequencies of train."""
+    tf, _ = written(df.select(key, F.explode(grams).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("tf")), "tf")
+    known = tf.join(train.select(key), key, "left_semi").groupBy("gram").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
+    if max_features:
+        known = known.orderBy(F.desc("total"), "gram").limit(max_features)
+    n = train.agg(F.count("*").alias("n_docs"))
+    rows = tf.join(known.select("gram", "df"), "gram").crossJoin(F.broadcast(n)).select(key, "gram", ((1 + F.log("tf")) * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)).alias("w"))
+    norms = rows.groupBy(key).agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
+    return rows.join(norms, key).select(key, "gram", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def group_folds(items: DataFrame, group: str, k: int = 5) -> DataFrame:
+    """items with fold: whole groups, the largest first, dealt in turn back and forth, so that folds have like sizes."""
+    sizes = items.groupBy(group).agg(F.count("*").alias("_n"))
+    placed = indexed(sizes.select(group, (-F.col("_n")).alias("_order")), ["_order", group], "_r")
+    turn = F.col("_r") % (2 * k)
+    return items.join(placed.select(group, F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold")), group)
+
+
+def option_ablation(items: DataFrame, key: str, y: str, group: str, variants: dict[str, tuple[Column, list[str]]], k: int = 5, alphas: tuple[float, ...] = (0.3, 3, 30)) -> DataFrame:
+    """(variant, key, fold, y, yhat): out-of-fold ridge predictions for every variant, a text column and surface numbers.
+
+    Folds hold whole groups; the penalty is chosen on the fold after the one held out.
+    """
+    rows, _ = written(group_folds(items, group, k), "folds")
+    out = None
+    for fold in range(k):
+        split = F.when(F.col("fold") == fold, "test").when(F.col("fold") == (fold + 1) % k, "val").otherwise("train")
+        for name, (text, numbers) in variants.items():
+            pred = text_ridge(rows.withColumn("split", split), key, word_grams(text), y, numbers=numbers, alphas=alphas).where("split = 'test'")
+            part, _ = written(pred.select(F.lit(name).alias("variant"), key, "fold", y, "yhat"), "out-of-fold")
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 def token_profile(df: DataFrame, by: str, text: str = "text", limit: int = 64) -> DataFrame:
