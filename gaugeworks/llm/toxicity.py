@@ -239,8 +239,9 @@ def train(texts: list[str], target: np.ndarray, prior: float, seed: int = 7) ->
     word, grams, n = feats
     row = np.repeat(np.arange(len(texts)), counts)
     gram_at = starts_of(n)[:-1]
-    per_word = n[codes]
-    p = fresh(rng, log_odds(word[codes], row, target), log_odds(grams[ranges(gram_at[codes], per_word)], np.repeat(row, per_word), target))
+    # odds ask for presence alone, so each word of a text counts once
+    seen_row, seen = np.divmod(np.unique(row * max(1, len(word)) + codes), max(1, len(word)))
+    p = fresh(rng, log_odds(word[seen], seen_row, target), log_odds(grams[ranges(gram_at[seen], n[seen])], np.repeat(seen_row, n[seen]), target))
     start, length, many = windows_of(counts)
     first = starts_of(many)
     padded = np.concatenate((codes, np.zeros(WINDOW, np.int64)))

@@ -88,3 +88,35 @@ def test_words_do_not_depend_on_marks_or_neighbours():
 
     assert words(texts) == want and [words([x])[0] for x in texts] == want
     assert words([]) == []
+
+
+def test_scores_are_those_of_the_worst_window(spark):
+    """Each window by itself, one after another, against the blocks of the operator; repeated rows alike."""
+    import numpy as np
+    import pyarrow as pa
+
+    from gaugeworks.llm import toxicity as t
+
+    rng = np.random.default_rng(4)
+    words = [f"word{k}" for k in range(30)] + ["vile", "rotten"]
+    docs = [(k, " ".join(rng.choice(words[:30], int(rng.integers(0, 90)))) + (" vile rotten" if k % 3 == 0 else "")) for k in range(60)] + [(3, "same row"), (3, "same row"), (99, None)]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)], "doc_id long, toxic int")
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, round(r.score, 5), r.n_windows) for r in t.toxicity(df, labels).collect()))
+    p = t.train(*t.training_rows(df, labels))
+    want = []
+    for doc, text in docs:
+        coded, counts = t.words_of(pa.array([text or ""]))
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        vectors = t.embedded(p, *t.word_features(coded.dictionary)) if len(codes) else np.zeros((1, 2 * t.WIDTH), np.float32)
+        n = len(codes)
+        starts = [0] if n <= t.WINDOW else [k * t.STRIDE for k in range(1 + -(-(n - t.WINDOW) // t.STRIDE))]
+        logits = []
+        for s in starts:
+            mine = codes[s : s + t.WINDOW]
+            index = np.zeros((t.WINDOW, 1), np.int64)
+            index[: len(mine), 0] = mine
+            logits.append(t.forward(p, vectors, index, (np.arange(t.WINDOW)[:, None] < len(mine)).astype(np.float32))[0][0])
+        want.append((doc, round(float(t.sigmoid(np.float64(max(logits)))), 5), len(starts)))
+    assert [x[::2] for x in got] == [x[::2] for x in sorted(want)]
+    assert np.allclose([x[1] for x in got], [x[1] for x in sorted(want)], atol=2e-5)
