@@ -9,8 +9,9 @@ Only the ids of the sample are broadcast (2 * `MAX_ROWS` on average; more than t
 
 Scoring covers all windows of every whole text. Nulls: a null or empty text, or one without
 words, has the score of an empty window. Labels that are null are not learned from, nor is a
-doc_id with both labels; rows with one doc_id each get a score, equal texts equal scores; without
-labelled rows of both classes all scores are 0. Extra columns of either table are not read.
+doc_id with both labels; of rows with one doc_id the first text in order is learned from (so rows
+of one doc_id, however many, stay within the bound) and each gets a score, equal texts equal
+scores; without labelled rows of both classes all scores are 0. Extra columns of either table are not read.
 """
 
 from __future__ import annotations
@@ -287,7 +288,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS):
     some, path = written(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < cut * 1_000_000), "sample")
     if some.count() > 4 * max_rows:
         raise RuntimeError("the sample of labelled rows is over its bound")
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(some), "doc_id").toPandas().sort_values(["doc_id", "text"])
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(some), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")).toPandas().sort_values("doc_id")
     drop(docs.sparkSession, path)
     if rows["toxic"].nunique() < 2:
         return None

@@ -120,3 +120,12 @@ def test_scores_are_those_of_the_worst_window(spark):
         want.append((doc, round(float(t.sigmoid(np.float64(max(logits)))), 5), len(starts)))
     assert [x[::2] for x in got] == [x[::2] for x in sorted(want)]
     assert np.allclose([x[1] for x in got], [x[1] for x in sorted(want)], atol=2e-5)
+
+
+def test_repeated_rows_are_learned_from_once(spark):
+    docs = [(k, f"word{k % 5} fine" if k % 2 else f"vile word{k % 5}") for k in range(40)]
+    labels = spark.createDataFrame([(k, (k + 1) % 2) for k in range(40)], "doc_id long, toxic int")
+    schema = "doc_id long, text string"
+    once = t.training_rows(spark.createDataFrame(docs, schema), labels)
+    again = t.training_rows(spark.createDataFrame(docs * 20 + [(k, "zz " + x) for k, x in docs], schema), labels)
+    assert once[0] == again[0] and (once[1] == again[1]).all() and once[2] == again[2]
