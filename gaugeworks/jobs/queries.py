@@ -396,7 +396,50 @@ def reconstruction_audit(spark, sf_dir):
 ELO_GRID = {f"{k:03d}{home:+03d}": {"k": float(k), "home": float(home)} for k in (16, 32, 48, 64, 96, 128, 192) for home in (0, -25, 25)}
 
 
-@job()
+def duck_replay(configs: dict[str, dict]) -> str:
+    """DuckDB text of exact Elo as a recursion over games; a step holds the ratings of all players as a list."""
+    values = ", ".join(f"('{n}', {c['k']}::DOUBLE, {c.get('home', 0.0)}::DOUBLE)" for n, c in configs.items())
+    return f"""{GAMES}, pl AS MATERIALIZED (SELECT player, row_number() OVER (ORDER BY player) AS i FROM (SELECT user_id AS player FROM games UNION SELECT opponent_id FROM games)),
+    g AS MATERIALIZED (SELECT seq, s, a.i AS u, b.i AS o FROM games JOIN pl a ON a.player = user_id JOIN pl b ON b.player = opponent_id),
+    step AS (SELECT config, k, home, -1::BIGINT AS seq, NULL::DOUBLE AS p, list_transform(range((SELECT count(*) FROM pl)), lambda x: 0.0::DOUBLE) AS r FROM (VALUES {values}) c(config, k, home)
+      UNION ALL SELECT config, k, home, seq, p, list_transform(r, lambda x, j: CASE j WHEN u THEN x + k * (s - p) WHEN o THEN x - k * (s - p) ELSE x END)
+      FROM (SELECT t.config, t.k, t.home, g.seq, g.s, g.u, g.o, r, 1 / (1 + pow(10.0::DOUBLE, (r[o] - r[u] - home) / 400)) AS p FROM step t JOIN g ON g.seq = t.seq + 1))"""
+
+
+def duck_scores(rows: str) -> str:
+    """DuckDB text of the binary scores of (config, y, p)."""
+    return f"""SELECT config, count(*) AS n, round(avg(-(y * ln(greatest(least(p, 0.999999), 0.000001)) + (1 - y) * ln(1 - greatest(least(p, 0.999999), 0.000001)))), 6) AS log_loss, round(avg((p - y) ** 2), 6) AS brier, round(avg(((p >= 0.5)::INT = y)::INT), 6) AS accuracy,
+      round((sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)), 6) AS auc FROM (SELECT *, rank() OVER (PARTITION BY config ORDER BY p) + (count(*) OVER (PARTITION BY config, p) - 1) / 2.0 AS r FROM ({rows})) GROUP BY 1"""
+
+
+def score_rows(df: DataFrame) -> DataFrame:
+    """The binary scores by config, rounded; scores are rounded before they are ordered, so ties are the same everywhere."""
+    out = metrics.binary_scores(df.withColumn("p", F.round("p", 9)), ["config"])
+    return out.withColumns({c: r6(F.col(c)) for c in ("log_loss", "brier", "accuracy", "auc")})
+
+
+K24 = duck_replay({"k24": {"k": 24.0}})
+VALIDATED = "SELECT config, s::INT AS y, round(p, 9) AS p FROM games JOIN step USING (seq) WHERE s <> 0.5 AND seq >= (SELECT count(*) FROM games) * 0.6::DOUBLE AND seq < (SELECT count(*) FROM games) * 0.8::DOUBLE"
+
+
+def duck_brier_interval(weighted: str) -> str:
+    """DuckDB text of the interval of a Brier score; `weighted` gives (rep, w, e), rep -1 being the sample."""
+    return f"SELECT 'brier' AS stat, round(any_value(v) FILTER (WHERE rep = -1), 6) AS value, round(quantile_cont(v, 0.025) FILTER (WHERE rep >= 0), 6) AS ci_low, round(quantile_cont(v, 0.975) FILTER (WHERE rep >= 0), 6) AS ci_high FROM (SELECT rep, sum(w * e) / sum(w) AS v FROM ({weighted}) GROUP BY 1)"
+
+
+def duck_response_replay(configs: dict[str, dict], order: str = "created_at") -> str:
+    """DuckDB text of the exact replay of responses; a step holds the levels of players and categories, and of pairs if asked."""
+    values = ", ".join(f"('{n}', {c['a']}::DOUBLE, {c['b']}::DOUBLE, {str(c.get('per_cat', False)).lower()})" for n, c in configs.items())
+    long = LONG.replace("r.created_at", f"r.{order} AS created_at")
+    return f"""{long}, nodes AS (SELECT node, row_number() OVER (ORDER BY node) AS i FROM (SELECT 'p' || player AS node FROM resp UNION SELECT 'c' || cat_id FROM resp)), pairs AS (SELECT player, cat_id, row_number() OVER (ORDER BY player, cat_id) AS x FROM (SELECT DISTINCT player, cat_id FROM resp)),
+    g AS MATERIALIZED (SELECT seq, y, a.i AS u, b.i AS o, x, row_number() OVER (PARTITION BY a.i ORDER BY seq) - 1 AS nu, row_number() OVER (PARTITION BY b.i ORDER BY seq) - 1 AS no, row_number() OVER (PARTITION BY x ORDER BY seq) - 1 AS nx
+      FROM resp JOIN nodes a ON a.node = 'p' || player JOIN nodes b ON b.node = 'c' || cat_id JOIN pairs USING (player, cat_id)),
+    step AS (SELECT config, a, b, per_cat, -1::BIGINT AS seq, NULL::DOUBLE AS p, list_transform(range((SELECT count(*) FROM nodes)), lambda x: 0.0::DOUBLE) AS r, list_transform(range(CASE WHEN per_cat THEN (SELECT count(*) FROM pairs) ELSE 0 END), lambda x: 0.0::DOUBLE) AS q FROM (VALUES {values}) c(config, a, b, per_cat)
+      UNION ALL SELECT config, a, b, per_cat, seq, p, list_transform(r, lambda v, j: CASE j WHEN u THEN v + a / (1 + b * nu) * (y - p) WHEN o THEN v - a / (1 + b * no) * (y - p) ELSE v END), list_transform(q, lambda v, j: CASE j WHEN x THEN v + a / (1 + b * nx) * (y - p) ELSE v END)
+      FROM (SELECT t.config, t.a, t.b, t.per_cat, g.*, r, q, 1 / (1 + exp(-(r[u] + coalesce(q[x], 0) - r[o]))) AS p FROM step t JOIN g ON g.seq = t.seq + 1))"""
+
+
+@job(f"WITH {K24} SELECT id, games.seq, round(p, 6) AS p FROM games JOIN step ON games.seq = step.seq", "duels")
 def elo_exact(spark, sf_dir):
     """Exact Elo before each duel, K 24."""
     games = ordered_games(spark, sf_dir)
@@ -409,16 +452,16 @@ def grid_scores(games: DataFrame, model: str, configs: dict) -> DataFrame:
     n = games.count()
     a, b = cuts(n)
     val = games.where((F.col("seq") >= a) & (F.col("seq") < b) & (F.col("s") != 0.5)).withColumn("y", F.col("s").cast("int"))
-    return metrics.binary_scores(val.join(pred, "seq"), ["config"])
+    return score_rows(val.join(pred, "seq"))
 
 
-@job()
+@job(f"WITH {duck_replay(ELO_GRID)} {duck_scores(VALIDATED)}", "duels")
 def elo_grid(spark, sf_dir):
     """Validation scores of the 21 settings."""
     return grid_scores(ordered_games(spark, sf_dir), "elo", ELO_GRID)
 
 
-@job()
+@job(f"WITH {duck_replay(ELO_GRID)} SELECT *, 'elo' AS model FROM ({duck_scores(VALIDATED)}) ORDER BY log_loss, config LIMIT 1", "duels")
 def elo_best(spark, sf_dir):
     scores = grid_scores(ordered_games(spark, sf_dir), "elo", ELO_GRID).withColumn("model", F.lit("elo"))
     return metrics.best_config(scores, ["model"])
@@ -438,7 +481,15 @@ def trueskill_exact(spark, sf_dir):
     return games.join(pred, "seq").select("id", "seq", r6(F.col("p")).alias("p"))
 
 
-@job()
+@job(
+    f"""WITH {GAMES}, pl AS MATERIALIZED (SELECT player, row_number() OVER (ORDER BY player) AS i FROM (SELECT user_id AS player FROM games UNION SELECT opponent_id FROM games)),
+    g AS MATERIALIZED (SELECT seq, s, a.i AS u, b.i AS o, dense_rank() OVER (ORDER BY date_trunc('week', created_at)) AS week FROM games JOIN pl a ON a.player = user_id JOIN pl b ON b.player = opponent_id),
+    step AS (SELECT 1::BIGINT AS week, list_transform(range((SELECT count(*) FROM pl)), lambda x: 0.0::DOUBLE) AS r
+      UNION ALL SELECT week + 1, list_transform(r, lambda v, j: v + coalesce(list_sum(list_transform(list_filter(moves, lambda m: m.i = j), lambda m: m.d)), 0))
+      FROM (SELECT week, any_value(r) AS r, list_concat(list({{'i': u, 'd': d}}), list({{'i': o, 'd': -d}})) AS moves FROM (SELECT t.week, r, u, o, 24 * (s - 1 / (1 + pow(10.0::DOUBLE, (r[o] - r[u]) / 400))) AS d FROM step t JOIN g ON g.week = t.week) GROUP BY 1))
+    SELECT id, seq, round(1 / (1 + pow(10.0::DOUBLE, (r[o] - r[u]) / 400)), 6) AS p FROM g JOIN step USING (week) JOIN games USING (seq)""",
+    "duels",
+)
 def elo_weekly(spark, sf_dir):
     games = ordered_games(spark, sf_dir)
     pred, _ = ratings.elo_periods(games, 24.0, unit="week")
@@ -462,28 +513,37 @@ def rating_comparison(spark, sf_dir):
     return metrics.binary_scores(test.join(parts[0].unionByName(parts[1]).unionByName(parts[2]), "seq"), ["config"])
 
 
-@job()
+PLAIN = {"plain": {"a": 0.3, "b": 0.05}}
+GAINS = {**PLAIN, "pairs": {"a": 0.3, "b": 0.05, "per_cat": True}}
+
+
+@job(f"WITH {duck_response_replay(GAINS)} SELECT config, resp.seq, resp.y, round(p, 6) AS p FROM resp JOIN step ON resp.seq = step.seq", "duels", "rounds")
 def response_elo(spark, sf_dir):
     resp = round_responses(spark, sf_dir)
-    pred, _ = ratings.response_elo(resp, {"plain": {"a": 0.3, "b": 0.05}, "pairs": {"a": 0.3, "b": 0.05, "per_cat": True}})
+    pred, _ = ratings.response_elo(resp, GAINS)
     return resp.join(pred, "seq").select("config", "seq", "y", r6(F.col("p")).alias("p"))
 
 
-@job()
+@job(f"WITH {duck_response_replay(PLAIN, 'updated_at')} {duck_scores('SELECT config, y, round(p, 9) AS p FROM resp JOIN step USING (seq)')}", "duels", "rounds")
 def response_elo_by_completion(spark, sf_dir):
     """The same replay ordered by completion time: the sensitivity to late rows."""
     resp = round_responses(spark, sf_dir, "updated_at")
-    pred, _ = ratings.response_elo(resp, {"plain": {"a": 0.3, "b": 0.05}})
-    return metrics.binary_scores(resp.join(pred, "seq"), ["config"])
+    pred, _ = ratings.response_elo(resp, PLAIN)
+    return score_rows(resp.join(pred, "seq"))
 
 
-@job()
+@job(
+    f"""WITH {K24}, sc AS (SELECT user_id, opponent_id, (s - p) ** 2 AS e FROM games JOIN step USING (seq) WHERE s <> 0.5), {weights_of('player', 'pl')}
+    {duck_brier_interval("SELECT a.rep, a.w * b.w AS w, e FROM sc JOIN wt a ON a.player = user_id JOIN wt b ON b.player = opponent_id AND a.rep = b.rep UNION ALL SELECT -1, 1, e FROM sc")}""",
+    "duels",
+)
 def player_bootstrap(spark, sf_dir):
     """Two-way player bootstrap of the Brier score of exact Elo."""
     games = ordered_games(spark, sf_dir)
     pred, _ = ratings.replay(games, "elo", {"k24": {"k": 24.0}})
     rows = games.where("s <> 0.5").join(pred, "seq").withColumn("e", (F.col("s") - F.col("p")) ** 2)
-    return metrics.bootstrap(rows, ["user_id", "opponent_id"], {"n": F.lit(1.0), "e": F.col("e")}, {"brier": "e / n"})
+    out = metrics.bootstrap(rows, ["user_id", "opponent_id"], {"n": F.lit(1.0), "e": F.col("e")}, {"brier": "e / n"})
+    return out.select("stat", *[r6(F.col(c)).alias(c) for c in ("value", "ci_low", "ci_high")])
 
 
 # -- catalogue and release --------------------------------------------------------
@@ -725,16 +785,21 @@ def response_elo_grid(spark, sf_dir):
     resp = round_responses(spark, sf_dir)
     pred, _ = ratings.response_elo(resp, {f"{a:g}-{b:g}{'-pairs' * c}": {"a": a, "b": b, "per_cat": c} for c in (False, True) for a in (0.03, 0.05, 0.1, 0.2, 0.4) for b in (0.001, 0.005, 0.02, 0.05)})
     a, b = cuts(resp.count())
-    return metrics.binary_scores(resp.where((F.col("seq") >= a) & (F.col("seq") < b)).join(pred, "seq"), ["config"])
+    return score_rows(resp.where((F.col("seq") >= a) & (F.col("seq") < b)).join(pred, "seq"))
 
 
-@job()
+@job(
+    f"""WITH {K24}, sc AS (SELECT strftime(created_at, '%Y-%m-%d') AS day, (s - p) ** 2 AS e FROM games JOIN step USING (seq) WHERE s <> 0.5), {weights_of('day', 'sc')}
+    {duck_brier_interval("SELECT rep, w, e FROM sc JOIN wt USING (day) UNION ALL SELECT -1, 1, e FROM sc")}""",
+    "duels",
+)
 def day_bootstrap(spark, sf_dir):
     """Calendar-day block bootstrap of the Brier score of exact Elo."""
     games = ordered_games(spark, sf_dir)
     pred, _ = ratings.replay(games, "elo", {"k24": {"k": 24.0}})
     rows = games.where("s <> 0.5").join(pred, "seq").select(F.to_date("created_at").alias("day"), ((F.col("s") - F.col("p")) ** 2).alias("e"))
-    return metrics.bootstrap(rows, ["day"], {"n": F.lit(1.0), "e": F.col("e")}, {"brier": "e / n"})
+    out = metrics.bootstrap(rows, ["day"], {"n": F.lit(1.0), "e": F.col("e")}, {"brier": "e / n"})
+    return out.select("stat", *[r6(F.col(c)).alias(c) for c in ("value", "ci_low", "ci_high")])
 
 
 @job()
