@@ -53,6 +53,19 @@ def temporary(spark: SparkSession) -> Iterator[None]:
             drop(spark, path)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session that hold inside the block; what is run later doesn't see them."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Deletes a written table, in whatever store it is."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
