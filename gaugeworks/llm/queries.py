@@ -90,6 +90,12 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_lookup_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lookup_sketch import fingerprints
+
+    return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -103,6 +109,7 @@ QUERIES = {
         op8_language_id,
         op9_toxicity,
         op10_suffix_contamination,
+        op11_lookup_sketches,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
