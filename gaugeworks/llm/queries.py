@@ -96,6 +96,25 @@ def op11_lookup_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op12_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitened
+
+    return whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 50th row is an anchor; every seventh row's label is first moved on by one."""
+    from pyspark.sql import functions as F
+
+    from .hard_negatives import hard_negatives
+    from .vectors import integer_vectors
+
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = integer_vectors(table.where("vec_id is not null and label is not null")).withColumn("label", label)
+    return hard_negatives(rows, rows.where("vec_id % 50 = 0"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -110,6 +129,8 @@ QUERIES = {
         op9_toxicity,
         op10_suffix_contamination,
         op11_lookup_sketches,
+        op12_jacobi_whitening,
+        op13_hard_negatives,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
