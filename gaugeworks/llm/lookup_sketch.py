@@ -25,8 +25,8 @@ from ..sources.scratch import new_path, settings
 
 #: Tables of a sketch, cells of each at first (three bits of a digest); code points of a piece of a line.
 TABLES, SLOTS, LEAST, LONGEST = 3, 8, 100, 200
-#: Passes over the tables in peeling; bits that a sketch grows by, and those that a table's place may have.
-SWEEPS, GROWTH, MOST_BITS = 5, 4, 21
+#: Passes over the tables in peeling (each adds operators to a stage, and so to what its tasks report); bits that a sketch grows by, and those that a table's place may have.
+SWEEPS, GROWTH, MOST_BITS = 2, 4, 21
 #: Retries at most: the last ones have new hashes only.
 RETRIES = 12
 #: Rows a block of neighbouring documents is meant to hold, and blocks at most (a bound is some 20 bytes).
