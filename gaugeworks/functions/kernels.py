@@ -183,48 +183,106 @@ def icc(theta: np.ndarray, a, b, c) -> np.ndarray:
     return c + (1 - c) / (1 + np.exp(-np.clip(a * (theta - b), -35, 35)))
 
 
-def item_maximum(n: np.ndarray, r: np.ndarray, nodes: np.ndarray, a, b, c, model: str, priors: bool, steps: int = 12):
-    """Expected-count MAP of one item: n, r by node. 1PL keeps a; priors on b, log a and c as in `operators.irt`."""
-    la, lc = log(a), log(c / (1 - c)) if model == "3PL" else 0.0
-    free = [0] + [1] * (model != "1PL") + [2] * (model == "3PL")
-
-    def value(b, la, lc):
-        cc = 1 / (1 + exp(-lc)) if model == "3PL" else 0.0
-        p = np.clip(icc(nodes, exp(la), b, cc), 1e-10, 1 - 1e-10)
-        out = float((r * np.log(p) + (n - r) * np.log(1 - p)).sum())
+def item_maxima(n: np.ndarray, r: np.ndarray, nodes: np.ndarray, x: np.ndarray, model: str, priors: bool = True, c_prior: tuple[float, float] = (5, 17), steps: int = 40) -> np.ndarray:
+    """Expected-count MAP of many items at once by damped scoring. n, r: items by nodes; x: (b, log a, logit c) of each.
+
+    1PL moves b alone, 2PL b and log a. Priors: b ~ N(0, 3^2), log a ~ N(0, 0.5^2), c ~ Beta(c_prior).
+    """
+    free = {"1PL": 1, "2PL": 2, "3PL": 3}[model]
+    x, (alpha, beta) = np.array(x, float), c_prior
+
+    def curve(x: np.ndarray):
+        z = np.clip(np.exp(x[:, 1:2]) * (nodes - x[:, 0:1]), -35, 35)
+        low = 1 / (1 + np.exp(-z))
+        c = 1 / (1 + np.exp(-x[:, 2:3])) if free == 3 else np.zeros((len(x), 1))
+        return z, low, c, np.clip(c + (1 - c) * low, 1e-10, 1 - 1e-10)
+
+    def value(x: np.ndarray, n: np.ndarray, r: np.ndarray) -> np.ndarray:
+        _, _, c, p = curve(x)
+        out = (r * np.log(p) + (n - r) * np.log(1 - p)).sum(1)
+        return out + log_priors(x, model, c_prior) if priors else out
+
+    act, base = np.arange(len(x)), value(x, n, r)
+    for _ in range(steps):
+        if not len(act):
+            break
+        y, n_, r_ = x[act], n[act], r[act]
+        z, low, c, p = curve(y)
+        w = (1 - c) * low * (1 - low)
+        d = np.stack([-np.exp(y[:, 1:2]) * w, z * w, (1 - low) * c * (1 - c)][:free])
+        g = (d * (r_ - n_ * p) / (p * (1 - p))).sum(-1).T
+        h = np.einsum("ijq,kjq->jik", d, d * n_ / (p * (1 - p)))
         if priors:
-            out -= b * b / 18 + (la * la / 0.5 if model != "1PL" else 0)
-            out += 4 * log(cc) + 16 * log(1 - cc) if model == "3PL" else 0
-        return out
+            for k, slope, bend in ((0, -y[:, 0] / 9, 1 / 9), (1, -4 * y[:, 1], 4.0), (2, (alpha - 1) * (1 - c[:, 0]) - (beta - 1) * c[:, 0], (alpha + beta - 2) * (c * (1 - c))[:, 0])):
+                if k < free:
+                    g[:, k] += slope
+                    h[:, k, k] += bend
+        h += np.eye(free) * (1e-9 + 1e-9 * np.trace(h, axis1=1, axis2=2))[:, None, None]
+        move = np.zeros((len(act), 3))
+        move[:, :free] = np.clip(np.linalg.solve(h, g[:, :, None])[:, :, 0], -1.5, 1.5)
+        t, todo = np.ones(len(act)), np.arange(len(act))
+        for _ in range(14):
+            new = value(y[todo] + t[todo, None] * move[todo], n_[todo], r_[todo])
+            worse = new < base[act[todo]]
+            base[act[todo[~worse]]] = new[~worse]
+            todo = todo[worse]
+            if not len(todo):
+                break
+            t[todo] /= 2
+        t[todo] = 0
+        x[act] = y + t[:, None] * move
+        act = act[np.abs(t[:, None] * move).max(1) > 1e-8]
+    return x
+
+
+def log_priors(x: np.ndarray, model: str, c_prior: tuple[float, float] = (5, 17)) -> np.ndarray:
+    """The log prior of each item (b, log a, logit c), without constants."""
+    out = -x[:, 0] ** 2 / 18
+    if model != "1PL":
+        out = out - 2 * x[:, 1] ** 2
+    if model == "3PL":
+        out = out - (c_prior[0] - 1) * np.log1p(np.exp(-x[:, 2])) - (c_prior[1] - 1) * np.log1p(np.exp(x[:, 2]))
+    return out
+
 
-    x = np.array([b, la, lc])
-    best, damp, h = value(*x), 1.0, 1e-4
+# -- difficulty of a new item: rows are draws, columns responses; mask tells which there are ----------
+
+
+def newton_b(theta: np.ndarray, y: np.ndarray, mask: np.ndarray, a: np.ndarray, mu: np.ndarray, s2: np.ndarray, steps: int = 60) -> np.ndarray:
+    """MAP of b under N(mu, s2) with a fixed, by damped Newton, for all rows at once."""
+    b = np.array(mu, float)
     for _ in range(steps):
-        grad, hess = np.zeros(3), np.zeros((3, 3))
-        base = value(*x)
-        up, down = {}, {}
-        for i in free:
-            e = np.zeros(3)
-            e[i] = h
-            up[i], down[i] = value(*(x + e)), value(*(x - e))
-            grad[i], hess[i, i] = (up[i] - down[i]) / (2 * h), (up[i] + down[i] - 2 * base) / h**2
-        for i in free:
-            for j in free:
-                if i < j:
-                    e, f = np.zeros(3), np.zeros(3)
-                    e[i] = f[j] = h
-                    hess[i, j] = hess[j, i] = (value(*(x + e + f)) - up[i] - up[j] + base) / h**2
-        idx = np.ix_(free, free)
-        m = -hess[idx]
-        m += np.eye(len(free)) * max(0.0, 1e-3 - np.linalg.eigvalsh(m).min())
-        move = np.zeros(3)
-        move[free] = np.clip(np.linalg.solve(m, grad[free]), -1.5, 1.5)
-        damp = 1.0
-        while damp > 1e-4 and value(*(x + damp * move)) < base:
-            damp /= 2
-        if damp <= 1e-4:
+        p = 1 / (1 + np.exp(-np.clip(a[:, None] * (theta - b[:, None]), -35, 35)))
+        g = a * ((y - p) * mask).sum(1) + (b - mu) / s2
+        h = a * a * (p * (1 - p) * mask).sum(1) + 1 / s2
+        move = np.clip(g / h, -2, 2)
+        b = b - move
+        if np.abs(move).max(initial=0) < 1e-10:
             break
-        x = x + damp * move
-        if value(*x) - base < 1e-10:
+    return b
+
+
+def newton_ab(theta: np.ndarray, y: np.ndarray, mask: np.ndarray, l0: np.ndarray, mu: np.ndarray, s2: np.ndarray, sl2: float = 0.25, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Joint MAP of b under N(mu, s2) and log a under N(l0, sl2), by damped scoring, for all rows at once."""
+    b, l = np.array(mu, float), np.array(l0, float)
+    for _ in range(steps):
+        move_b, move_l = scoring_step(*scoring_sums(theta, y, mask, b, l), b, l, mu, s2, l0, sl2)
+        b, l = b + move_b, l + move_l
+        if max(np.abs(move_b).max(initial=0), np.abs(move_l).max(initial=0)) < 1e-11:
             break
-    return float(exp(x[1])), float(x[0]), float(1 / (1 + exp(-x[2]))) if model == "3PL" else 0.0
+    return b, l
+
+
+def scoring_sums(theta, y, mask, b, l):
+    """Gradient and expected curvature of the log-likelihood in (b, log a): gb, gl, hbb, hbl, hll."""
+    a = np.exp(l)[:, None]
+    z = np.clip(a * (theta - b[:, None]), -35, 35)
+    p = 1 / (1 + np.exp(-z))
+    e, v = (y - p) * mask, p * (1 - p) * mask
+    return (-a * e).sum(1), (z * e).sum(1), (v * a * a).sum(1), (-v * a * z).sum(1), (v * z * z).sum(1)
+
+
+def scoring_step(gb, gl, hbb, hbl, hll, b, l, mu, s2, l0, sl2):
+    gb, gl, hbb, hll = gb - (b - mu) / s2, gl - (l - l0) / sl2, hbb + 1 / s2, hll + 1 / sl2
+    det = hbb * hll - hbl * hbl
+    return np.clip((hll * gb - hbl * gl) / det, -1.0, 1.0), np.clip((hbb * gl - hbl * gb) / det, -0.5, 0.5)

@@ -2,146 +2,32 @@
 
 The objective is the marginal posterior: theta ~ N(0, 1) on Gauss-Hermite nodes; priors
 b ~ N(0, 3^2), log a ~ N(0, 0.5^2) for 2PL and 3PL, c ~ Beta(5, 17) for 3PL; 1PL has one free
-common a without a prior. Learners are packed once. An E-step is a narrow pass over learners
-with the item parameters broadcast (a few numbers an item); tasks add up expected counts for
-their learners before anything is shuffled, and items are maximised where their counts land.
+common a without a prior. `irt_many` holds the EM; here are single fits and what follows from them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from math import log
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import icc, item_maximum, normal_nodes
+from ..functions.kernels import normal_nodes
 from ..sources.scratch import written
+from .irt_many import MODELS, NODES, Setting, abilities, fit_many, packed, parameters
 
-NODES = 41
-MODELS = {"1PL": 1, "2PL": 2, "3PL": 3}
-
-
-def packed(resp: DataFrame) -> DataFrame:
-    """(user_id, items, ys): a row per learner."""
-    rows = resp.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("question_id", "y"))).alias("r"))
-    return written(rows.select("user_id", F.col("r.question_id").alias("items"), F.col("r.y").alias("ys")), "learners")[0]
-
-
-def posterior(items: np.ndarray, ys: np.ndarray, params: dict, nodes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, float]:
-    """Posterior over the nodes and the marginal log-likelihood of one learner."""
-    known = [i for i, q in enumerate(items) if q in params]
-    abc = np.array([params[items[i]] for i in known]).reshape(-1, 3)
-    p = np.clip(icc(nodes[None, :], *(abc[:, k : k + 1] for k in range(3))), 1e-10, 1 - 1e-10)
-    y = np.asarray(ys, float)[known][:, None]
-    like = (y * np.log(p) + (1 - y) * np.log(1 - p)).sum(axis=0) + np.log(weights)
-    top = like.max()
-    mass = np.exp(like - top)
-    return mass / mass.sum(), float(top + log(mass.sum()))
-
-
-def expected_counts(learners: DataFrame, params: dict) -> DataFrame:
-    """(question_id, n array, r array, loglik) summed over learners; question_id null carries the log-likelihood.
-
-    A batch of learners is a few array operations: log-likelihoods of all its responses, summed by
-    learner, and the posteriors of its responses, summed by item.
-    """
-    names = np.array(sorted(params), np.int64)
-    shared = learners.sparkSession.sparkContext.broadcast((names, np.array([params[q] for q in names.tolist()]).reshape(-1, 3)))
-    nodes, weights = normal_nodes(NODES)
-
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, abc = shared.value
-        p = np.clip(icc(nodes[None, :], *(abc[:, k : k + 1] for k in range(3))), 1e-10, 1 - 1e-10)
-        right, wrong = np.log(p), np.log(1 - p)
-        n, r, total = np.zeros((len(names), NODES)), np.zeros((len(names), NODES)), 0.0
-        for batch in batches:
-            counts = np.fromiter(map(len, batch["items"]), np.int64, len(batch))
-            item, y = np.concatenate(batch["items"].tolist()).astype(np.int64), np.concatenate(batch["ys"].tolist()).astype(float)
-            learner = np.repeat(np.arange(len(batch)), counts)
-            at = np.minimum(np.searchsorted(names, item), len(names) - 1)
-            known = names[at] == item
-            at, y, learner = at[known], y[known][:, None], learner[known]
-            like = np.tile(np.log(weights), (len(batch), 1))
-            edge = np.flatnonzero(np.concatenate(([True], learner[1:] != learner[:-1]))) if len(learner) else np.zeros(0, np.int64)
-            if len(edge):
-                like[learner[edge]] += np.add.reduceat(np.where(y > 0, right[at], wrong[at]), edge)
-            top = like.max(axis=1, keepdims=True)
-            mass = np.exp(like - top)
-            whole = mass.sum(axis=1, keepdims=True)
-            total += float((top + np.log(whole)).sum())
-            post = mass / whole
-            order = np.argsort(at, kind="stable")
-            if len(order):
-                edge = np.flatnonzero(np.concatenate(([True], at[order][1:] != at[order][:-1])))
-                mine = post[learner[order]]
-                n[at[order][edge]] += np.add.reduceat(mine, edge)
-                r[at[order][edge]] += np.add.reduceat(mine * y[order], edge)
-        some = np.flatnonzero(n.sum(axis=1))
-        rows = [(int(names[k]), n[k].tolist(), r[k].tolist(), 0.0) for k in some]
-        yield pd.DataFrame([*rows, (None, [0.0] * NODES, [0.0] * NODES, total)], columns=["question_id", "n", "r", "loglik"]).astype({"question_id": "Int64"})
-
-    parts = learners.mapInPandas(step, "question_id long, n array<double>, r array<double>, loglik double")
-    sums = lambda c: F.array(*[F.sum(F.col(c)[k]) for k in range(NODES)]).alias(c)
-    return parts.groupBy("question_id").agg(sums("n"), sums("r"), F.sum("loglik").alias("loglik"))
-
-
-def maximised(counts: DataFrame, params: dict, model: str, priors: bool) -> DataFrame:
-    """(question_id, a, b, c, ga, ha, loglik): item maxima, and the slope and curvature of the objective in a common log a.
-
-    The row without an item passes the log-likelihood on.
-    """
-    shared = counts.sparkSession.sparkContext.broadcast(params)
-    nodes, _ = normal_nodes(NODES)
-
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for q, n, r, ll in zip(batch["question_id"], batch["n"], batch["r"], batch["loglik"]):
-                if pd.isna(q):
-                    rows.append((None, 0.0, 0.0, 0.0, 0.0, 0.0, ll))
-                    continue
-                n, r = np.asarray(n), np.asarray(r)
-                a, b, c = item_maximum(n, r, nodes, *shared.value[int(q)], model, priors)
-                p = icc(nodes, a, b, c)
-                d = a * (nodes - b)
-                rows.append((int(q), a, b, c, float(((r - n * p) * d).sum()), float((n * p * (1 - p) * d * d).sum()), 0.0))
-            yield pd.DataFrame(rows, columns=["question_id", "a", "b", "c", "ga", "ha", "loglik"]).astype({"question_id": "Int64"})
-
-    return counts.mapInPandas(step, "question_id long, a double, b double, c double, ga double, ha double, loglik double")
+__all__ = ["MODELS", "NODES", "packed", "irt_fit", "eap", "irt_predict"]
 
 
 def irt_fit(resp: DataFrame, model: str = "2PL", priors: bool = True, rounds: int = 200, tol: float = 1e-7) -> tuple[DataFrame, list[float], DataFrame]:
-    """Item parameters (question_id, a, b, c), the objective after each round, and the packed learners.
+    """Item parameters (question_id, a, b, c), the objective after each kept round, and the packed learners.
 
-    Stops when the objective gains less than tol for each response; it does not fall (a test
-    checks both). A round is one job: counts, sums by item, item maxima; the driver gets a row per
-    item. `converged` tells whether the last gain was under the tolerance.
+    Stops when the objective gains less than tol for each response in a plain step; it does not fall
+    (a test checks both). A round is one job; the driver gets a row per item.
     """
-    if model not in MODELS:
-        raise ValueError(f"model must be one of {sorted(MODELS)}")
-    spark = resp.sparkSession
+    setting = Setting(model, priors)
     learners = packed(resp)
-    stats = resp.groupBy("question_id").agg(((F.sum("y") + 0.5) / (F.count("*") + 1)).alias("p"), F.count("*").alias("n")).toPandas()  # a row per item
-    params = {int(q): (1.0, float(np.clip(-np.log(p / (1 - p)), -4, 4)), 0.15 if model == "3PL" else 0.0) for q, p in zip(stats["question_id"], stats["p"])}
-    limit = tol * max(1, int(stats["n"].sum()))
-    trace: list[float] = []
-    for _ in range(rounds if params else 0):
-        found = maximised(expected_counts(learners, params), params, model, priors).toPandas()
-        total, found = float(found["loglik"].sum()), found[found["question_id"].notna()]
-        objective = total + (sum(log_prior(x, model) for x in params.values()) if priors else 0.0)
-        trace.append(objective)
-        if converged(trace, limit):
-            break
-        new = {int(r.question_id): (r.a, r.b, r.c) for r in found.itertuples()}
-        if model == "1PL" and len(found):
-            a = float(np.exp(np.log(found["a"].iloc[0]) + np.clip(found["ga"].sum() / max(found["ha"].sum(), 1e-9), -0.5, 0.5)))
-            new = {q: (a, b, c) for q, (_, b, c) in new.items()}
-        params = new
-    rows = [(q, *map(float, x)) for q, x in sorted(params.items())]
-    return spark.createDataFrame(rows, "question_id long, a double, b double, c double"), trace, learners
+    (fit,) = fit_many(learners, resp, [setting], rounds, tol)
+    return parameters(learners, [fit]).drop("setting"), fit.trace, learners
 
 
 def converged(trace: list[float], limit: float) -> bool:
@@ -153,35 +39,15 @@ def runaway(params: DataFrame, most: float = 4.0) -> DataFrame:
     return params.agg(F.count("*").alias("items"), F.count_if(F.col("a") > most).alias("runaway"), F.max("a").alias("largest_a"))
 
 
-def log_prior(abc: tuple[float, float, float], model: str) -> float:
-    a, b, c = abc
-    out = -b * b / 18
-    if model != "1PL":
-        out -= log(a) ** 2 / 0.5
-    if model == "3PL":
-        out += 4 * log(c) + 16 * log(1 - c)
-    return out
-
-
-def as_dict(params: DataFrame) -> dict:
-    return {int(r["question_id"]): (r["a"], r["b"], r["c"]) for r in params.collect()}  # a row per item
+def as_arrays(params: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Items in order, and (a, b, c) of each: a row per item."""
+    rows = sorted((int(r["question_id"]), r["a"], r["b"], r["c"]) for r in params.collect())
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1:] for r in rows], float).reshape(-1, 3)
 
 
 def eap(learners: DataFrame, params: DataFrame) -> DataFrame:
     """(user_id, theta, sd, loglik, post): posterior mean and sd, marginal log-likelihood, posterior over the nodes."""
-    shared = learners.sparkSession.sparkContext.broadcast(as_dict(params))
-    nodes, weights = normal_nodes(NODES)
-
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for user, items, ys in zip(batch["user_id"], batch["items"], batch["ys"]):
-                post, ll = posterior(items, ys, shared.value, nodes, weights)
-                mean = float(post @ nodes)
-                rows.append((user, mean, float(np.sqrt(post @ (nodes - mean) ** 2)), ll, post.tolist()))
-            yield pd.DataFrame(rows, columns=["user_id", "theta", "sd", "loglik", "post"])
-
-    return learners.mapInPandas(step, "user_id long, theta double, sd double, loglik double, post array<double>")
+    return abilities(learners, {0: (0, *as_arrays(params))}).drop("setting")
 
 
 def reliability(ability: DataFrame) -> DataFrame:
@@ -219,6 +85,35 @@ def item_difficulty(rows: DataFrame, mu: float = 0.0, s2: float = 9.0, a: float
     return state
 
 
+def item_difficulty_slope(rows: DataFrame, mu: float = 0.0, s2: float = 9.0, a0: float = 1.0, sl2: float = 0.25, steps: int = 60) -> DataFrame:
+    """(question_id, a, b): joint MAP of (b, log a) of new items from abilities (question_id, theta, y).
+
+    b ~ N(mu, s2), log a ~ N(log a0, sl2); damped scoring whose sums are grouped, so an item's rows
+    never meet in one task and all items step together, until the largest step is under 1e-9.
+    """
+    l0 = float(np.log(a0))
+    state = rows.select("question_id").distinct().withColumns({"b": F.lit(float(mu)), "l": F.lit(l0)})
+    rows, _ = written(rows.select("question_id", "theta", "y"), "calibration")
+    for _ in range(steps):
+        a = F.exp("l")
+        z = a * (F.col("theta") - F.col("b"))
+        p = 1 / (1 + F.exp(-z))
+        e, v = F.col("y") - p, p * (1 - p)
+        sums = {"gb": -a * e, "gl": z * e, "hbb": v * a * a, "hbl": -v * a * z, "hll": v * z * z}
+        # state: a row an item; written, so that Spark knows how large it is
+        summed = rows.join(state, "question_id").groupBy("question_id").agg(F.first("b").alias("b"), F.first("l").alias("l"), *[F.sum(x).alias(n) for n, x in sums.items()])
+        gb, gl = F.col("gb") - (F.col("b") - mu) / s2, F.col("gl") - (F.col("l") - l0) / sl2
+        hbb, hll, hbl = F.col("hbb") + 1 / s2, F.col("hll") + 1 / sl2, F.col("hbl")
+        det = hbb * hll - hbl * hbl
+        bound = lambda x, most: F.least(F.greatest(x, F.lit(-most)), F.lit(most))
+        moves = summed.select("question_id", "b", "l", bound((hll * gb - hbl * gl) / det, 1.0).alias("mb"), bound((hbb * gl - hbl * gb) / det, 0.5).alias("ml"))
+        moved, _ = written(moves.select("question_id", (F.col("b") + F.col("mb")).alias("b"), (F.col("l") + F.col("ml")).alias("l"), F.greatest(F.abs("mb"), F.abs("ml")).alias("move")), "difficulty")
+        state = moved.drop("move")
+        if (moved.agg(F.max("move")).first()[0] or 0.0) < 1e-9:
+            break
+    return state.select("question_id", F.exp("l").alias("a"), "b")
+
+
 def new_learner_holdout(resp: DataFrame, model: str = "2PL", seed: int = 0) -> DataFrame:
     """Held-out answers of new learners: parameters from 80 % of the learners, ability from half of
     the answers of the rest, p for the other half. Shares are hashed, so partitioning has no say."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import hash01, logit, sigmoid
 from ..sources.scratch import written
 from .graphs import connected_components
+from .pairs import correlation, pair_moments
 
 
 def score_response(resp: DataFrame, keys: DataFrame) -> DataFrame:
@@ -59,9 +60,7 @@ def holdout(resp: DataFrame, share: float = 0.1, by: tuple[str, ...] = ("user_id
 
 def common_learners(resp: DataFrame) -> DataFrame:
     """(i, j, n) learners that answered both items, for pairs that share any."""
-    a = resp.select("user_id", F.col("question_id").alias("i"))
-    b = resp.select("user_id", F.col("question_id").alias("j"))
-    return a.join(b, "user_id").where("i < j").groupBy("i", "j").agg(F.count("*").alias("n"))
+    return pair_moments(resp).select("i", "j", "n")
 
 
 def item_series(resp: DataFrame) -> DataFrame:
@@ -123,8 +122,21 @@ def item_fit(resp: DataFrame, params: DataFrame, theta: DataFrame) -> DataFrame:
     return rows.groupBy("question_id").agg((F.sum("_r2") / F.sum("_v")).alias("infit"), F.avg(F.col("_r2") / F.col("_v")).alias("outfit"))
 
 
-def q3(resid: DataFrame, min_common: int = 50) -> DataFrame:
-    """Correlation of residuals (user_id, question_id, r) for item pairs with enough common learners."""
-    a = resid.select("user_id", F.col("question_id").alias("i"), F.col("r").alias("ri"))
-    b = resid.select("user_id", F.col("question_id").alias("j"), F.col("r").alias("rj"))
-    return a.join(b, "user_id").where("i < j").groupBy("i", "j").agg(F.count("*").alias("n"), F.corr("ri", "rj").alias("q3")).where(F.col("n") >= min_common)
+def q3(resid: DataFrame, min_common: int = 50, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Correlation of residuals (keys, user_id, question_id, r) for item pairs with enough common learners."""
+    return pair_moments(resid, "r", keys).where(F.col("n") >= min_common).select(*keys, "i", "j", "n", correlation().alias("q3"))
+
+
+def q3_summary(pairs: DataFrame, kinds: DataFrame, cut: float = 0.2) -> DataFrame:
+    """Of pairs (i, j, q3): how many, mean, share with abs(q3 - mean) over the cut, and means of pairs of one kind and of two. kinds: (question_id, kind)."""
+    of = lambda c: kinds.select(F.col("question_id").alias(c), F.col("kind").alias(f"_k{c}"))
+    rows = pairs.join(of("i"), "i").join(of("j"), "j").withColumn("_same", F.col("_ki") == F.col("_kj"))
+    mean = rows.agg(F.avg("q3").alias("_mean"))
+    rows = rows.crossJoin(F.broadcast(mean))
+    return rows.agg(F.count("q3").alias("pairs"), F.avg("q3").alias("mean_q3"), F.avg((F.abs(F.col("q3") - F.col("_mean")) > cut).cast("double")).alias("share_over"), F.count_if("_same").alias("pairs_same"), F.avg(F.when(F.col("_same"), F.col("q3"))).alias("mean_same"), F.avg(F.when(~F.col("_same"), F.col("q3"))).alias("mean_different"))
+
+
+def fit_summary(fit: DataFrame, low: float = 0.7, high: float = 1.3) -> DataFrame:
+    """Shares of items whose infit and outfit lie in [low, high], and medians. fit: (question_id, infit, outfit)."""
+    inside = lambda c: F.avg(F.col(c).between(low, high).cast("double"))
+    return fit.agg(F.count("*").alias("items"), *[f(c).alias(f"{c}_{n}") for c in ("infit", "outfit") for n, f in (("share", inside), ("median", lambda c: F.percentile(c, 0.5)))])

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from gaugeworks.functions.kernels import item_maximum, normal_nodes
+from gaugeworks.functions.kernels import item_maxima, log_priors, normal_nodes
 from gaugeworks.operators import irt
 
 
@@ -22,7 +22,7 @@ def objective(rows, params):
     p = 1 / (1 + np.exp(-a * (nodes[None, :] - b)))
     like = np.log(weights) + y @ np.log(p) + (1 - y) @ np.log(1 - p)
     top = like.max(axis=1)
-    return float((top + np.log(np.exp(like - top[:, None]).sum(axis=1))).sum()) + sum(irt.log_prior((*params[q], 0.0), "2PL") for q in range(25))
+    return float((top + np.log(np.exp(like - top[:, None]).sum(axis=1))).sum()) + float(log_priors(np.array([(params[q][1], np.log(params[q][0]), 0.0) for q in range(25)]), "2PL").sum())
 
 
 def test_recovery_and_ascent(spark):
@@ -50,11 +50,13 @@ def test_item_maximum_is_a_maximum(model):
     nodes, weights = normal_nodes()
     n = weights * 400
     r = n * (0.1 + 0.9 / (1 + np.exp(-1.3 * (nodes - 0.4))))
-    a, b, c = item_maximum(n, r, nodes, 1.0, 0.0, 0.15 if model == "3PL" else 0.0, model, True, 60)
+    start = np.array([[0.0, 0.0, np.log(0.15 / 0.85)]])
+    ((b, la, lc),) = item_maxima(n[None], r[None], nodes, start, model)
+    a, c = np.exp(la), 1 / (1 + np.exp(-lc)) if model == "3PL" else 0.0
 
     def value(a, b, c):
         p = np.clip(c + (1 - c) / (1 + np.exp(-a * (nodes - b))), 1e-10, 1 - 1e-10)
-        return (r * np.log(p) + (n - r) * np.log(1 - p)).sum() + irt.log_prior((a, b, c), model)
+        return (r * np.log(p) + (n - r) * np.log(1 - p)).sum() + float(log_priors(np.array([(b, np.log(a), np.log(c / (1 - c)) if c else 0.0)]), model)[0])
 
     best = value(a, b, c)
     assert value(a, b + 0.05, c) < best and value(a, b - 0.05, c) < best
