@@ -166,10 +166,12 @@ def neighbours(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     key = F.struct(F.col("doc_id").isNull().alias("void"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.xxhash64(F.col("text")).alias("hash"))
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("*", key.alias("key"))
-    blocks = min(MOST_BLOCKS, max(1, -(-rows.count() // BLOCK_ROWS)))
-    parts = rows.select("key").repartitionByRange(blocks, "key").groupBy(F.spark_partition_id().alias("part")).agg(F.min("key").alias("low"))
-    lows = [r["low"] for r in parts.select("low").collect()]  # a row a block, at most MOST_BLOCKS
-    lows = sorted(lows, key=lambda r: (r["void"], r["id"], r["hash"])) or [(False, 0, 0)]
+    step = max(BLOCK_ROWS, -(-rows.count() // MOST_BLOCKS))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = rows.select("key").repartitionByRange(n, "key").sortWithinPartitions("key")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    lows = order.withColumn("place", place).where(F.col("place") % step == 0).select("key").collect()  # a row a block, about MOST_BLOCKS at most
+    lows = sorted({(r["key"]["void"], r["key"]["id"], r["key"]["hash"]) for r in lows}) or [(False, 0, 0)]
     bounds = F.broadcast(spark.createDataFrame([(lows,)], "bounds array<struct<void boolean, id long, hash long>>"))
     jumps = F.array(*[F.lit(1 << k) for k in reversed(range(len(lows).bit_length()))])
     last = len(lows) - 1
