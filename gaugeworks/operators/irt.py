@@ -70,30 +70,35 @@ def irt_predict(targets: DataFrame, ability: DataFrame, params: DataFrame) -> Da
     return rows.withColumn("p", F.aggregate(curve, F.lit(0.0), lambda s, x: s + x)).select(*targets.columns, "p")
 
 
-def item_difficulty(rows: DataFrame, mu: float = 0.0, s2: float = 9.0, a: float = 1.0) -> DataFrame:
-    """(question_id, b): damped Newton MAP of a new item's difficulty from abilities (question_id, theta, y) with a fixed.
+def item_difficulty(rows: DataFrame, mu: float = 0.0, s2: float = 9.0, a: float | str = 1.0) -> DataFrame:
+    """(question_id, b): damped Newton MAP of new items' difficulties from abilities (question_id, theta, y), a fixed: a number or a column.
 
-    Newton's sums are grouped, so an item's rows never meet in one task; all items step together.
+    Newton's sums are grouped, so an item's rows never meet in one task; all items step together,
+    until the largest step is under 1e-9.
     """
+    fixed = F.col(a) if isinstance(a, str) else F.lit(float(a))
     state = rows.select("question_id").distinct().withColumn("b", F.lit(float(mu)))
-    rows, _ = written(rows.select("question_id", "theta", "y"), "calibration")
-    for _ in range(12):
-        p = 1 / (1 + F.exp(-a * (F.col("theta") - F.col("b"))))
-        sums = rows.join(state, "question_id").groupBy("question_id").agg(F.first("b").alias("b"), F.sum(-a * (F.col("y") - p)).alias("g"), F.sum(a * a * p * (1 - p)).alias("h"))
+    rows, _ = written(rows.select("question_id", "theta", "y", fixed.alias("_a")), "calibration")
+    for _ in range(40):
+        p = 1 / (1 + F.exp(-F.col("_a") * (F.col("theta") - F.col("b"))))
+        sums = rows.join(state, "question_id").groupBy("question_id").agg(F.first("b").alias("b"), F.sum(-F.col("_a") * (F.col("y") - p)).alias("g"), F.sum(F.col("_a") ** 2 * p * (1 - p)).alias("h"))
         move = (F.col("g") - (F.col("b") - mu) / s2) / (F.col("h") + 1 / s2)
-        state, _ = written(sums.select("question_id", (F.col("b") + F.least(F.greatest(move, F.lit(-1.0)), F.lit(1.0))).alias("b")), "difficulty")
+        moved, _ = written(sums.select("question_id", "b", F.least(F.greatest(move, F.lit(-1.0)), F.lit(1.0)).alias("move")), "difficulty")
+        state = moved.select("question_id", (F.col("b") + F.col("move")).alias("b"))
+        if (moved.agg(F.max(F.abs("move"))).first()[0] or 0.0) < 1e-9:
+            break
     return state
 
 
-def item_difficulty_slope(rows: DataFrame, mu: float = 0.0, s2: float = 9.0, a0: float = 1.0, sl2: float = 0.25, steps: int = 60) -> DataFrame:
+def item_difficulty_slope(rows: DataFrame, mu: float = 0.0, s2: float = 9.0, a0: float | str = 1.0, sl2: float = 0.25, steps: int = 60) -> DataFrame:
     """(question_id, a, b): joint MAP of (b, log a) of new items from abilities (question_id, theta, y).
 
-    b ~ N(mu, s2), log a ~ N(log a0, sl2); damped scoring whose sums are grouped, so an item's rows
+    b ~ N(mu, s2), log a ~ N(log a0, sl2), a0 a number or a column; damped scoring whose sums are grouped, so an item's rows
     never meet in one task and all items step together, until the largest step is under 1e-9.
     """
-    l0 = float(np.log(a0))
-    state = rows.select("question_id").distinct().withColumns({"b": F.lit(float(mu)), "l": F.lit(l0)})
-    rows, _ = written(rows.select("question_id", "theta", "y"), "calibration")
+    centre = F.log(F.col(a0) if isinstance(a0, str) else F.lit(float(a0)))
+    rows, _ = written(rows.select("question_id", "theta", "y", centre.alias("_l0")), "calibration")
+    state = rows.groupBy("question_id").agg(F.lit(float(mu)).alias("b"), F.first("_l0").alias("l"))
     for _ in range(steps):
         a = F.exp("l")
         z = a * (F.col("theta") - F.col("b"))
@@ -101,8 +106,8 @@ def item_difficulty_slope(rows: DataFrame, mu: float = 0.0, s2: float = 9.0, a0:
         e, v = F.col("y") - p, p * (1 - p)
         sums = {"gb": -a * e, "gl": z * e, "hbb": v * a * a, "hbl": -v * a * z, "hll": v * z * z}
         # state: a row an item; written, so that Spark knows how large it is
-        summed = rows.join(state, "question_id").groupBy("question_id").agg(F.first("b").alias("b"), F.first("l").alias("l"), *[F.sum(x).alias(n) for n, x in sums.items()])
-        gb, gl = F.col("gb") - (F.col("b") - mu) / s2, F.col("gl") - (F.col("l") - l0) / sl2
+        summed = rows.join(state, "question_id").groupBy("question_id").agg(F.first("b").alias("b"), F.first("l").alias("l"), F.first("_l0").alias("_l0"), *[F.sum(x).alias(n) for n, x in sums.items()])
+        gb, gl = F.col("gb") - (F.col("b") - mu) / s2, F.col("gl") - (F.col("l") - F.col("_l0")) / sl2
         hbb, hll, hbl = F.col("hbb") + 1 / s2, F.col("hll") + 1 / sl2, F.col("hbl")
         det = hbb * hll - hbl * hbl
         bound = lambda x, most: F.least(F.greatest(x, F.lit(-most)), F.lit(most))
