@@ -42,6 +42,35 @@ def t_two_sided(t: float, df: float) -> float:
     return incomplete_beta(df / 2, 0.5, df / (df + t * t)) if df > 0 and t == t else float("nan")
 
 
+def upper_gamma(a: float, x: float) -> float:
+    """The regularised upper incomplete gamma function: of (df / 2, x / 2) the chi-square tail."""
+    if x <= 0:
+        return 1.0
+    front = exp(a * log(x) - x - lgamma(a))
+    if x < a + 1:  # series of the lower one
+        term = total = 1 / a
+        n = 0
+        while abs(term) > 1e-16 * total and n < 10_000:
+            n += 1
+            term *= x / (a + n)
+            total += term
+        return max(0.0, 1 - front * total)
+    tiny, b = 1e-300, x + 1 - a
+    c, d = 1 / tiny, 1 / b
+    out = d
+    for k in range(1, 10_000):
+        num = -k * (k - a)
+        b += 2
+        d = num * d + b
+        d = 1 / (d if abs(d) > tiny else tiny)
+        c = b + num / c
+        c = c if abs(c) > tiny else tiny
+        out *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * out
+
+
 # -- ratings: a step takes both states and the score, gives p and the new states ----------
 
 

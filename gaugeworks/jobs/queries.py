@@ -503,16 +503,6 @@ def glicko2_weekly(spark, sf_dir):
     return games.join(pred, "seq").select("id", "seq", r6(F.col("p")).alias("p"))
 
 
-@job()
-def rating_comparison(spark, sf_dir):
-    """Scores of Elo, Glicko-2 and TrueSkill on decisive duels of the last fifth."""
-    games = ordered_games(spark, sf_dir)
-    parts = [ratings.replay(games, m, {m: c})[0] for m, c in (("elo", {"k": 24.0}), ("glicko2", {"tau": 0.5}), ("trueskill", {"beta": 25 / 6, "tau": 25 / 300, "p_draw": 0.1}))]
-    n = games.count()
-    test = games.where((F.col("seq") >= cuts(n)[1]) & (F.col("s") != 0.5)).withColumn("y", F.col("s").cast("int"))
-    return metrics.binary_scores(test.join(parts[0].unionByName(parts[1]).unionByName(parts[2]), "seq"), ["config"])
-
-
 PLAIN = {"plain": {"a": 0.3, "b": 0.05}}
 GAINS = {**PLAIN, "pairs": {"a": 0.3, "b": 0.05, "per_cat": True}}
 
@@ -634,11 +624,17 @@ def irt_2pl_items(spark, sf_dir):
 
 @job()
 def irt_criteria(spark, sf_dir):
-    """Information criteria of the three models, the best by BIC, and whether the fits converged."""
-    out = None
-    for model in ("1PL", "2PL", "3PL"):
-        irt, rows, params, learners, done = fitted(spark, sf_dir, model)
-        part = irt.information_criteria(irt.eap(learners, params), params.count(), rows.where("not held").count(), model).withColumn("converged", F.lit(done))
+    """Information criteria of the three models, fitted in one EM, the best by BIC, and whether the fits converged."""
+    from ..operators import irt
+    from ..operators.irt_many import Setting, abilities_of, fit_many, packed
+
+    rows, _ = written(responses.holdout(responses.prune(scored(spark, sf_dir))).where("not held").select("user_id", "question_id", "y"), "responses")
+    learners = packed(rows)
+    fits = fit_many(learners, rows, [Setting(m) for m in ("1PL", "2PL", "3PL")])
+    ability, _ = written(abilities_of(learners, fits), "abilities")
+    out, n = None, rows.count()
+    for k, fit in enumerate(fits):
+        part = irt.information_criteria(ability.where(F.col("setting") == k), len(fit.items), n, fit.setting.model).withColumn("converged", F.lit(fit.converged))
         out = part if out is None else out.unionByName(part)
     out, _ = written(out, "criteria")
     return out.crossJoin(F.broadcast(out.agg(F.min_by("model", "bic").alias("_best")))).withColumn("best", F.col("model") == F.col("_best")).drop("_best")
@@ -819,4 +815,4 @@ def series_abilities(spark, sf_dir):
     return irt.series_ability(rows, params)
 
 
-from . import extended  # noqa: E402,F401  registers more jobs
+from . import extended, studies  # noqa: E402,F401  register more jobs

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import icc, newton_ab, newton_b, normal_nodes
+from ..functions.kernels import newton_ab, newton_b, normal_nodes, upper_gamma
 from ..functions.scalars import hash01, sigmoid
 from ..sources.scratch import written
 from .irt import irt_predict, item_difficulty, item_difficulty_slope
@@ -118,11 +118,19 @@ def information(learners: DataFrame, fit: Fit) -> np.ndarray:
 
 def discrimination_errors(learners: DataFrame, fit: Fit, common: float) -> DataFrame:
     """(question_id, a, se_log_a, low, high, excludes_common): posterior standard errors of log a, 95 % intervals, and whether these leave out a common a."""
-    cov = np.linalg.inv(information(learners, fit)) if len(fit.items) else np.zeros((0, 0))
-    se, la = np.sqrt(np.maximum(np.diag(cov)[1::2], 0)), fit.x[:, 1]
+    spark = learners.sparkSession
+    shared = spark.sparkContext.broadcast(information(learners, fit) if len(fit.items) else np.zeros((0, 0)))
+
+    def inverted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            yield pd.DataFrame({"v": np.diag(np.linalg.inv(shared.value))[1::2]})
+
+    # in a task, which has one thread for linear algebra; the matrix is bounded
+    variances = spark.range(1, numPartitions=1).mapInPandas(inverted, "v double").toPandas()["v"].to_numpy(float)
+    se, la = np.sqrt(np.maximum(variances, 0)), fit.x[:, 1]
     low, high = np.exp(la - 1.96 * se), np.exp(la + 1.96 * se)
     rows = [(int(q), float(np.exp(v)), float(s), float(lo), float(hi), bool(lo > common or hi < common)) for q, v, s, lo, hi in zip(fit.items, la, se, low, high)]
-    return learners.sparkSession.createDataFrame(rows, "question_id long, a double, se_log_a double, low double, high double, excludes_common boolean")
+    return spark.createDataFrame(rows, "question_id long, a double, se_log_a double, low double, high double, excludes_common boolean")
 
 
 def error_summary(errors: DataFrame) -> DataFrame:
@@ -137,6 +145,15 @@ def error_summary(errors: DataFrame) -> DataFrame:
     )
 
 
+def likelihood_ratio(learners: DataFrame, one: Fit, two: Fit) -> DataFrame:
+    """(lr, df, p, loglik_1pl, loglik_2pl, runaway): 1PL against 2PL, both without priors; with runaway discriminations the test is not to be trusted."""
+    lr, df = 2 * (two.loglik - one.loglik), len(two.items) - 1
+    a = two.curves()[:, 0]
+    row = (float(lr), df, upper_gamma(df / 2, lr / 2) if df > 0 else None, float(one.loglik), float(two.loglik), int(((a < 0.05) | (a > 20)).sum()))
+    rows = [row] if len(two.items) else []
+    return learners.sparkSession.createDataFrame(rows, "lr double, df int, p double, loglik_1pl double, loglik_2pl double, runaway int")
+
+
 # -- a null of residual correlations ------------------------------------------------
 
 

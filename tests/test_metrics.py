@@ -148,3 +148,11 @@ def test_weights_are_the_same_in_spark_and_numpy(spark):
 
     got = spark.range(5).select("id", *[w.alias(f"w{k}") for k, w in enumerate(metrics.block_weights(["id"], F.lit(3)))]).collect()
     assert all([r[f"w{k}"] for k in range(4)] == metrics.poisson_weights(str(r.id), 16).tolist()[12:] for r in got)
+
+
+def test_chi_square_tail():
+    from gaugeworks.functions.kernels import upper_gamma
+
+    # tabulated: the 95 % points of 1, 10 and 100 degrees, and one far out
+    for df, x, p in ((1, 3.841458820694124, 0.05), (10, 18.307038053275146, 0.05), (100, 124.34211340400407, 0.05), (2, 40.0, 2.061153622438558e-09)):
+        assert abs(upper_gamma(df / 2, x / 2) - p) < 1e-9 * max(1, p)
