@@ -134,11 +134,10 @@ def new_learner_holdout(resp: DataFrame, model: str = "2PL", seed: int = 0) -> D
 
 def series_ability(resp: DataFrame, params: DataFrame) -> DataFrame:
     """Abilities of learners in two series, each from its own items: n, r, reliabilities and disattenuated r by pair of series."""
-    parts = None
-    for s in [r[0] for r in resp.select("series_id").distinct().orderBy("series_id").collect()]:  # a row per series
-        one = eap(packed(resp.where(F.col("series_id") == s)), params).select("user_id", F.lit(s).alias("series"), "theta", "sd")
-        parts = one if parts is None else parts.unionByName(one)
-    parts, _ = written(parts, "series")
+    known = as_arrays(params)
+    names = [int(r[0]) for r in resp.select("series_id").distinct().collect()]  # a row a series
+    ability = abilities(packed(resp, "series_id"), {k: (k, *known) for k in names})
+    parts, _ = written(ability.select("user_id", F.col("setting").alias("series"), "theta", "sd"), "series")
     v = F.var_pop("theta")
     rel = parts.groupBy("series").agg((v / (v + F.avg(F.col("sd") ** 2))).alias("rel"))
     pairs = parts.alias("a").join(parts.alias("b"), F.expr("a.user_id = b.user_id and a.series < b.series")).groupBy(F.col("a.series").alias("series_a"), F.col("b.series").alias("series_b")).agg(F.count("*").alias("n"), F.corr("a.theta", "b.theta").alias("r"))
