@@ -202,31 +202,44 @@ def intervals(reps: DataFrame, point: DataFrame, stats: dict[str, str], by: list
 def auc_difference(df: DataFrame, units: list[str], y: str, scores: dict[str, str], pairs: list[tuple[str, str]], reps: int = 1000, seed: int = 0, level: float = 0.95, block: int = 1 << 12) -> DataFrame:
     """AUC of one score less that of another, with percentile intervals, units resampled with Poisson(1) weights.
 
-    Each score orders the rows once. A task holds a block of distinct scores and sums, for all
-    replicates together, the weights of both classes and what pairs inside the block add to the AUC;
-    blocks then need only the negatives before them. Several units multiply their weights.
+    Each score orders the rows once, after rows alike in score, units and class are counted. A task
+    holds a block of distinct scores and sums, for all replicates together, the weights of both
+    classes and what pairs inside the block add to the AUC; blocks then need only the negatives
+    before them. A score that more than `block` rows have is a block of its own, dealt to several
+    tasks by its units: inside it all pairs are ties. Several units multiply their weights.
     """
     names = {name: k for k, name in enumerate(scores)}
     long = df.select(*units, F.col(y).cast("int").alias("_y"), F.explode(F.array(*[F.struct(F.lit(k).alias("_m"), F.col(scores[n]).cast("double").alias("_p")) for n, k in names.items()])).alias("_e")).select(*units, "_y", "_e.*")
+    long = long.groupBy("_m", "_p", "_y", *units).agg(F.count("*").alias("_c"))
     counts = long.groupBy("_m", "_p").agg(F.count("*").alias("_n"))
     placed = prefix_sums(indexed(counts, ["_m", "_p"]), ["_m"], "seq", {"_before": F.col("_n")})
-    rows = long.join(placed.select("_m", "_p", F.floor(F.col("_before") / block).alias("_b")), ["_m", "_p"])
+    tied = F.col("_n") > block
+    start = F.when(tied, F.col("_before")).otherwise(F.floor(F.col("_before") / block) * block)  # grows with the score: what follows a tied score starts over a block later
+    rows = long.join(placed.select("_m", "_p", start.cast("long").alias("_b"), F.when(tied, F.ceil(F.col("_n") / block)).otherwise(1).alias("_parts")), ["_m", "_p"])
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(*units), F.col("_parts")))
 
     def partial(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("_p", kind="stable")
-        weights = np.ones((len(part), reps + 1))  # the last column is the sample itself
-        for unit in units:
-            text = part[unit].astype(str)
-            known = {u: poisson_weights(u, reps, seed) for u in text.unique()}
-            weights[:, :reps] *= np.stack([known[u] for u in text])
-        new = np.concatenate(([True], part["_p"].to_numpy()[1:] != part["_p"].to_numpy()[:-1]))
-        at = np.flatnonzero(new)
-        pos = np.add.reduceat(weights * (part["_y"].to_numpy() == 1)[:, None], at)
-        neg = np.add.reduceat(weights * (part["_y"].to_numpy() == 0)[:, None], at)
-        inside = (pos * (np.cumsum(neg, axis=0) - neg / 2)).sum(axis=0)
-        return pd.DataFrame({"_m": key[0], "_b": key[1], "_rep": np.arange(reps + 1), "_pos": pos.sum(axis=0), "_neg": neg.sum(axis=0), "_in": inside})
-
-    sums = rows.groupBy("_m", "_b").applyInPandas(partial, "_m int, _b long, _rep int, _pos double, _neg double, _in double")
+        p = part["_p"].to_numpy()
+        score = np.cumsum(np.concatenate(([False], p[1:] != p[:-1])))
+        sums = np.zeros((2, score[-1] + 1, reps + 1))
+        for k in range(0, len(part), 1024):  # some rows' weights at a time: 8 bytes a row and replicate
+            some, at = part.iloc[k : k + 1024], score[k : k + 1024]
+            weights = np.repeat(some["_c"].to_numpy(float)[:, None], reps + 1, axis=1)  # the last column is the sample itself
+            for unit in units:
+                text = some[unit].astype(str)
+                known = {u: poisson_weights(u, reps, seed) for u in text.unique()}
+                weights[:, :reps] *= np.stack([known[u] for u in text])
+            edge = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            for label in (0, 1):
+                sums[label, at[edge]] += np.add.reduceat(weights * (some["_y"].to_numpy() == label)[:, None], edge)
+        neg, pos = sums
+        several = bool(part["_parts"].iloc[0] > 1)
+        inside = 0.0 if several else (pos * (np.cumsum(neg, axis=0) - neg / 2)).sum(axis=0)
+        return pd.DataFrame({"_m": key[0], "_b": key[1], "_rep": np.arange(reps + 1), "_pos": pos.sum(axis=0), "_neg": neg.sum(axis=0), "_in": inside, "_several": several})
+
+    parts = rows.groupBy("_m", "_b", "_part").applyInPandas(partial, "_m int, _b long, _rep int, _pos double, _neg double, _in double, _several boolean")
+    sums = parts.groupBy("_m", "_b", "_rep").agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"), F.when(F.bool_or("_several"), F.sum("_pos") * F.sum("_neg") / 2).otherwise(F.sum("_in")).alias("_in"))
     before = Window.partitionBy("_m", "_rep").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
     auc = sums.withColumn("_less", F.coalesce(F.sum("_neg").over(before), F.lit(0.0))).groupBy("_rep").pivot("_m", list(names.values())).agg(F.try_divide(F.sum(F.col("_in") + F.col("_pos") * F.col("_less")), F.sum("_pos") * F.sum("_neg")))
     stats = {f"{a} - {b}": f"`{names[a]}` - `{names[b]}`" for a, b in pairs}

@@ -156,13 +156,13 @@ def response_elo(resp: DataFrame, configs: dict[str, dict], chunk: int = CHUNK)
 
 
 def by_period(games: DataFrame, unit: str) -> list[DataFrame]:
-    """The games of each period, in order. They are written once by period, so each is a pruned scan of its own folder.
+    """The games of each period, in order. They are written once by period, so each is a pruned scan of its own folder; a long period is several tasks and files.
 
     The driver holds the period starts: as many as the log has hours, days or weeks, not rows.
     """
     path = new_path(games.sparkSession, "periods")
     started = games.withColumn("_period", F.unix_timestamp(F.date_trunc(unit, "created_at")))
-    started.repartition("_period").write.partitionBy("_period").parquet(path)
+    started.repartition("_period", F.floor(F.col("seq") / CHUNK)).write.partitionBy("_period").parquet(path)
     log = games.sparkSession.read.schema(started.schema).parquet(path)
     starts = sorted(r[0] for r in log.select("_period").distinct().collect())
     return [log.where(F.col("_period") == t).drop("_period") for t in starts]

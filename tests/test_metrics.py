@@ -156,3 +156,10 @@ def test_chi_square_tail():
     # tabulated: the 95 % points of 1, 10 and 100 degrees, and one far out
     for df, x, p in ((1, 3.841458820694124, 0.05), (10, 18.307038053275146, 0.05), (100, 124.34211340400407, 0.05), (2, 40.0, 2.061153622438558e-09)):
         assert abs(upper_gamma(df / 2, x / 2) - p) < 1e-9 * max(1, p)
+
+
+def test_tied_scores_are_split_and_change_nothing(spark):
+    rows = [(u, k % 3 == 0, float(k % 2), float(k % 7)) for u in range(40) for k in range(30)]
+    df = spark.createDataFrame(rows, "u long, y boolean, a double, b double")
+    one, many = (metrics.auc_difference(df, ["u"], "y", {"a": "a", "b": "b"}, [("a", "b")], reps=24, block=n).first() for n in (1 << 12, 5))
+    assert [one[c] for c in ("value", "ci_low", "ci_high")] == pytest.approx([many[c] for c in ("value", "ci_low", "ci_high")], abs=1e-12)
