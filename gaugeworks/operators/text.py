@@ -78,16 +78,43 @@ def similar_pairs(vectors: DataFrame, key: str, threshold: float = 0.8) -> DataF
     return both.groupBy("i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("cosine")).where(F.col("cosine") >= threshold)
 
 
-def nearest(src: DataFrame, dst: DataFrame, key: str, digits: int = 9) -> DataFrame:
+#: Grams in up to so many rows of dst make candidates first; then the next, and last all others.
+LEVELS = (8, 64, 512)
+
+
+def nearest(src: DataFrame, dst: DataFrame, key: str, digits: int = 9, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """(key, nearest, cosine): of each row of src that shares a gram the most similar row of dst (rounded; the smallest key on ties).
 
-    src and dst are rows (key, gram, weight) of one vectoriser. The products are summed before the
-    shuffle on pairs; no threshold prunes, as the maximum itself is wanted.
+    src and dst are rows (key, gram, weight) of one vectoriser, of length 1 or less. Exact, by bounds:
+    rare grams make the first candidates, whose cosines are summed in full. What a row's more frequent
+    grams could still give is at most their length, and at most their weights times the largest
+    weight of each gram in dst; a row whose best is beyond both is done, and its frequent grams, the
+    long lists, are never joined.
     """
-    pairs = src.select(F.col(key).alias("i"), "gram", F.col("weight").alias("_a")).join(dst.select(F.col(key).alias("j"), "gram", F.col("weight").alias("_b")), "gram")
-    cosine = pairs.groupBy("i", "j").agg(F.round(F.sum(F.col("_a") * F.col("_b")), digits).alias("cosine"))
-    best = cosine.groupBy("i").agg(F.max(F.struct("cosine", (-F.col("j")).alias("_j"))).alias("b"))
-    return best.select(F.col("i").alias(key), (-F.col("b._j")).alias("nearest"), F.col("b.cosine").alias("cosine"))
+    known = dst.groupBy("gram").agg(F.count("*").alias("df"), F.max("weight").alias("_most"))
+    level = F.lit(len(levels))
+    for k in reversed(range(len(levels))):
+        level = F.when(F.col("df") <= levels[k], k).otherwise(level)
+    rows, _ = written(src.select(F.col(key).alias("i"), "gram", F.col("weight").alias("_a")).join(known, "gram").withColumn("_level", level), "nearest-rows")
+    other, _ = written(dst.select(F.col(key).alias("j"), "gram", F.col("weight").alias("_b")), "nearest-other")
+    best, met = None, None
+    for k in range(len(levels) + 1):
+        todo = rows
+        if best is not None:
+            # rounding may lift a cosine to a tie, so bounds have half a unit of the last digit to spare
+            rest = rows.where(F.col("_level") >= k).groupBy("i").agg(F.least(F.sqrt(F.sum(F.col("_a") ** 2)), F.sum(F.col("_a") * F.col("_most"))).alias("_rest"))
+            open_ = rest.join(best, "i", "left").where(F.col("_rest") >= F.coalesce("cosine", F.lit(0.0)) - 10.0**-digits).select("i")
+            todo, _ = written(rows.join(open_, "i", "left_semi"), "nearest-open")
+        pairs = todo.where(F.col("_level") == k).select("i", "gram").join(other.select("j", "gram"), "gram").select("i", "j").distinct()
+        pairs = pairs if met is None else pairs.join(met, ["i", "j"], "left_anti")
+        pairs, _ = written(pairs, "nearest-candidates")
+        sums = pairs.join(todo.select("i", "gram", "_a"), "i").join(other, ["j", "gram"]).groupBy("i", "j").agg(F.round(F.sum(F.col("_a") * F.col("_b")), digits).alias("cosine"))
+        found = sums.select("i", "j", "cosine")
+        met = pairs if met is None else met.unionByName(pairs)
+        best = found if best is None else best.select("i", "j", "cosine").unionByName(found)
+        best = best.groupBy("i").agg(F.max(F.struct("cosine", (-F.col("j")).alias("_j"))).alias("b")).select("i", (-F.col("b._j")).alias("j"), F.col("b.cosine").alias("cosine"))
+        best, _ = written(best, "nearest-best")
+    return best.select(F.col("i").alias(key), F.col("j").alias("nearest"), "cosine")
 
 
 def near_matches(src: DataFrame, dst: DataFrame, key: str, threshold: float = 0.8) -> DataFrame:

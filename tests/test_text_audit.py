@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +95,31 @@ def test_comparison_and_leave_one_out(spark):
     for k in range(4):
         rest = np.array([r[1:] for r in rows if r[0] != k])
         assert got[k] == pytest.approx(np.corrcoef(rest.T)[0, 1])
+
+
+def test_pruned_nearest_is_the_whole_search(spark, monkeypatch):
+    rng = random.Random(4)
+    vocabulary, frequent = [f"g{k}" for k in range(400)], [f"f{k}" for k in range(6)]
+    rows = []
+    for k in range(120):
+        base = rng.sample(vocabulary, 5) if k % 4 else rows[rng.randrange(len(rows))][1][:4] if rows else []
+        rows.append((k, [*base, *rng.sample(frequent, 3)]))
+    rows.append((500, list(rows[7][1])))
+    vectors = text.tfidf(spark.createDataFrame(rows, "id long, grams array<string>"), "id", F.col("grams")).cache()
+    src, dst = vectors.where("id < 60"), vectors.where("id >= 60")
+    made = []
+    write = text.written
+    monkeypatch.setattr(text, "written", lambda df, name, *rest: (made.append((name, out := write(df, name, *rest))), out)[1])
+    got = {(r["id"], r["nearest"], r["cosine"]) for r in text.nearest(src, dst, "id", levels=(4, 30)).collect()}
+    table = {}
+    for r in vectors.collect():
+        table.setdefault(r["id"], {})[r["gram"]] = r["weight"]
+    want = set()
+    for i in range(60):
+        found = [(-round(sum(w * table[j].get(g, 0) for g, w in table[i].items()), 9), j) for j in table if j >= 60 and set(table[i]) & set(table[j])]
+        if found:
+            c, j = min(found)
+            want.add((i, j, -c))
+    assert {(i, j) for i, j, _ in got} == {(i, j) for i, j, _ in want} and sorted(c for _, _, c in got) == pytest.approx(sorted(c for _, _, c in want))
+    candidates = sum(out[0].count() for name, out in made if name == "nearest-candidates")
+    assert candidates < sum(bool(set(table[i]) & set(table[j])) for i in range(60) for j in table if j >= 60)
