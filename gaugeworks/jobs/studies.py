@@ -272,3 +272,19 @@ def elo_and_base_rate(spark, sf_dir):
     test = history.where("split = 'test'")
     base = ratings.base_rate(history.where("split = 'train'"), test).select(F.lit("base_rate").alias("config"), "seq", "p")
     return compared(elo.unionByName(base), test.select("seq", "s", "n_u", "n_o"))
+
+
+@job()
+def glicko2_periods(spark, sf_dir):
+    """Glicko-2 by day and by week: five tau scored on the games between 60 and 80 % of the log, and the best one of each period on the last fifth."""
+    games = written(time_split(ratings.duel_outcome(view(spark, sf_dir, "duels")), ["created_at", "id"]), "games")[0]
+    scored_games = games.where("s <> 0.5 and split <> 'train'").select("seq", "split", F.col("s").cast("int").alias("y"))
+    out = None
+    for unit in ("day", "week"):
+        pred, _ = ratings.glicko_period_grid(games, {f"{t:g}": t for t in (0.2, 0.3, 0.5, 0.9, 1.2)}, unit)
+        part = metrics.binary_scores(scored_games.join(pred, "seq"), ["config", "split"]).withColumn("unit", F.lit(unit))
+        out = part if out is None else out.unionByName(part)
+    out, _ = written(out, "period-scores")
+    best = out.where("split = 'val'").groupBy("unit").agg(F.min_by("config", F.struct("log_loss", "config")).alias("best"))
+    rows = out.join(F.broadcast(best), "unit").withColumn("best", F.col("config") == F.col("best")).where("best or split = 'val'")
+    return rounded(rows.select("unit", F.col("config").alias("tau"), "split", "best", "n", "auc", "log_loss", "brier"), "auc", "log_loss", "brier")

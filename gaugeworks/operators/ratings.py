@@ -190,19 +190,27 @@ def glicko_periods(games: DataFrame, tau: float = 0.5, unit: str = "week") -> tu
 
     A player without games in a period keeps the whole state.
     """
+    out, state = glicko_period_grid(games, {"": tau}, unit)
+    return out.drop("config"), state.drop("config")
+
+
+def glicko_period_grid(games: DataFrame, taus: dict[str, float], unit: str = "week") -> tuple[DataFrame, DataFrame]:
+    """Predictions (config, seq, p) and states of `glicko_periods` for several tau at once: a setting is a key of states and sums."""
     spark = games.sparkSession
-    state, out = spark.createDataFrame([], "player long, mu double, phi double, sigma double"), None
+    names = spark.createDataFrame([(k, float(t)) for k, t in taus.items()], "config string, tau double")
+    state, out = spark.createDataFrame([], "config string, player long, mu double, phi double, sigma double"), None
 
     def update(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [glicko_update(m, f, s, i, g, tau) for m, f, s, i, g in zip(b["mu"], b["phi"], b["sigma"], b["info"], b["gain"])]
-            yield pd.DataFrame({"player": b["player"], "mu": [r[0] for r in rows], "phi": [r[1] for r in rows], "sigma": [r[2] for r in rows]})
+            rows = [glicko_update(m, f, s, i, g, t) for m, f, s, i, g, t in zip(b["mu"], b["phi"], b["sigma"], b["info"], b["gain"], b["tau"])]
+            yield pd.DataFrame({"config": b["config"], "player": b["player"], "mu": [r[0] for r in rows], "phi": [r[1] for r in rows], "sigma": [r[2] for r in rows]})
 
     pi2 = 9.869604401089358
     g_of = lambda phi: 1 / F.sqrt(1 + 3 * phi * phi / pi2)
     for now in by_period(games, unit):
+        now = now.crossJoin(F.broadcast(names.select("config")))  # a row a setting
         for side, who in (("u", "user_id"), ("o", "opponent_id")):
-            now = now.join(state.select(F.col("player").alias(who), F.col("mu").alias(f"m{side}"), F.col("phi").alias(f"f{side}")), who, "left")
+            now = now.join(state.select("config", F.col("player").alias(who), F.col("mu").alias(f"m{side}"), F.col("phi").alias(f"f{side}")), ["config", who], "left")
         now = now.withColumns({f"m{x}": F.coalesce(f"m{x}", F.lit(0.0)) for x in "uo"} | {f"f{x}": F.coalesce(f"f{x}", F.lit(PHI0)) for x in "uo"})
         both = g_of(F.sqrt(F.col("fu") ** 2 + F.col("fo") ** 2))
         now, _ = written(now.withColumn("p", 1 / (1 + F.exp(-both * (F.col("mu") - F.col("mo"))))), "period")
@@ -210,14 +218,16 @@ def glicko_periods(games: DataFrame, tau: float = 0.5, unit: str = "week") -> tu
         def side(me: str, player: str, other: str, score):
             g = g_of(F.col(f"f{other}"))
             e = 1 / (1 + F.exp(-g * (F.col(f"m{me}") - F.col(f"m{other}"))))
-            return now.select(F.col(player).alias("player"), (g * g * e * (1 - e)).alias("info"), (g * (score - e)).alias("gain"))
+            return now.select("config", F.col(player).alias("player"), (g * g * e * (1 - e)).alias("info"), (g * (score - e)).alias("gain"))
 
-        sums = side("u", "user_id", "o", F.col("s")).unionByName(side("o", "opponent_id", "u", 1 - F.col("s"))).groupBy("player").agg(F.sum("info").alias("info"), F.sum("gain").alias("gain"))
-        played = sums.join(state, "player", "left").select("player", F.coalesce("mu", F.lit(0.0)).alias("mu"), F.coalesce("phi", F.lit(PHI0)).alias("phi"), F.coalesce("sigma", F.lit(0.06)).alias("sigma"), "info", "gain")
-        idle = state.join(sums.select("player"), "player", "left_anti")
-        state, _ = written(idle.unionByName(played.mapInPandas(update, "player long, mu double, phi double, sigma double")), "ratings")
-        pred = now.select("seq", "p")
+        sums = side("u", "user_id", "o", F.col("s")).unionByName(side("o", "opponent_id", "u", 1 - F.col("s"))).groupBy("config", "player").agg(F.sum("info").alias("info"), F.sum("gain").alias("gain"))
+        played = sums.join(F.broadcast(names), "config").join(state, ["config", "player"], "left").select("config", "player", F.coalesce("mu", F.lit(0.0)).alias("mu"), F.coalesce("phi", F.lit(PHI0)).alias("phi"), F.coalesce("sigma", F.lit(0.06)).alias("sigma"), "info", "gain", "tau")
+        idle = state.join(sums.select("config", "player"), ["config", "player"], "left_anti")
+        state, _ = written(idle.unionByName(played.mapInPandas(update, "config string, player long, mu double, phi double, sigma double")), "ratings")
+        pred = now.select("config", "seq", "p")
         out = pred if out is None else out.unionByName(pred)
+    if out is None:
+        out = spark.createDataFrame([], "config string, seq long, p double")
     return out, state
 
 
