@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash01
-from ..operators import audit, items, metrics, ratings, responses, runs, text
+from ..operators import ablation, audit, items, metrics, ratings, responses, runs, text
 from ..operators.ordering import cuts, time_split
 from ..sources import tables
-from ..sources.scratch import new_path, written
+from ..sources.scratch import new_path, temporary, written
 from ..sources.standins import table, view
 from .queries import GAMES, HASH, LONG, ORACLE_SQL, PAIRS, PRUNE, SCORED, job, ordered_games, pair_rows, r6, round_responses, scored, split_bank, weights_of
 
@@ -494,11 +494,18 @@ def text_ridge(spark, sf_dir):
 
 @job()
 def option_ablation(spark, sf_dir):
-    """Out-of-fold scores of three inputs: text, text with category, both with surface numbers."""
-    bank = split_bank(spark, sf_dir).drop("split").withColumn("n_chars", F.length("text").cast("double"))
-    stem, both = F.col("text"), items.model_input(F.col("cat_name"), F.col("text"))
-    pred = text.option_ablation(bank.select("id", "text", "cat_name", "group", "b_logit", "n_chars"), "id", "b_logit", "group", {"stem": (stem, []), "stem+key": (both, []), "stem+key+surface": (both, ["n_chars"])})
-    return pred.groupBy("variant").agg(F.count("*").alias("n"), F.sqrt(F.avg((F.col("yhat") - F.col("b_logit")) ** 2)).alias("rmse"), F.corr("b_logit", "yhat").alias("pearson"))
+    """Five choices of inputs out of fold: stem, key, distractors, surface of the options; intervals by group, paired differences. A part's lines stand for its options."""
+    with temporary(spark):
+        bank = split_bank(spark, sf_dir).drop("split")
+        line = table(spark, sf_dir, "lineitem")
+        answer = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")
+        answers = line.select(F.col("l_partkey").alias("question_id"), answer, F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linenumber").cast("string")).otherwise(F.col("l_shipdate").cast("date").cast("string")).alias("text"))
+        keys = line.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("question_id"), answer.alias("answer_id"))
+        options = items.with_options(bank.select("id", "text", "cat_name", "lang", "group", "b_logit"), answers, keys)
+        options, _ = written(options.join(items.option_features(options), "id"), "options")
+        grams = {block: text.char_grams(F.col(column), 2, 5) for block, column in (("stem", "text"), ("key", "key_text"), ("distractors", "distractors"))}
+        pred = ablation.option_ablation(options, "id", "b_logit", "group", grams, ["len_ratio", "key_numeric", "numeric_share", "key_longest"], ["cat_name", "lang"], tol=1e-3)
+        return written(ablation.ablation_report(pred, "b_logit", "group"), "ablation-report", keep=True)[0]
 
 
 # -- files -------------------------------------------------------------------------------

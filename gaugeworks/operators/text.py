@@ -238,22 +238,6 @@ def group_folds(items: DataFrame, group: str, k: int = 5) -> DataFrame:
     return items.join(placed.select(group, F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold")), group)
 
 
-def option_ablation(items: DataFrame, key: str, y: str, group: str, variants: dict[str, tuple[Column, list[str]]], k: int = 5, alphas: tuple[float, ...] = (0.3, 3, 30)) -> DataFrame:
-    """(variant, key, fold, y, yhat): out-of-fold ridge predictions for every variant, a text column and surface numbers.
-
-    Folds hold whole groups; the penalty is chosen on the fold after the one held out.
-    """
-    rows, _ = written(group_folds(items, group, k), "folds")
-    out = None
-    for fold in range(k):
-        split = F.when(F.col("fold") == fold, "test").when(F.col("fold") == (fold + 1) % k, "val").otherwise("train")
-        for name, (text, numbers) in variants.items():
-            pred = text_ridge(rows.withColumn("split", split), key, word_grams(text), y, numbers=numbers, alphas=alphas).where("split = 'test'")
-            part, _ = written(pred.select(F.lit(name).alias("variant"), key, "fold", y, "yhat"), "out-of-fold")
-            out = part if out is None else out.unionByName(part)
-    return out
-
-
 def token_profile(df: DataFrame, by: str, text: str = "text", limit: int = 64) -> DataFrame:
     """Median, 95th percentile and maximum of white-space tokens, and the share over the limit, by language."""
     n = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != ""))
