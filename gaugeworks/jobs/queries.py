@@ -815,4 +815,4 @@ def series_abilities(spark, sf_dir):
     return irt.series_ability(rows, params)
 
 
-from . import extended, studies  # noqa: E402,F401  register more jobs
+from . import audits, extended, studies  # noqa: E402,F401  register more jobs

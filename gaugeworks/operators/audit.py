@@ -73,6 +73,29 @@ def label_audit(items: DataFrame, label: str, other: str) -> DataFrame:
     return items.groupBy(F.col(label).alias("label"), F.col(other).alias("other")).agg(F.count("*").alias("n"))
 
 
+def weighted_accuracy(items: DataFrame, label: str, other: str, checked: DataFrame, right: str, z: float = 1.959963984540054) -> DataFrame:
+    """One row: accuracy of a label from checked rows, each class weighing its share of all items, with a normal interval of the stratified sum; agreement of the label with another.
+
+    checked: rows (label, right 0/1). Classes nobody checked have no part in the accuracy; a null right counts as unchecked.
+    """
+    sizes = items.groupBy(label).agg(F.count("*").alias("_size"), F.count_if(F.col(label) == F.col(other)).alias("_same"))
+    shares = checked.where(F.col(right).isNotNull()).groupBy(label).agg(F.avg(F.col(right).cast("double")).alias("_p"), F.count("*").alias("_n"))
+    rows = sizes.join(shares, label, "left")
+    part = F.when(F.col("_n").isNotNull(), F.col("_size"))
+    sums = rows.agg(F.count("_n").alias("classes"), F.sum("_size").alias("n_items"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n_checked"), F.sum(part).alias("_all"), F.sum(part * F.col("_p")).alias("_hits"), F.sum((part * part) * (F.col("_p") * (1 - F.col("_p")) / F.col("_n"))).alias("_var"), F.sum("_same").alias("_same"))
+    accuracy, half = F.try_divide("_hits", "_all"), z * F.try_divide(F.sqrt("_var"), F.col("_all"))
+    return sums.select("classes", "n_items", "n_checked", accuracy.alias("accuracy"), (accuracy - half).alias("low"), (accuracy + half).alias("high"), F.try_divide("_same", "n_items").alias("agreement"))
+
+
+def duel_statuses(games: DataFrame) -> DataFrame:
+    """Duels by how they ended (first, second, draw, other: a winner who did not play), with players, first and last day."""
+    status = F.when(F.col("winner_id").isNull(), "draw").when(F.col("winner_id") == F.col("user_id"), "first").when(F.col("winner_id") == F.col("opponent_id"), "second").otherwise("other")
+    named = games.withColumn("status", status)
+    players = named.select("status", F.explode(F.array("user_id", "opponent_id")).alias("_p")).groupBy("status").agg(F.count_distinct("_p").alias("players"))
+    days = named.groupBy("status").agg(F.count("*").alias("games"), F.min("created_at").cast("date").cast("string").alias("first_day"), F.max("created_at").cast("date").cast("string").alias("last_day"))
+    return days.join(players, "status")
+
+
 def wilson(df: DataFrame, hits: str, n: str, z: float = 1.959963984540054) -> DataFrame:
     """Wilson interval of a share."""
     p, m = F.col(hits) / F.col(n), F.col(n)
