@@ -503,8 +503,8 @@ def option_ablation(spark, sf_dir):
         keys = line.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("question_id"), answer.alias("answer_id"))
         options = items.with_options(bank.select("id", "text", "cat_name", "lang", "group", "b_logit"), answers, keys)
         options, _ = written(options.join(items.option_features(options), "id"), "options")
-        grams = {block: text.char_grams(F.col(column), 2, 5) for block, column in (("stem", "text"), ("key", "key_text"), ("distractors", "distractors"))}
-        pred = ablation.option_ablation(options, "id", "b_logit", "group", grams, ["len_ratio", "key_numeric", "numeric_share", "key_longest"], ["cat_name", "lang"], tol=1e-3)
+        grams = {block: text.word_grams(F.col(column)) for block, column in (("stem", "text"), ("key", "key_text"), ("distractors", "distractors"))}
+        pred = ablation.option_ablation(options, "id", "b_logit", "group", grams, ["len_ratio", "key_numeric", "numeric_share", "key_longest"], ["cat_name", "lang"], tol=1e-2, most=24)
         return written(ablation.ablation_report(pred, "b_logit", "group"), "ablation-report", keep=True)[0]
 
 

@@ -62,8 +62,10 @@ def ridge_over_folds(rows: DataFrame, cells: DataFrame, key: str, y: str, varian
     A variant and setting runs a Lanczos recurrence on X X', centred on its own rows. A pass over the
     cells serves all of them (two joins with map-side sums), and the same vectors solve all
     penalties, so neither folds nor penalties refit. Only a few numbers a setting reach the driver.
-    A setting stops when its relative residual is below tol for every penalty; residual is the
-    largest of the variant's settings, above tol only if `most` passes did not do.
+    A setting stops when its relative residual is below tol for every penalty, or after `most` passes:
+    small penalties need the most, and count as fits stopped early then. residual is that of the fit
+    a row is predicted by; its fitted values are off by at most residual times the deviation of y
+    (root mean square over the fit's rows).
     """
     spark, settings, names = rows.sparkSession, held_out(k), sorted(variants)
     inside = {t: f"fold NOT IN ({f}, {g})" for t, (f, g) in settings.items()}
@@ -74,7 +76,7 @@ def ridge_over_folds(rows: DataFrame, cells: DataFrame, key: str, y: str, varian
     start = [F.when(F.expr(c), F.col(y) - float(y_mean[i])).otherwise(0.0).alias(f"r{t}") for i, (t, c) in enumerate(inside.items())]
     state = rows.select(F.explode(F.array(*map(F.lit, names))).alias("variant"), key, "fold", y, *start, *[F.lit(0.0).alias(f"p{t}") for t in settings])
     shape, penalty = (len(names), len(settings)), np.array(alphas)
-    active, first, worst = np.ones(shape, bool), None, np.zeros(shape)
+    active, first, worst = np.ones(shape, bool), None, np.zeros((*shape, len(alphas)))
     passes, steps = [], []  # written tables; (scale, mean, off-diagonal, pivot, right side) of each pass
     for _ in range(most + 1):
         sums = cells.join(F.broadcast(blocks), "block").join(state.select("variant", key, *[f"r{t}" for t in settings]), ["variant", key])
@@ -91,9 +93,9 @@ def ridge_over_folds(rows: DataFrame, cells: DataFrame, key: str, y: str, varian
             first, active = length, length > 0
         else:
             pivot, right = steps[-1][3:]
-            now = (length[..., None] * np.abs(right / pivot)).max(axis=2) / np.where(first > 0, first, 1)
-            worst = np.where(active, now, worst)
-            active = active & (worst > tol)
+            now = length[..., None] * np.abs(right / pivot) / np.where(first > 0, first, 1)[..., None]
+            worst = np.where(active[..., None], now, worst)
+            active = active & (worst.max(axis=2) > tol)
         if not active.any() or len(steps) == most:
             break
         scale = np.where(active, 1 / np.where(active, length, 1), 0.0)
@@ -136,9 +138,9 @@ def ridge_over_folds(rows: DataFrame, cells: DataFrame, key: str, y: str, varian
     made, _ = written(made.withColumn("alpha", F.array(*map(F.lit, map(float, alphas)))[F.col("_a")]), "fold-predictions")
     errors = made.groupBy("variant", "alpha").agg(F.array(*[F.expr(f"sum(power(_p{f} - {y}, 2)) FILTER (WHERE fold <> {f})") for f in range(k)]).alias("_e"))
     chosen = errors.select("variant", "alpha", F.posexplode("_e").alias("fold", "_sse")).groupBy("variant", "fold").agg(F.min_by("alpha", F.struct("_sse", "alpha")).alias("alpha"))
-    left = spark.createDataFrame([(v, float(worst[i].max())) for i, v in enumerate(names)], "variant string, residual double")
+    left = spark.createDataFrame([(v, f, float(a), float(worst[i, place[f"{f}_{f}"], j])) for i, v in enumerate(names) for f in range(k) for j, a in enumerate(alphas)], "variant string, fold int, alpha double, residual double")
     test = made.select("variant", key, "fold", y, "alpha", F.array(*[f"_p{f}" for f in range(k)])[F.col("fold")].alias("yhat"))
-    return test.join(F.broadcast(chosen), ["variant", "fold", "alpha"]).join(F.broadcast(left), "variant").select("variant", key, "fold", y, "alpha", "yhat", "residual")
+    return test.join(F.broadcast(chosen), ["variant", "fold", "alpha"]).join(F.broadcast(left), ["variant", "fold", "alpha"]).select("variant", key, "fold", y, "alpha", "yhat", "residual")
 
 
 #: Inputs by variant, and the differences that are reported.
@@ -158,21 +160,21 @@ DIFFERENCES = [
 ]
 
 
-def option_ablation(items: DataFrame, key: str, y: str, group: str, texts: dict[str, Column], numbers: list[str], categories: list[str], variants: dict[str, list[str]] = VARIANTS, k: int = 5, min_df: int = 2, tol: float = 1e-6) -> DataFrame:
+def option_ablation(items: DataFrame, key: str, y: str, group: str, texts: dict[str, Column], numbers: list[str], categories: list[str], variants: dict[str, list[str]] = VARIANTS, k: int = 5, min_df: int = 2, tol: float = 1e-6, most: int = 100) -> DataFrame:
     """Out-of-fold predictions, with the group, of ridge on the grams of each text, categories ("meta") and numbers ("surface"). Items without y are left out; folds hold whole groups."""
     with temporary(items.sparkSession):
         rows, _ = written(group_folds(items.where(F.col(y).isNotNull()).withColumn(y, F.col(y).cast("double")), group, k), "folds")
         parts = [text_cells(rows, key, block, grams, k, min_df) for block, grams in texts.items()]
         parts += [category_cells(rows, key, "meta", categories, k), number_cells(rows, key, "surface", numbers, k)]
         cells, _ = written(reduce(DataFrame.unionByName, parts), "cells")
-        pred = ridge_over_folds(rows.select(key, "fold", y), cells, key, y, variants, k, tol=tol)
+        pred = ridge_over_folds(rows.select(key, "fold", y), cells, key, y, variants, k, tol=tol, most=most)
         return written(pred.join(rows.select(key, group), key), "out-of-fold", keep=True)[0]
 
 
 def ablation_report(pred: DataFrame, y: str, group: str, differences: list[tuple[str, str]] = DIFFERENCES, reps: int = 1000) -> DataFrame:
-    """(variant, less, stat, value, ci_low, ci_high, fold_mean, fold_sd): r and RMSE of each variant, and paired differences of two.
+    """(variant, less, stat, value, ci_low, ci_high, fold_mean, fold_sd, residual): r and RMSE of each variant, and paired differences of two.
 
-    Intervals resample groups, the same for all variants. fold_mean and fold_sd are of r by fold (null elsewhere).
+    Intervals resample groups, the same for all variants. fold_mean and fold_sd are of r by fold, residual the largest (null elsewhere).
     """
     from .metrics import bootstrap
 
@@ -190,5 +192,5 @@ def ablation_report(pred: DataFrame, y: str, group: str, differences: list[tuple
     made = bootstrap(wide, [group], moments, stats, reps)
     parts = F.split("stat", r"\|")
     made = made.select(parts[0].alias("variant"), F.when(parts[1] != "", parts[1]).alias("less"), parts[2].alias("stat"), "value", "ci_low", "ci_high")
-    folds = pred.groupBy("variant", "fold").agg(F.corr(y, "yhat").alias("_r")).groupBy("variant").agg(F.avg("_r").alias("fold_mean"), F.stddev_samp("_r").alias("fold_sd")).withColumn("stat", F.lit("r"))
-    return made.join(folds, ["variant", "stat"], "left").withColumns({c: F.when(F.col("less").isNull(), F.col(c)) for c in ("fold_mean", "fold_sd")}).select("variant", "less", "stat", "value", "ci_low", "ci_high", "fold_mean", "fold_sd")
+    folds = pred.groupBy("variant", "fold").agg(F.corr(y, "yhat").alias("_r"), F.max("residual").alias("_left")).groupBy("variant").agg(F.avg("_r").alias("fold_mean"), F.stddev_samp("_r").alias("fold_sd"), F.max("_left").alias("residual")).withColumn("stat", F.lit("r"))
+    return made.join(folds, ["variant", "stat"], "left").withColumns({c: F.when(F.col("less").isNull(), F.col(c)) for c in ("fold_mean", "fold_sd", "residual")}).select("variant", "less", "stat", "value", "ci_low", "ci_high", "fold_mean", "fold_sd", "residual")

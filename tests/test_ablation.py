@@ -60,7 +60,7 @@ def test_report_pairs_the_same_items(spark):
     rng = np.random.default_rng(1)
     y = rng.normal(size=60)
     p = {"a": y + rng.normal(size=60), "b": y + 2 * rng.normal(size=60)}
-    df = spark.createDataFrame([(v, i, i % 5, float(y[i]), float(p[v][i]), i // 3) for v in p for i in range(60)], "variant string, id long, fold int, y double, yhat double, grp long")
+    df = spark.createDataFrame([(v, i, i % 5, float(y[i]), float(p[v][i]), i // 3) for v in p for i in range(60)], "variant string, id long, fold int, y double, yhat double, grp long").withColumn("residual", F.lit(0.0))
     got = {(r.variant, r.less, r.stat): r for r in ablation.ablation_report(df, "y", "grp", [("a", "b")], reps=200).collect()}
     r = {v: np.corrcoef(y, p[v])[0, 1] for v in p}
     assert set(got) == {(v, None, s) for v in p for s in ("r", "rmse")} | {("a", "b", s) for s in ("r", "rmse")}
