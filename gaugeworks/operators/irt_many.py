@@ -27,6 +27,8 @@ from ..sources.scratch import written
 NODES = 41
 MODELS = {"1PL": 1, "2PL": 2, "3PL": 3}
 MOST_ITEMS = 1 << 17
+#: Responses whose curves a task holds at once, NODES numbers each in a few arrays (some 50 MB).
+RESPONSES = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -86,6 +88,17 @@ def unpacked(batch: pd.DataFrame, items: np.ndarray) -> tuple[np.ndarray, np.nda
     return at[known], y[known], learner[known]
 
 
+def slices(batches: Iterator[pd.DataFrame], most: int | None = None) -> Iterator[pd.DataFrame]:
+    """Whole learners at a time, with about `most` responses: memory doesn't grow with the learners of an Arrow batch."""
+    most = most or RESPONSES
+    for batch in batches:
+        counts = np.fromiter(map(len, batch["items"]), np.int64, len(batch)) + 1  # learners without answers cost something too
+        lot = (np.cumsum(counts) - counts) // most
+        edges = np.flatnonzero(np.concatenate(([True], lot[1:] != lot[:-1], [True]))) if len(batch) else ()
+        for a, b in zip(edges[:-1], edges[1:]):
+            yield batch.iloc[a:b]
+
+
 def posteriors(at: np.ndarray, y: np.ndarray, learner: np.ndarray, n: int, right: np.ndarray, wrong: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Posterior over the nodes, and marginal log-likelihood, of n learners."""
     like = np.tile(np.log(weights), (n, 1))
@@ -109,7 +122,7 @@ def em_round(learners: DataFrame, fits: dict[int, Fit]) -> pd.DataFrame:
         curves = {k: log_curves(abc, nodes) for k, (_, _, _, abc) in known.items()}
         sums = {k: (np.zeros((len(items), NODES)), np.zeros((len(items), NODES))) for k, (_, items, _, _) in known.items()}
         total = dict.fromkeys(known, 0.0)
-        for batch in batches:
+        for batch in slices(batches):
             for k, (setting, items, _, _) in known.items():
                 mine = batch[batch["grp"] == setting.group]
                 if not len(mine):
@@ -123,9 +136,11 @@ def em_round(learners: DataFrame, fits: dict[int, Fit]) -> pd.DataFrame:
                     own = post[learner[order]]
                     sums[k][0][at[order][edge]] += np.add.reduceat(own, edge)
                     sums[k][1][at[order][edge]] += np.add.reduceat(own * y[order][:, None], edge)
-        rows = [(k, int(i), n[i].tolist(), r[i].tolist(), 0.0) for k, (n, r) in sums.items() for i in np.flatnonzero(n.sum(axis=1))]
-        rows += [(k, -1, [0.0] * NODES, [0.0] * NODES, v) for k, v in total.items()]
-        yield pd.DataFrame(rows, columns=["setting", "item", "n", "r", "loglik"])
+        for k, (n, r) in sums.items():
+            seen = np.flatnonzero(n.sum(axis=1))
+            for some in np.array_split(seen, -(-len(seen) // 4096) or 1):
+                yield pd.DataFrame({"setting": k, "item": some, "n": list(n[some]), "r": list(r[some]), "loglik": 0.0})
+        yield pd.DataFrame([(k, -1, [0.0] * NODES, [0.0] * NODES, v) for k, v in total.items()], columns=["setting", "item", "n", "r", "loglik"])
 
     parts = learners.mapInPandas(count, "setting int, item int, n array<double>, r array<double>, loglik double")
     added = lambda c: F.array(*[F.sum(F.col(c)[k]) for k in range(NODES)]).alias(c)
@@ -241,7 +256,7 @@ def abilities(learners: DataFrame, fits: dict[int, tuple[int, np.ndarray, np.nda
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         curves = {k: log_curves(abc, nodes) for k, (_, _, abc) in shared.value.items()}
-        for batch in batches:
+        for batch in slices(batches):
             for k, (group, items, _) in shared.value.items():
                 mine = batch[batch["grp"] == group]
                 if not len(mine):

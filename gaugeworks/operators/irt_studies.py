@@ -13,7 +13,7 @@ from ..functions.kernels import newton_ab, newton_b, normal_nodes, upper_gamma
 from ..functions.scalars import hash01, sigmoid
 from ..sources.scratch import written
 from .irt import irt_predict, item_difficulty, item_difficulty_slope
-from .irt_many import NODES, Fit, Setting, abilities_of, fit_many, packed, parameters, posteriors, unpacked
+from .irt_many import NODES, Fit, Setting, abilities_of, fit_many, packed, parameters, posteriors, slices, unpacked
 from .responses import q3
 
 C_PRIORS = ((5, 17), (2.5, 7.5), (1, 3), (2, 18))
@@ -71,7 +71,7 @@ def information(learners: DataFrame, fit: Fit) -> np.ndarray:
         p = np.clip(1 / (1 + np.exp(-np.clip(z, -35, 35))), 1e-10, 1 - 1e-10)
         a, v = np.exp(x[:, 1]), p * (1 - p)
         sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             at, y, learner = unpacked(batch, items)
             post, _ = posteriors(at, y, learner, len(batch), np.log(p), np.log(1 - p), weights)
             edges = np.searchsorted(learner, np.arange(len(batch) + 1))

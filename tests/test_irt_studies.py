@@ -188,3 +188,16 @@ def test_cross_fits_leave_own_folds_out(log, spark):
     assert set(zip(report["treatment"], report["reference"])) == {(t, r) for t in irt_studies.TREATMENTS for r in ("half", "all")}
     weak = report[(report["prior"] == "weak") & (report["treatment"] == "one")]
     assert (weak[weak["k"] == 20]["rmse"].to_numpy() < weak[weak["k"] == 5]["rmse"].to_numpy()).all()
+
+
+def test_learners_come_in_slices_of_bounded_answers(spark, log, monkeypatch):
+    import pandas as pd
+
+    batch = pd.DataFrame({"items": [np.arange(n) for n in (3, 0, 40, 2, 2, 90, 1)], "user": range(7)})
+    parts = list(irt_many.slices(iter([batch, batch.iloc[:0]]), 10))
+    assert [u for p in parts for u in p["user"]] == list(range(7))  # each learner once, in order
+    assert all(len(p) == 1 or sum(map(len, p["items"].iloc[:-1])) <= 10 for p in parts) and len(parts) > 3
+    rows, resp, learners, fit = log
+    monkeypatch.setattr(irt_many, "RESPONSES", 50)
+    (again,) = irt_many.fit_many(learners, resp, [Setting("2PL")])
+    assert again.x == pytest.approx(fit.x, abs=1e-9)
