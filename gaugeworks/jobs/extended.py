@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hash01
+from ..functions.scalars import hash01, norm_text
 from ..operators import ablation, audit, items, metrics, ratings, responses, runs, text
 from ..operators.ordering import cuts, time_split
 from ..sources import tables
@@ -239,9 +239,15 @@ def part_rows(spark, sf_dir) -> DataFrame:
 
 
 def nearest_rows(spark, sf_dir) -> DataFrame:
+    """Rows of one normal form have one vector: a form of test items looks among the forms of the others, under their smallest key."""
     rows = part_rows(spark, sf_dir)
-    vectors, _ = written(text.tfidf(rows, "id", text.char_grams(F.col("text")), min_df=2).join(rows.select("id", "split"), "id"), "vectors")
-    return text.nearest(vectors.where("split = 'test'"), vectors.where("split <> 'test'"), "id")
+    test = F.col("split") == "test"
+    classes, _ = written(text.text_classes(rows, "id", "text", new=F.bool_or(test), old=F.min(F.when(~test, F.col("id")))), "classes")
+    vectors = text.tfidf(classes, "id", text.char_grams(F.col("text")), min_df=2, copies="copies")
+    vectors, _ = written(vectors.join(classes.select("id", "new", "old"), "id"), "vectors")
+    found = text.nearest(vectors.where("new").select("id", "gram", "weight"), vectors.where("old is not null").select(F.col("old").alias("id"), "gram", "weight"), "id")
+    found = classes.select("id", "form").join(found, "id").select("form", "nearest", "cosine")
+    return rows.where(test).select("id", norm_text(F.col("text")).alias("form")).join(found, "form").select("id", "nearest", "cosine")
 
 
 NEAREST = f"""{char_vectors(2, '(1 + ln(tf))')}, c AS (SELECT a.id, b.id AS nearest, round(sum(a.weight * b.weight), 9) AS cosine FROM v a JOIN v b USING (gram) WHERE a.split = 'test' AND b.split <> 'test' GROUP BY 1, 2),
