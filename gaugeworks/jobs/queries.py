@@ -579,6 +579,17 @@ def part_tfidf(spark, sf_dir):
     return tfidf(parts, "id", word_grams(F.col("p_name")), min_df=2).withColumn("weight", r6(F.col("weight")))
 
 
+def similar_names(spark, sf_dir, *also: DataFrame) -> tuple[DataFrame, ...]:
+    """(form, id, copies) of the normal forms of part names that have a vector, `also`, and pairs (i, j, cosine) of forms."""
+    from ..operators.text import similar_pairs, text_classes, tfidf, word_grams
+
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name")
+    classes, _ = written(text_classes(parts, "id", "p_name"), "classes")
+    vectors, _ = written(tfidf(classes, "id", word_grams(F.col("p_name")), min_df=2, copies="copies"), "vectors")
+    pairs = similar_pairs(vectors, "id", 0.8000001).withColumn("cosine", r6(F.col("cosine")))
+    return classes.join(vectors.select("id"), "id", "left_semi"), *also, pairs
+
+
 @job(
     """WITH w AS (SELECT p_partkey AS id, list_filter(string_split(trim(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' '), lambda x: x <> '') AS words FROM part),
     g AS (SELECT id, unnest(list_concat(words, [words[i] || ' ' || words[i + 1] for i in range(1, len(words))])) AS gram FROM w),
@@ -588,11 +599,12 @@ def part_tfidf(spark, sf_dir):
     SELECT a.id AS i, b.id AS j, round(sum(a.weight * b.weight), 6) AS cosine FROM v a JOIN v b USING (gram) WHERE a.id < b.id GROUP BY 1, 2 HAVING sum(a.weight * b.weight) >= 0.8000001"""
 )
 def similar_parts(spark, sf_dir):
-    """Pairs of part names of TF-IDF cosine 0.8 or more, by prefix filter."""
-    from ..operators.text import similar_pairs, tfidf, word_grams
+    """Pairs of part names of TF-IDF cosine 0.8 or more, by prefix filter over normal forms; copies are expanded last."""
+    from ..functions.scalars import norm_text
+    from ..operators.text import expanded_pairs
 
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name")
-    return similar_pairs(tfidf(parts, "id", word_grams(F.col("p_name")), min_df=2), "id", 0.8000001).withColumn("cosine", r6(F.col("cosine")))
+    members = table(spark, sf_dir, "part").select(norm_text(F.col("p_name")).alias("form"), F.col("p_partkey").alias("id"))
+    return expanded_pairs(*similar_names(spark, sf_dir, members)).select("i", "j", "cosine")
 
 
 @job()
@@ -744,9 +756,10 @@ def catalog_summary(spark, sf_dir):
     "SELECT count(*) FILTER (WHERE best >= 0.8) AS at_80, count(*) FILTER (WHERE best >= 0.9) AS at_90, count(*) FILTER (WHERE best >= 0.95) AS at_95 FROM (SELECT id, max(cosine) AS best FROM (SELECT i AS id, cosine FROM p UNION ALL SELECT j, cosine FROM p) GROUP BY 1)".replace("FROM p", "FROM (" + ORACLE_SQL["similar_parts"] + ")")
 )
 def near_duplicate_parts(spark, sf_dir):
-    from ..operators.text import near_duplicate_counts
+    """Parts whose nearest other part reaches each threshold; a copy reaches all."""
+    from ..operators.text import near_duplicate_classes
 
-    return near_duplicate_counts(similar_parts(spark, sf_dir))
+    return near_duplicate_classes(*similar_names(spark, sf_dir))
 
 
 @job()

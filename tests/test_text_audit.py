@@ -123,3 +123,27 @@ def test_pruned_nearest_is_the_whole_search(spark, monkeypatch):
     assert {(i, j) for i, j, _ in got} == {(i, j) for i, j, _ in want} and sorted(c for _, _, c in got) == pytest.approx(sorted(c for _, _, c in want))
     candidates = sum(out[0].count() for name, out in made if name == "nearest-candidates")
     assert candidates < sum(bool(set(table[i]) & set(table[j])) for i in range(60) for j in table if j >= 60)
+
+
+COPIED = [(k, n) for k, n in enumerate(NAMES + [NAMES[0].upper(), NAMES[1] + "!", NAMES[0], "?!", None])]
+
+
+@pytest.mark.parametrize("members", [1, 2, 4096])
+def test_copies_stand_for_one_vector(spark, monkeypatch, members):
+    """Classes with copies give the weights and pairs of all rows, and only classes are joined on grams."""
+    monkeypatch.setattr(text, "MEMBERS", members)
+    df = spark.createDataFrame(COPIED, "id long, name string").repartition(3)
+    plain = text.tfidf(df, "id", text.word_grams(F.col("name")), min_df=2)
+    classes = text.text_classes(df, "id", "name").cache()
+    assert classes.count() < df.count()
+    v = text.tfidf(classes, "id", text.word_grams(F.col("name")), min_df=2, copies="copies")
+    want = {(r.id, r.gram): r.weight for r in plain.collect()}
+    got = {(r.id, r.gram): r.weight for r in v.collect()}
+    assert got == pytest.approx({k: want[k] for k in got}) and len({k for k, _ in got}) < len({k for k, _ in want})
+    known = classes.join(v.select("id"), "id", "left_semi")
+    pairs = text.similar_pairs(v, "id", 0.5)
+    whole = [(r.i, r.j, round(r.cosine, 9)) for r in text.similar_pairs(plain, "id", 0.5).collect()]
+    rows = df.select(text.norm_text(F.col("name")).alias("form"), "id")
+    assert sorted((r.i, r.j, round(r.cosine, 9)) for r in text.expanded_pairs(known, rows, pairs).collect()) == sorted(whole)
+    each = text.near_duplicate_counts(spark.createDataFrame(whole, "i long, j long, cosine double"), (0.5, 0.9)).first()
+    assert text.near_duplicate_classes(known, pairs, (0.5, 0.9)).first() == each
