@@ -65,7 +65,7 @@ def information_criteria(ability: DataFrame, n_items: int, n_responses: int, mod
 def irt_predict(targets: DataFrame, ability: DataFrame, params: DataFrame) -> DataFrame:
     """targets (user_id, question_id, ...) with p: the item's curve averaged over the learner's posterior."""
     nodes = F.array(*[F.lit(float(x)) for x in normal_nodes(NODES)[0]])
-    rows = targets.join(ability.select("user_id", "post"), "user_id").join(params, "question_id")
+    rows = targets.join(ability.select("user_id", "post").hint("merge"), "user_id").join(params, "question_id")
     curve = F.zip_with("post", nodes, lambda w, t: w * (F.col("c") + (1 - F.col("c")) / (1 + F.exp(-F.col("a") * (t - F.col("b"))))))
     return rows.withColumn("p", F.aggregate(curve, F.lit(0.0), lambda s, x: s + x)).select(*targets.columns, "p")
 

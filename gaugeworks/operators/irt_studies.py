@@ -159,7 +159,8 @@ def likelihood_ratio(learners: DataFrame, one: Fit, two: Fit) -> DataFrame:
 
 def residuals(resp: DataFrame, ability: DataFrame, params: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, user_id, question_id, r): y less p at the learner's mean ability."""
-    rows = resp.join(ability.select(*keys, "user_id", "theta"), [*keys, "user_id"]).join(params.select(*keys, "question_id", "a", "b", "c"), [*keys, "question_id"])
+    # a row a learner (and replicate): Spark's estimate of it is far too low, and the driver would hold it for a broadcast
+    rows = resp.join(ability.select(*keys, "user_id", "theta").hint("merge"), [*keys, "user_id"]).join(params.select(*keys, "question_id", "a", "b", "c"), [*keys, "question_id"])
     p = F.col("c") + (1 - F.col("c")) * sigmoid(F.col("a") * (F.col("theta") - F.col("b")))
     return rows.select(*keys, "user_id", "question_id", (F.col("y") - p).alias("r"))
 
@@ -176,7 +177,7 @@ def drawn_abilities(ability: DataFrame, reps: int, seed: int = 0) -> DataFrame:
 
 def simulated_logs(resp: DataFrame, ability: DataFrame, params: DataFrame, reps: int, seed: int = 0) -> DataFrame:
     """(grp, user_id, question_id, y): the log answered anew under the fitted model, once a replicate; md5 draws, so partitioning has no say."""
-    rows = resp.select("user_id", "question_id").join(drawn_abilities(ability, reps, seed), "user_id").join(params.select("question_id", "a", "b", "c"), "question_id")
+    rows = resp.select("user_id", "question_id").join(drawn_abilities(ability, reps, seed).hint("merge"), "user_id").join(params.select("question_id", "a", "b", "c"), "question_id")
     p = F.col("c") + (1 - F.col("c")) * sigmoid(F.col("a") * (F.col("theta") - F.col("b")))
     y = (hash01(F.col("user_id"), F.col("question_id"), F.col("grp"), seed=seed + 1) < p).cast("int")
     return rows.select("grp", "user_id", "question_id", y.alias("y"))
@@ -226,7 +227,7 @@ TREATMENTS = ("one", "anchors", "joint")
 def leave_item_out(resp: DataFrame, ability: DataFrame, params: DataFrame) -> DataFrame:
     """(user_id, question_id, y, theta): mean ability without the answer itself, its likelihood divided out of the posterior."""
     nodes = F.array(*[F.lit(float(v)) for v in normal_nodes(NODES)[0]])
-    rows = resp.select("user_id", "question_id", "y").join(ability.select("user_id", "post"), "user_id").join(params, "question_id")
+    rows = resp.select("user_id", "question_id", "y").join(ability.select("user_id", "post").hint("merge"), "user_id").join(params, "question_id")
 
     def left(w: Column, t: Column) -> Column:
         p = F.col("c") + (1 - F.col("c")) * sigmoid(F.col("a") * (t - F.col("b")))
@@ -366,7 +367,7 @@ def cross_fits(resp: DataFrame, folds: int = FOLDS, seed: int = 0) -> tuple[Data
     means = resp.sparkSession.createDataFrame([(f, float(np.exp(fit.x[:, 1].mean())) if len(fit.items) else 1.0) for f, fit in enumerate(fits)], "fold int, abar double")
     ability = abilities_of(learners, fits).select(F.col("setting").alias("fold"), "user_id", "theta")
     half = (hash01(F.col("question_id"), F.col("user_id"), seed=seed + 7) >= 0.5).cast("int")
-    rows = resp.join(items, "question_id").join(ability, ["fold", "user_id"]).join(F.broadcast(means), "fold")
+    rows = resp.join(items, "question_id").join(ability.hint("merge"), ["fold", "user_id"]).join(F.broadcast(means), "fold")
     return written(rows.withColumn("half", half), "cross-fitted")[0], fits, items
 
 

@@ -201,3 +201,14 @@ def test_learners_come_in_slices_of_bounded_answers(spark, log, monkeypatch):
     monkeypatch.setattr(irt_many, "RESPONSES", 50)
     (again,) = irt_many.fit_many(learners, resp, [Setting("2PL")])
     assert again.x == pytest.approx(fit.x, abs=1e-9)
+
+
+def test_learners_and_logs_are_never_broadcast(spark):
+    """Small here, but a row a learner and replicate: Spark's estimate of mapped and exploded tables is too low at any size."""
+    resp = spark.createDataFrame([(1, 2, 1), (2, 2, 0)], "user_id long, question_id long, y int")
+    ability = spark.createDataFrame([(1, 0.1, [1 / irt.NODES] * irt.NODES)], "user_id long, theta double, post array<double>")
+    params = spark.createDataFrame([(2, 1.0, 0.0, 0.0)], "question_id long, a double, b double, c double")
+    made = [irt_studies.simulated_logs(resp, ability, params, 2), irt_studies.residuals(resp, ability, params), irt_studies.leave_item_out(resp, ability, params), irt.irt_predict(resp, ability, params)]
+    for df in made:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [user_id" in plan and df.count() >= 1
