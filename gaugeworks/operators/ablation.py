@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +55,60 @@ def number_cells(rows: DataFrame, key: str, block: str, columns: list[str], k: i
     return long.select(F.lit(block).alias("block"), key, "feature", *[F.col("w").alias(f"w{t}") for t in held_out(k)])
 
 
+class Recurrence:
+    """Lanczos coefficients of every variant and setting at once, and the solutions for all penalties in its vectors."""
+
+    def __init__(self, shape: tuple[int, int], alphas: tuple[float, ...], tol: float, most: int) -> None:
+        self.shape, self.penalty, self.tol, self.most = shape, np.array(alphas), tol, most
+        self.active, self.first, self.worst = np.ones(shape, bool), None, np.zeros((*shape, len(alphas)))
+        self.steps: list[tuple] = []  # (scale, mean, off-diagonal, pivot, right side) of each pass
+
+    def take(self, rr: np.ndarray, rz: np.ndarray, zm: np.ndarray) -> tuple | None:
+        """rr, rz: r'r and r'z of the vector r and z = X X' r; zm: the mean of z. (scale, mean, diagonal, off-diagonal) of the next vector, None at the end."""
+        length = np.sqrt(rr)
+        if self.first is None:
+            self.first, self.active = length, length > 0
+        else:
+            pivot, right = self.steps[-1][3:]
+            now = length[..., None] * np.abs(right / pivot) / np.where(self.first > 0, self.first, 1)[..., None]
+            self.worst = np.where(self.active[..., None], now, self.worst)
+            self.active = self.active & (self.worst.max(axis=2) > self.tol)
+        if not self.active.any() or len(self.steps) == self.most:
+            return None
+        scale = np.where(self.active, 1 / np.where(self.active, length, 1), 0.0)
+        diagonal, off = rz * scale**2, np.where(self.active, length, 0.0) if self.steps else np.zeros(self.shape)
+        pivot = diagonal[..., None] + self.penalty
+        right = np.where(self.active, self.first, 0.0)[..., None] * np.ones(len(self.penalty))
+        if self.steps:
+            pivot = pivot - off[..., None] ** 2 / self.steps[-1][3]
+            right = -off[..., None] * self.steps[-1][4] / self.steps[-1][3]
+        self.steps.append((scale, zm, off, pivot, right))
+        return scale, zm, diagonal, off
+
+    def weights(self) -> list[np.ndarray]:
+        """Back substitution: coefficients of the passes' z, by variant, setting and penalty."""
+        weights, later = [], None
+        for j in reversed(range(len(self.steps))):
+            scale, _, _, pivot, right = self.steps[j]
+            later = right / pivot if later is None else (right - self.steps[j + 1][2][..., None] * later) / pivot
+            weights.insert(0, later * scale[..., None])
+        return weights
+
+    def offset(self, y_mean: np.ndarray, weights: list[np.ndarray]) -> np.ndarray:
+        return y_mean[None, :, None] - sum((w * self.steps[j][1][..., None] for j, w in enumerate(weights)), np.zeros((*self.shape, len(self.penalty))))
+
+
+def with_penalties(made: DataFrame, names: list[str], key: str, y: str, k: int, alphas: tuple[float, ...], worst: np.ndarray) -> DataFrame:
+    """The penalty of each variant and fold by the errors inside the other folds, and its predictions. made: (variant, key, fold, y, _a, _p0..), predictions with each fold held out."""
+    spark, place = made.sparkSession, {t: i for i, t in enumerate(held_out(k))}
+    made, _ = written(made.withColumn("alpha", F.array(*map(F.lit, map(float, alphas)))[F.col("_a")]), "fold-predictions")
+    errors = made.groupBy("variant", "alpha").agg(F.array(*[F.expr(f"sum(power(_p{f} - {y}, 2)) FILTER (WHERE fold <> {f})") for f in range(k)]).alias("_e"))
+    chosen = errors.select("variant", "alpha", F.posexplode("_e").alias("fold", "_sse")).groupBy("variant", "fold").agg(F.min_by("alpha", F.struct("_sse", "alpha")).alias("alpha"))
+    left = spark.createDataFrame([(v, f, float(a), float(worst[i, place[f"{f}_{f}"], j])) for i, v in enumerate(names) for f in range(k) for j, a in enumerate(alphas)], "variant string, fold int, alpha double, residual double")
+    test = made.select("variant", key, "fold", y, "alpha", F.array(*[f"_p{f}" for f in range(k)])[F.col("fold")].alias("yhat"))
+    return test.join(F.broadcast(chosen), ["variant", "fold", "alpha"]).join(F.broadcast(left), ["variant", "fold", "alpha"]).select("variant", key, "fold", y, "alpha", "yhat", "residual")
+
+
 def ridge_over_folds(rows: DataFrame, cells: DataFrame, key: str, y: str, variants: dict[str, list[str]], k: int = 5, alphas: tuple[float, ...] = ALPHAS, tol: float = 1e-6, most: int = 100) -> DataFrame:
     """(variant, key, fold, y, alpha, yhat, residual): out-of-fold predictions of ridge with intercept on the cells of each variant's blocks.
 
@@ -75,9 +132,8 @@ def ridge_over_folds(rows: DataFrame, cells: DataFrame, key: str, y: str, varian
 
     start = [F.when(F.expr(c), F.col(y) - float(y_mean[i])).otherwise(0.0).alias(f"r{t}") for i, (t, c) in enumerate(inside.items())]
     state = rows.select(F.explode(F.array(*map(F.lit, names))).alias("variant"), key, "fold", y, *start, *[F.lit(0.0).alias(f"p{t}") for t in settings])
-    shape, penalty = (len(names), len(settings)), np.array(alphas)
-    active, first, worst = np.ones(shape, bool), None, np.zeros((*shape, len(alphas)))
-    passes, steps = [], []  # written tables; (scale, mean, off-diagonal, pivot, right side) of each pass
+    shape = (len(names), len(settings))
+    lanczos, passes = Recurrence(shape, alphas, tol, most), []  # written tables of the passes
     for _ in range(most + 1):
         sums = cells.join(F.broadcast(blocks), "block").join(state.select("variant", key, *[f"r{t}" for t in settings]), ["variant", key])
         sums = sums.groupBy("variant", "block", "feature").agg(*[F.expr(f"sum(w{t} * r{t}) AS t{t}") for t in settings])
@@ -88,39 +144,20 @@ def ridge_over_folds(rows: DataFrame, cells: DataFrame, key: str, y: str, varian
         if not got:
             break
         rr, rz, zm = np.moveaxis(np.array([got[v] for v in names], dtype=float).reshape(*shape, 3), 2, 0)
-        length, zm = np.sqrt(rr), np.nan_to_num(zm)
-        if first is None:
-            first, active = length, length > 0
-        else:
-            pivot, right = steps[-1][3:]
-            now = length[..., None] * np.abs(right / pivot) / np.where(first > 0, first, 1)[..., None]
-            worst = np.where(active[..., None], now, worst)
-            active = active & (worst.max(axis=2) > tol)
-        if not active.any() or len(steps) == most:
+        step = lanczos.take(rr, rz, np.nan_to_num(zm))
+        if step is None:
             break
-        scale = np.where(active, 1 / np.where(active, length, 1), 0.0)
-        diagonal, off = rz * scale**2, np.where(active, length, 0.0) if steps else np.zeros(shape)
-        pivot = diagonal[..., None] + penalty
-        right = np.where(active, first, 0.0)[..., None] * np.ones(len(alphas))
-        if steps:
-            pivot = pivot - off[..., None] ** 2 / steps[-1][3]
-            right = -off[..., None] * steps[-1][4] / steps[-1][3]
-        steps.append((scale, zm, off, pivot, right))
+        scale, mean, diagonal, off = step
         passes.append(table)
-        numbers = spark.createDataFrame([(v, scale[i].tolist(), (zm[i] * scale[i]).tolist(), diagonal[i].tolist(), off[i].tolist()) for i, v in enumerate(names)], "variant string, _s array<double>, _m array<double>, _d array<double>, _o array<double>")
+        numbers = spark.createDataFrame([(v, scale[i].tolist(), (mean[i] * scale[i]).tolist(), diagonal[i].tolist(), off[i].tolist()) for i, v in enumerate(names)], "variant string, _s array<double>, _m array<double>, _d array<double>, _o array<double>")
         following = []
         for i, (t, c) in enumerate(inside.items()):
             following.append(f"CASE WHEN _s[{i}] > 0 AND {c} THEN z{t} * _s[{i}] - _m[{i}] - _d[{i}] * r{t} * _s[{i}] - _o[{i}] * p{t} ELSE 0D END AS r{t}")
             following.append(f"r{t} * _s[{i}] AS p{t}")
         state = table.join(F.broadcast(numbers), "variant").selectExpr("variant", key, "fold", y, *following)
 
-    # back substitution: coefficients of the passes' vectors, by setting and penalty
-    weights, later = [], None
-    for j in reversed(range(len(steps))):
-        scale, _, _, pivot, right = steps[j]
-        later = right / pivot if later is None else (right - steps[j + 1][2][..., None] * later) / pivot
-        weights.insert(0, later * scale[..., None])
-    offset = y_mean[None, :, None] - sum((w * steps[j][1][..., None] for j, w in enumerate(weights)), np.zeros((*shape, len(alphas))))
+    weights = lanczos.weights()
+    offset = lanczos.offset(y_mean, weights)
     # of a row in fold h: the prediction with f and h held out (f = h: its own)
     at = [[f"{min(f, h)}_{max(f, h)}" for h in range(k)] for f in range(k)]
     place = {t: i for i, t in enumerate(settings)}
@@ -135,12 +172,188 @@ def ridge_over_folds(rows: DataFrame, cells: DataFrame, key: str, y: str, varian
         each = table.join(F.broadcast(spark.createDataFrame(grid(weights[j]), schema)), "variant")
         parts.append(each.selectExpr("variant", key, "fold", y, "_a", *[f"_c[{f}][fold] * array({', '.join(f'z{t}' for t in at[f])})[fold] AS _p{f}" for f in range(k)]))
     made = reduce(DataFrame.unionByName, parts).groupBy("variant", key, "fold", y, "_a").agg(*[F.sum(f"_p{f}").alias(f"_p{f}") for f in range(k)])
-    made, _ = written(made.withColumn("alpha", F.array(*map(F.lit, map(float, alphas)))[F.col("_a")]), "fold-predictions")
-    errors = made.groupBy("variant", "alpha").agg(F.array(*[F.expr(f"sum(power(_p{f} - {y}, 2)) FILTER (WHERE fold <> {f})") for f in range(k)]).alias("_e"))
-    chosen = errors.select("variant", "alpha", F.posexplode("_e").alias("fold", "_sse")).groupBy("variant", "fold").agg(F.min_by("alpha", F.struct("_sse", "alpha")).alias("alpha"))
-    left = spark.createDataFrame([(v, f, float(a), float(worst[i, place[f"{f}_{f}"], j])) for i, v in enumerate(names) for f in range(k) for j, a in enumerate(alphas)], "variant string, fold int, alpha double, residual double")
-    test = made.select("variant", key, "fold", y, "alpha", F.array(*[f"_p{f}" for f in range(k)])[F.col("fold")].alias("yhat"))
-    return test.join(F.broadcast(chosen), ["variant", "fold", "alpha"]).join(F.broadcast(left), ["variant", "fold", "alpha"]).select("variant", key, "fold", y, "alpha", "yhat", "residual")
+    return with_penalties(made, names, key, y, k, alphas, lanczos.worst)
+
+
+#: Numbers of feature vectors that the driver holds at most (512 MB): those of all passes. With more features the passes are joins.
+MOST_NUMBERS = 1 << 26
+#: Rows whose cells a task unfolds at once.
+ROWS = 1 << 10
+
+
+def known_features(rows: DataFrame, texts: dict[str, Column], categories: list[str], k: int, min_df: int) -> DataFrame:
+    """(block, feature, n0..): in how many rows of each fold a gram or category is; grams in fewer than min_df rows are none."""
+    parts = [rows.select(F.lit(b).alias("block"), "fold", F.explode(F.array_distinct(g)).alias("feature"), F.lit(min_df).alias("_least")) for b, g in texts.items()]
+    each = F.array(*[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in categories]) if categories else F.array().cast("array<string>")
+    parts.append(rows.select(F.lit("meta").alias("block"), "fold", F.explode(each).alias("feature"), F.lit(1).alias("_least")))
+    found = reduce(DataFrame.unionByName, parts).where("feature IS NOT NULL").groupBy("block", "feature")
+    return found.agg(*[F.expr(f"count_if(fold = {f})").alias(f"n{f}") for f in range(k)], F.count("*").alias("_n"), F.first("_least").alias("_least")).where("_n >= _least").drop("_n", "_least")
+
+
+def ridge_by_scans(rows: DataFrame, key: str, y: str, texts: dict[str, Column], numbers: list[str], categories: list[str], variants: dict[str, list[str]], k: int = 5, min_df: int = 2, alphas: tuple[float, ...] = ALPHAS, tol: float = 1e-6, most: int = 100) -> DataFrame | None:
+    """`ridge_over_folds` on the cells of the texts, categories ("meta") and numbers ("surface"), a scan a pass; None where the features are too many for it.
+
+    The same recurrence, with its vectors in features: a vector over rows is r = X s + c (y - its
+    mean) inside the folds, centred, and X X' r needs X' r alone. Rows are packed once, a row an item: places and
+    counts of its grams. A scan unfolds some rows' weights, adds r'r and X' r up in its task, and a
+    number a feature, variant and setting reaches the driver, whatever the rows are.
+    """
+    spark, settings, names = rows.sparkSession, held_out(k), sorted(variants)
+    known, _ = written(known_features(rows, texts, categories, k, min_df), "features")
+    blocks = [b for b in [*texts, "meta", "surface"] if any(b in variants[v] for v in names)]
+    using = {b: [i for i, v in enumerate(names) if b in variants[v]] for b in blocks}
+    sizes = {r["block"]: r["count"] for r in known.groupBy("block").count().collect()} | {"surface": len(numbers)}
+    if sum(sizes.get(b, 0) * len(using[b]) for b in blocks) * len(settings) * (most + 3 * len(alphas)) > MOST_NUMBERS:
+        return None
+    table = known.where(F.col("block").isin(blocks)).orderBy("block", "feature").toPandas()
+    inside = np.array([[h not in s for h in range(k)] for s in settings.values()])  # setting, fold
+    folds = {r["fold"]: r for r in rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum(y).alias("s")).collect()}
+    n_of = inside @ np.array([folds[h]["n"] if h in folds else 0 for h in range(k)], float)
+    if not folds:
+        return with_penalties(spark.createDataFrame([], rows.select(F.lit("").alias("variant"), key, "fold", y, F.lit(0).alias("_a"), *[F.lit(0.0).alias(f"_p{f}") for f in range(k)]).schema), names, key, y, k, alphas, np.zeros((len(names), len(settings), len(alphas))))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        y_mean = inside @ np.array([folds[h]["s"] if h in folds else 0.0 for h in range(k)], float) / n_of
+
+    places, scales = {}, {}  # of a block: place by feature, and the factor of a feature by setting
+    for b in blocks:
+        own = table[table["block"] == b]
+        df = own[[f"n{f}" for f in range(k)]].to_numpy(float) @ inside.T
+        places[b] = {c: i for i, c in enumerate(numbers if b == "surface" else own["feature"])}
+        scales[b] = np.ones((len(numbers), len(settings))) if b == "surface" else (df > 0).astype(float) if b == "meta" else np.where(df >= min_df, np.log((1 + n_of) / (1 + df)) + 1, 0.0)
+    width, unit = len(settings), set(texts)
+    dictionary = spark.sparkContext.broadcast((places, scales))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places, scales = dictionary.value
+        for batch in batches:
+            out = {key: batch[key], "fold": batch["fold"], y: batch[y]}
+            for b in blocks:
+                if b == "surface":
+                    value = np.nan_to_num(batch[[f"_s{j}" for j in range(len(numbers))]].to_numpy(float))
+                    row, at = np.nonzero(value)
+                    value = value[row, at]
+                else:
+                    row = np.repeat(np.arange(len(batch)), [0 if c is None else len(c) for c in batch[f"_{b}"]])
+                    at = pd.Series([g for c in batch[f"_{b}"] if c is not None for g in c], dtype=object).map(places[b]).fillna(-1).to_numpy(np.int64)
+                    cell, count = np.unique((row * max(1, len(places[b])) + at)[at >= 0], return_counts=True)
+                    row, at = np.divmod(cell, max(1, len(places[b])))
+                    value = 1 + np.log(count) if b in unit else np.ones(len(count))
+                edges = np.searchsorted(row, np.arange(1, len(batch)))
+                out[f"i_{b}"], out[f"v_{b}"] = np.split(at.astype(np.int32), edges), np.split(value, edges)
+                if b in unit:  # length 1 a row and setting
+                    length = np.zeros((len(batch), width))
+                    for a in range(0, len(batch), ROWS):
+                        some = slice(*np.searchsorted(row, (a, a + ROWS)))
+                        length += np.stack([np.bincount(row[some], (value[some] * scales[b][at[some], t]) ** 2, len(batch)) for t in range(width)], axis=1)
+                    out[f"l_{b}"] = list(np.divide(1.0, np.sqrt(length), out=np.zeros_like(length), where=length > 0))
+            yield pd.DataFrame(out)
+
+    own = [g.alias(f"_{b}") for b, g in texts.items() if b in blocks]
+    if "meta" in blocks:
+        own.append(F.array(*[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in categories]).cast("array<string>").alias("_meta"))
+    if "surface" in blocks:
+        own += [F.col(c).cast("double").alias(f"_s{j}") for j, c in enumerate(numbers)]
+    kind = dict(rows.dtypes)[key]
+    shape = f"`{key}` {kind}, fold int, `{y}` double, " + ", ".join(f"`i_{b}` array<int>, `v_{b}` array<double>" + (f", `l_{b}` array<double>" if b in texts else "") for b in blocks)
+    packed, _ = written(rows.select(key, "fold", y, *own).mapInPandas(pack, shape), "packed")
+
+    # a vector: a line a block, feature and variant that has the block
+    starts = np.cumsum([0, *[len(places[b]) * len(using[b]) for b in blocks]])
+    of = np.concatenate([np.tile(using[b], len(places[b])) for b in blocks]).astype(np.int64)
+    factor = np.concatenate([np.repeat(scales[b], len(using[b]), axis=0) for b in blocks])
+    by_variant = lambda m: np.stack([m[of == i].sum(axis=0) for i in range(len(names))])
+
+    def cells(batch: pa.RecordBatch) -> Iterator[tuple]:
+        """(block's place, rows, features, values, lengths) of each block."""
+        for j, b in enumerate(blocks):
+            at, value = batch.column(f"i_{b}"), batch.column(f"v_{b}")
+            row = np.repeat(np.arange(len(batch)), at.value_lengths().to_numpy(zero_copy_only=False))
+            length = batch.column(f"l_{b}").flatten().to_numpy().reshape(len(batch), 1, width) if b in unit else 1.0
+            yield j, row, at.flatten().to_numpy(), value.flatten().to_numpy()[:, None], length
+
+    def product(batch: pa.RecordBatch, s: np.ndarray) -> np.ndarray:
+        """X s, by row, variant and setting; s has the features' factors in it."""
+        out = np.zeros((len(batch), len(names), width))
+        for j, row, at, value, length in cells(batch):
+            if len(row):
+                own = s[starts[j] : starts[j + 1]].reshape(-1, len(using[blocks[j]]) * width)
+                edge = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+                part = np.zeros((len(batch), len(using[blocks[j]]), width))
+                part[row[edge]] = np.add.reduceat(own[at] * value, edge).reshape(len(edge), -1, width)
+                out[:, using[blocks[j]]] += part * length
+        return out
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), ROWS):
+                yield batch.slice(a, ROWS)
+
+    def scan(s: np.ndarray, c: np.ndarray, plus: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(X' r, r'r) of r = X s + plus + c (y - its mean) inside the folds, 0 outside."""
+        shared = spark.sparkContext.broadcast((s * factor, c, plus))
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            s, c, plus = shared.value
+            sums, squares = np.zeros((starts[-1], width)), np.zeros((len(names), width))
+            for batch in sliced(batches):
+                within = inside[:, batch.column("fold").to_numpy()].T[:, None, :]
+                r = (product(batch, s) + plus + c * (batch.column(y).to_numpy()[:, None, None] - np.nan_to_num(y_mean))) * within
+                squares += (r * r).sum(axis=0)
+                for j, row, at, value, length in cells(batch):
+                    if len(row):
+                        order = np.argsort(at, kind="stable")
+                        edge = np.flatnonzero(np.concatenate(([True], at[order][1:] != at[order][:-1])))
+                        part = (r[:, using[blocks[j]]] * length).reshape(len(batch), -1)
+                        own = sums[starts[j] : starts[j + 1]].reshape(-1, part.shape[1])
+                        own[at[order][edge]] += np.add.reduceat(part[row[order]] * value[order], edge)
+            some = np.concatenate((np.flatnonzero(sums.any(axis=1)), -1 - np.arange(len(names))))
+            values = np.concatenate((sums[some[some >= 0]], squares))
+            yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(values[:, t].copy()) for t in range(width)]], names=["at", *[f"q{t}" for t in range(width)]])
+
+        found = packed.mapInArrow(add, "at long, " + ", ".join(f"q{t} double" for t in range(width)))
+        found = found.groupBy("at").agg(*[F.sum(f"q{t}").alias(f"q{t}") for t in range(width)]).toPandas()  # a row a feature and variant
+        at, values = found["at"].to_numpy(np.int64), found.drop(columns="at").to_numpy(float)
+        q, squares = np.zeros((starts[-1], width)), np.zeros((len(names), width))
+        q[at[at >= 0]], squares[-1 - at[at < 0]] = values[at >= 0], values[at < 0]
+        return q * factor, squares
+
+    lanczos, none = Recurrence((len(names), width), alphas, tol, most), np.zeros((len(names), width))
+    mean, _ = scan(np.zeros((starts[-1], width)), none, none + np.divide(1.0, n_of, out=np.zeros(width), where=n_of > 0))
+    s, c, passes = np.zeros((starts[-1], width)), none + 1.0, []
+    s_before, c_before = s, none
+    while True:
+        q, rr = scan(s, c, -by_variant(mean * s))
+        step = lanczos.take(rr, by_variant(q * q), by_variant(mean * q))
+        if step is None:
+            break
+        passes.append(q)
+        scale, _, diagonal, off = step
+        on = scale > 0
+        s_now, c_now = s * scale[of], c * scale
+        s = np.where(on[of], q * scale[of] - diagonal[of] * s_now - off[of] * s_before, 0.0)
+        c = np.where(on, -diagonal * c_now - off * c_before, 0.0)
+        s_before, c_before = s_now, c_now
+
+    weights = lanczos.weights()
+    beta = np.zeros((len(alphas), starts[-1], width))
+    for q, w in zip(passes, weights):
+        beta += np.moveaxis(q[:, :, None] * w[of], 2, 0)
+    solved = spark.sparkContext.broadcast((beta * factor, lanczos.offset(y_mean, weights)))
+    place = {t: i for i, t in enumerate(settings)}
+    at = np.array([[place[f"{min(f, h)}_{max(f, h)}"] for f in range(k)] for h in range(k)])  # of a row in fold h with f held out
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        beta, offset = solved.value
+        for batch in sliced(batches):
+            fold = batch.column("fold").to_numpy()
+            for a in range(len(alphas)):
+                p = product(batch, beta[a]) + offset[:, :, a]
+                p = np.take_along_axis(p, np.broadcast_to(at[fold][:, None, :], (len(batch), len(names), k)), axis=2)
+                for i, v in enumerate(names):
+                    yield pa.RecordBatch.from_arrays([pa.array([v] * len(batch)), batch.column(key), batch.column("fold"), batch.column(y), pa.array(np.full(len(batch), a, np.int32)), *[pa.array(p[:, i, f].copy()) for f in range(k)]], names=["variant", key, "fold", y, "_a", *[f"_p{f}" for f in range(k)]])
+
+    made = packed.mapInArrow(predict, f"variant string, `{key}` {kind}, fold int, `{y}` double, _a int, " + ", ".join(f"_p{f} double" for f in range(k)))
+    return with_penalties(made, names, key, y, k, alphas, lanczos.worst)
 
 
 #: Inputs by variant, and the differences that are reported.
@@ -164,6 +377,9 @@ def option_ablation(items: DataFrame, key: str, y: str, group: str, texts: dict[
     """Out-of-fold predictions, with the group, of ridge on the grams of each text, categories ("meta") and numbers ("surface"). Items without y are left out; folds hold whole groups."""
     with temporary(items.sparkSession):
         rows, _ = written(group_folds(items.where(F.col(y).isNotNull()).withColumn(y, F.col(y).cast("double")), group, k), "folds")
+        pred = ridge_by_scans(rows, key, y, texts, numbers, categories, variants, k, min_df, tol=tol, most=most)
+        if pred is not None:
+            return written(pred.join(rows.select(key, group), key), "out-of-fold", keep=True)[0]
         parts = [text_cells(rows, key, block, grams, k, min_df) for block, grams in texts.items()]
         parts += [category_cells(rows, key, "meta", categories, k), number_cells(rows, key, "surface", numbers, k)]
         cells, _ = written(reduce(DataFrame.unionByName, parts), "cells")

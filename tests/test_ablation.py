@@ -69,3 +69,28 @@ def test_report_pairs_the_same_items(spark):
     by_fold = [np.corrcoef(y[f::5], p["a"][f::5])[0, 1] for f in range(5)]
     assert got["a", None, "r"].fold_sd == pytest.approx(np.std(by_fold, ddof=1)) and got["a", None, "r"].fold_mean == pytest.approx(np.mean(by_fold))
     assert all(x.ci_low <= x.ci_high for x in got.values()) and got["a", "b", "r"].fold_mean is None
+
+
+def test_scans_equal_joins(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [f"w{j}" for j in range(12)]
+    rows = [(i, i // 2, " ".join(rng.choice(words, rng.integers(0, 9))) if i % 11 else None, " ".join(rng.choice(words[:4], 3)), "x" if i % 3 else None, float(i % 5) if i % 7 else None, float(rng.normal())) for i in range(60)]
+    items = spark.createDataFrame(rows, "id long, grp long, stem string, opt string, cat string, num double, y double")
+    texts = {"stem": F.split("stem", " "), "key": F.split("opt", " ")}
+    variants = {"a": ["stem", "meta"], "b": ["stem", "key", "surface", "meta"]}
+
+    def run():
+        got = ablation.option_ablation(items, "id", "y", "grp", texts, ["num"], ["cat"], variants, 3, tol=1e-10, most=5)  # stopped early, both at the same place
+        return {(r.variant, r.id): r for r in got.collect()}
+
+    empty = items.where("id < 0").withColumn("fold", F.lit(0))
+    assert ablation.ridge_by_scans(empty, "id", "y", texts, ["num"], ["cat"], variants, 3).count() == 0
+    scans = run()
+    with monkeypatch.context() as m:
+        m.setattr(ablation, "text_cells", None)  # no cells are made for the scans
+        assert len(run()) == 120
+    monkeypatch.setattr(ablation, "MOST_NUMBERS", 0)
+    joins = run()
+    assert set(scans) == set(joins) and len(scans) == 120
+    for k, r in joins.items():
+        assert scans[k].alpha == r.alpha and (scans[k].yhat, scans[k].residual) == pytest.approx((r.yhat, r.residual), abs=1e-9)
