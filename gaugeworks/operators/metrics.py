@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import normal_two_sided, t_two_sided
+from ..functions.kernels import md5_of_pairs, normal_two_sided, t_two_sided
 from ..functions.scalars import clip, hash_text, sigmoid
 from ..sources.scratch import written
 from .ordering import indexed, prefix_sums
@@ -175,18 +176,49 @@ def bootstrap(df: DataFrame, units: list[str], moments: dict[str, Column], stats
     """Percentile intervals of statistics of weighted sums, units resampled with Poisson(1) weights.
 
     moments: sums a statistic needs; stats: SQL over their names. Moments are summed per unit
-    first, so a replicate costs a number per unit, and resamples are never made. Several units
-    (two players) multiply their weights. A weight depends on the unit, replicate and seed alone.
+    first, so a replicate costs a number per unit, and resamples are never made. A task makes the
+    weights of some rows for all replicates at once and adds their moments up; only sums are
+    shuffled. Several units (two players) multiply their weights. A weight depends on the unit, replicate and seed alone.
     With `by`, a row for each of its groups and statistics.
     """
     by = by or []
     per_unit = df.groupBy(*by, *units).agg(*[F.sum(c).alias(k) for k, c in moments.items()])
-    blocks = per_unit.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(-(-reps // PER_HASH) - 1))))
-    hashed = blocks.withColumns({f"_w{k}": w for k, w in enumerate(block_weights(units, F.col("_block"), seed))})
-    # made once each: the sums below only read them
-    sums = hashed.groupBy(*by, "_block").agg(*[F.sum(F.col(f"_w{k}") * F.col(m)).alias(f"{m}_{k}") for k in range(PER_HASH) for m in moments])
-    each = F.array(*[F.struct(F.lit(k).alias("_k"), *[F.col(f"{m}_{k}").alias(m) for m in moments]) for k in range(PER_HASH)])
-    reps_of = sums.select(*by, "_block", F.explode(each).alias("_s")).where(F.col("_block") * PER_HASH + F.col("_s._k") < reps).select(*by, "_s.*")
+    texts = per_unit.select(*by, *[F.col(u).cast("string").alias(f"_u{i}") for i, u in enumerate(units)], *[F.col(m).cast("double").alias(f"_m{i}") for i, m in enumerate(moments)])
+    # rows that share a unit are near each other, so that its weights serve them all; a unit of many rows is dealt to several tasks
+    texts = texts.repartitionByRange("_u0", *[f"_u{i}" for i in range(1, len(units))], *by).sortWithinPartitions(*by, "_u0")
+
+    names = list(moments)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, list] = {}  # by group: sums by moment and replicate, and whether a moment had a value
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for group, (total, seen) in sums.items():
+                keys = [pa.array([v] * reps, kind) for v, kind in zip(group, kinds)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.arange(reps, dtype=np.int32)), *[pa.array(x) if s else pa.nulls(reps, pa.float64()) for x, s in zip(total, seen)]], names=[*by, "_rep", *names])
+            sums.clear()
+
+        for batch in batches:
+            kinds = [batch.column(c).type for c in by]
+            for k in range(0, len(batch), 1024):  # some rows' weights at a time: 8 bytes a row and replicate
+                some = batch.slice(k, 1024)
+                weights = product_weights([some.column(f"_u{i}").to_pandas() for i in range(len(units))], reps, seed)
+                values = np.stack([some.column(f"_m{i}").fill_null(0.0).to_numpy() for i in range(len(names))])
+                known = np.stack([some.column(f"_m{i}").is_valid().to_numpy(zero_copy_only=False) for i in range(len(names))])
+                groups: dict[tuple, list] = {}
+                for i, group in enumerate(zip(*[some.column(c).to_pylist() for c in by]) if by else ()):
+                    groups.setdefault(group, []).append(i)
+                for group, at in (groups or {(): slice(None)}).items():
+                    total, seen = sums.setdefault(group, [np.zeros((len(names), reps)), np.zeros(len(names), bool)])
+                    total += values[:, at] @ weights[at]
+                    seen |= known[:, at].any(axis=1)
+                if len(sums) * len(names) * reps > 1 << 23:
+                    yield from flush()
+        yield from flush()
+
+    kinds_of = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
+    parts = texts.mapInArrow(add, ", ".join([*(f"`{c}` {kinds_of[c]}" for c in by), "_rep int", *(f"`{m}` double" for m in moments)]))
+    reps_of = parts.groupBy(*by, "_rep").agg(*[F.sum(m).alias(m) for m in moments])
     point = per_unit.groupBy(*by).agg(*[F.sum(k).alias(k) for k in moments])
     return intervals(reps_of, point, stats, by, level)
 
@@ -247,6 +279,21 @@ def auc_difference(df: DataFrame, units: list[str], y: str, scores: dict[str, st
 
 
 def poisson_weights(unit: str, reps: int, seed: int = 0) -> np.ndarray:
-    """The weights of `block_weights` of one unit, for all replicates."""
-    digest = b"".join(hashlib.md5(f"{unit}|{b}|{seed}".encode()).digest() for b in range(-(-reps // PER_HASH)))
-    return np.searchsorted(POISSON, np.frombuffer(digest, ">u4")[:reps] / 4294967296.0, side="right")
+    return weights_of_units([unit], reps, seed)[0]
+
+
+def weights_of_units(units: list[str | None], reps: int, seed: int = 0) -> np.ndarray:
+    """The weights of `block_weights` for all replicates, a row a unit."""
+    heads = [b"" if u is None else f"{u}|".encode() for u in units]
+    tails = [f"{b}|{seed}".encode() for b in range(-(-reps // PER_HASH))]
+    least = np.ceil(np.array(POISSON) * 4294967296.0).astype(np.uint32)  # x / 2^32 >= P as whole numbers
+    return np.searchsorted(least, md5_of_pairs(heads, tails).reshape(len(units), -1)[:, :reps], side="right")
+
+
+def product_weights(columns: list[pd.Series], reps: int, seed: int = 0) -> np.ndarray:
+    """Weights of some rows, the product over their units; a unit's are made once."""
+    out = np.ones((1, 1))
+    for texts in columns:
+        code, names = pd.factorize(texts, use_na_sentinel=False)
+        out = out * weights_of_units([None if pd.isna(u) else u for u in names], reps, seed)[code]
+    return out.astype(float)

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -163,3 +164,30 @@ def test_tied_scores_are_split_and_change_nothing(spark):
     df = spark.createDataFrame(rows, "u long, y boolean, a double, b double")
     one, many = (metrics.auc_difference(df, ["u"], "y", {"a": "a", "b": "b"}, [("a", "b")], reps=24, block=n).first() for n in (1 << 12, 5))
     assert [one[c] for c in ("value", "ci_low", "ci_high")] == pytest.approx([many[c] for c in ("value", "ci_low", "ci_high")], abs=1e-12)
+
+
+def test_weights_of_many_units_equal_md5_of_each():
+    units = ["7", "é", "x" * 51, "x" * 70, "2024-01-05", "12"]  # of several lengths, and beyond one block
+    made = metrics.weights_of_units(units, 1000, 3)
+    for u, got in zip(units, made):
+        digest = b"".join(hashlib.md5(f"{u}|{b}|3".encode()).digest() for b in range(250))
+        share = np.frombuffer(digest, ">u4") / 4294967296.0
+        assert (got == [sum(x >= c for c in metrics.POISSON) for x in share]).all()
+
+
+def test_bootstrap_by_groups_with_nulls_and_two_units(spark):
+    rows = [(g, u, o, None if u == 3 else float(u * o), None) for g in ("a", "b") for u in range(20) for o in range(15)]
+    df = spark.createDataFrame(rows, "g string, u long, o long, x double, z double")
+    moments = {"n": F.lit(1.0), "x": F.col("x"), "z": F.col("z")}
+    found = metrics.bootstrap(df, ["u", "o"], moments, {"mean": "x / n", "none": "z / n"}, reps=40, by=["g"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(sequence" not in plan and "md5(" not in plan  # no row a unit and block of replicates
+    got = {(r.g, r.stat): r for r in found.collect()}
+    w = {k: metrics.weights_of_units([str(i) for i in range(20)], 40) for k in "uo"}
+    means = []
+    for rep in range(40):
+        ws = [(w["u"][u][rep] * w["o"][o][rep], 0 if x is None else x) for g, u, o, x, _ in rows if g == "a"]
+        means.append(sum(a * x for a, x in ws) / sum(a for a, _ in ws))
+    for g in "ab":
+        assert got[g, "mean"].ci_low == pytest.approx(np.percentile(means, 2.5)) and got[g, "mean"].ci_high == pytest.approx(np.percentile(means, 97.5))
+        assert got[g, "none"].value is None and got[g, "none"].ci_low is None
