@@ -237,7 +237,7 @@ def auc_difference(df: DataFrame, units: list[str], y: str, scores: dict[str, st
     Each score orders the rows once, after rows alike in score, units and class are counted. A task
     holds a block of distinct scores and sums, for all replicates together, the weights of both
     classes and what pairs inside the block add to the AUC; blocks then need only the negatives
-    before them. A score that more than `block` rows have is a block of its own, dealt to several
+    before them. Weights of some rows' units are made at once. A score that more than `block` rows have is a block of its own, dealt to several
     tasks by its units: inside it all pairs are ties. Several units multiply their weights.
     """
     names = {name: k for k, name in enumerate(scores)}
@@ -248,7 +248,7 @@ def auc_difference(df: DataFrame, units: list[str], y: str, scores: dict[str, st
     tied = F.col("_n") > block
     start = F.when(tied, F.col("_before")).otherwise(F.floor(F.col("_before") / block) * block)  # grows with the score: what follows a tied score starts over a block later
     rows = long.join(placed.select("_m", "_p", start.cast("long").alias("_b"), F.when(tied, F.ceil(F.col("_n") / block)).otherwise(1).alias("_parts")), ["_m", "_p"])
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64(*units), F.col("_parts")))
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(*units), F.col("_parts"))).withColumns({f"_u{i}": F.col(u).cast("string") for i, u in enumerate(units)})
 
     def partial(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("_p", kind="stable")
@@ -257,14 +257,14 @@ def auc_difference(df: DataFrame, units: list[str], y: str, scores: dict[str, st
         sums = np.zeros((2, score[-1] + 1, reps + 1))
         for k in range(0, len(part), 1024):  # some rows' weights at a time: 8 bytes a row and replicate
             some, at = part.iloc[k : k + 1024], score[k : k + 1024]
-            weights = np.repeat(some["_c"].to_numpy(float)[:, None], reps + 1, axis=1)  # the last column is the sample itself
-            for unit in units:
-                text = some[unit].astype(str)
-                known = {u: poisson_weights(u, reps, seed) for u in text.unique()}
-                weights[:, :reps] *= np.stack([known[u] for u in text])
-            edge = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            weights = np.empty((len(some), reps + 1))  # the last column is the sample itself
+            weights[:, :reps], weights[:, reps] = product_weights([some[f"_u{i}"] for i in range(len(units))], reps, seed), 1.0
+            weights *= some["_c"].to_numpy(float)[:, None]
             for label in (0, 1):
-                sums[label, at[edge]] += np.add.reduceat(weights * (some["_y"].to_numpy() == label)[:, None], edge)
+                own = np.flatnonzero(some["_y"].to_numpy() == label)
+                if len(own):
+                    edge = np.flatnonzero(np.concatenate(([True], at[own][1:] != at[own][:-1])))
+                    sums[label, at[own][edge]] += np.add.reduceat(weights[own], edge)
         neg, pos = sums
         several = bool(part["_parts"].iloc[0] > 1)
         inside = 0.0 if several else (pos * (np.cumsum(neg, axis=0) - neg / 2)).sum(axis=0)

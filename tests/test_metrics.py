@@ -1,4 +1,5 @@
 import hashlib
+import inspect
 import random
 
 import numpy as np
@@ -191,3 +192,12 @@ def test_bootstrap_by_groups_with_nulls_and_two_units(spark):
     for g in "ab":
         assert got[g, "mean"].ci_low == pytest.approx(np.percentile(means, 2.5)) and got[g, "mean"].ci_high == pytest.approx(np.percentile(means, 97.5))
         assert got[g, "none"].value is None and got[g, "none"].ci_low is None
+
+
+def test_auc_weights_are_made_for_many_units_at_once(spark):
+    rows = spark.createDataFrame([(u, v, (u * v) % 2, float(u % 5), float(v)) for u in range(12) for v in range(3)], "u long, v long, y int, a double, b double")
+    want = metrics.auc_difference(rows, ["u", "v"], "y", {"a": "a", "b": "b"}, [("a", "b")], reps=24).first()
+    again = metrics.auc_difference(rows.repartition(5), ["u", "v"], "y", {"a": "a", "b": "b"}, [("a", "b")], reps=24, block=4).first()
+    assert (again.value, again.ci_low, again.ci_high) == pytest.approx((want.value, want.ci_low, want.ci_high))
+    source = inspect.getsource(metrics.auc_difference)
+    assert "product_weights" in source and "poisson_weights(" not in source
