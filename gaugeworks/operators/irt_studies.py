@@ -268,6 +268,37 @@ def estimate(treatment: str, theta, y, mask, abar, mu, s2) -> np.ndarray:
     return newton_b(theta, y, mask, np.ones(len(mu)) if treatment == "one" else abar, mu, s2)
 
 
+#: A draw looks first at answers whose hashed place is among so many times the largest sample.
+AHEAD = 3
+
+
+def drawn_samples(rows: DataFrame, most: int, draws: int, seed: int = 0) -> DataFrame:
+    """(question_id, draw, s): the first `most` answers (place, theta, y, abar) of each of an item's hashed orders, in order.
+
+    Hashes are uniform, so the first answers are those under a bound of AHEAD * most / n: only
+    these are shuffled, some numbers an item and draw whatever the log holds. A draw that has fewer
+    under the bound goes over all of its item's answers.
+    """
+    rows = rows.select("question_id", "user_id", "theta", "y", "abar")
+    sizes, _ = written(rows.groupBy("question_id").agg(F.count("*").alias("_n")), "sizes")
+    u = hash01(F.col("question_id"), F.col("user_id"), F.col("draw"), seed=seed)
+    order = lambda entry: F.slice(F.sort_array(F.collect_list(entry)), 1, most)
+    entry = F.struct("_u", "user_id", "theta", "y", "abar")
+    each = rows.join(F.broadcast(sizes), "question_id").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_u", u)  # a row an item is sent
+    near = each.where(F.col("_u") * F.col("_n") <= AHEAD * most).groupBy("question_id", "draw").agg(order(entry).alias("_s"), F.count("*").alias("_k"))
+    near, _ = written(near, "samples")
+    every = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    short = every.join(near, ["question_id", "draw"], "left").where(F.coalesce("_k", F.lit(0)) < F.least(F.lit(most), "_n")).select("question_id", "draw")
+    short, _ = written(short, "short-draws")
+    whole = near.where(F.col("_k") < 0)
+    if short.limit(1).count():
+        again = rows.join(F.broadcast(short), "question_id").withColumn("_u", u)
+        place = Window.partitionBy("question_id", "draw").orderBy("_u", "user_id")
+        whole = again.withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= most).groupBy("question_id", "draw").agg(order(entry).alias("_s"), F.count("*").alias("_k"))
+    found = near.join(short, ["question_id", "draw"], "left_anti").unionByName(whole)
+    return found.select("question_id", "draw", F.transform("_s", lambda x, i: F.struct((i + 1).alias("place"), x["theta"].alias("theta"), x["y"].alias("y"), x["abar"].alias("abar"))).alias("s"))
+
+
 def calibration_errors(rows: DataFrame, priors: DataFrame, ks: tuple[int, ...] = KS, draws: int = DRAWS, treatment: str = "one", seed: int = 0) -> DataFrame:
     """(question_id, prior, k, mse): mean squared error of difficulties from k answers, over draws without replacement.
 
@@ -275,11 +306,13 @@ def calibration_errors(rows: DataFrame, priors: DataFrame, ks: tuple[int, ...] =
     hashed order of an item's answers, and its first k are the sample; k = 0 is the prior's mean. An
     item with fewer than k answers has no row for that k.
     """
+    return sample_errors(written(drawn_samples(rows, max(ks), draws, seed), "drawn")[0], priors, ks, treatment)
+
+
+def sample_errors(samples: DataFrame, priors: DataFrame, ks: tuple[int, ...], treatment: str) -> DataFrame:
+    """`calibration_errors` of samples that are drawn already."""
     most = max(ks)
-    each = rows.select("question_id", "user_id", "theta", "y", "abar", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    order = Window.partitionBy("question_id", "draw").orderBy(hash01(F.col("question_id"), F.col("user_id"), F.col("draw"), seed=seed), "user_id")
-    first = each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
-    samples = first.groupBy("question_id", "draw").agg(F.sort_array(F.collect_list(F.struct("place", "theta", "y"))).alias("s"), F.first("abar").alias("abar")).join(priors, "question_id")  # at most `most` answers a draw
+    samples = samples.withColumn("abar", F.col("s")[0]["abar"]).join(priors, "question_id")  # at most `most` answers a draw
     flat = samples.select("question_id", "abar", "truth", F.col("s.theta").alias("theta"), F.col("s.y").alias("y"), F.col("priors.name").alias("names"), F.col("priors.mu").alias("mu"), F.col("priors.s2").alias("s2"))
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -386,12 +419,13 @@ def calibration_crossfit(resp: DataFrame, texts: DataFrame, ks: tuple[int, ...]
     """
     names = [c for c in texts.columns if c != "question_id"]
     rows, _, items = cross_fits(resp, seed=seed)
+    drawn = {r: written(drawn_samples(rows.where("half = 1") if r == "half" else rows, max(ks), draws, seed), "drawn")[0] for r in ("half", "all")}  # a draw serves all treatments
     out = None
     for treatment in treatments:
         for reference in ("half", "all"):
-            known, sampled = (rows.where("half = 0"), rows.where("half = 1")) if reference == "half" else (rows, rows)
+            known = rows.where("half = 0") if reference == "half" else rows
             truth = treated_truth(known, treatment).join(items, "question_id").join(texts, "question_id", "left")
             priors, _ = written(fold_priors(truth, names), "priors")
-            part = calibration_errors(sampled, priors, ks, draws, treatment, seed).withColumns({"treatment": F.lit(treatment), "reference": F.lit(reference)})
+            part = sample_errors(drawn[reference], priors, ks, treatment).withColumns({"treatment": F.lit(treatment), "reference": F.lit(reference)})
             out = part if out is None else out.unionByName(part)
     return calibration_report(out, ("treatment", "reference"))

@@ -212,3 +212,19 @@ def test_learners_and_logs_are_never_broadcast(spark):
     for df in made:
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin [user_id" in plan and df.count() >= 1
+
+
+def test_draws_are_the_first_of_a_hashed_order(spark, monkeypatch):
+    from gaugeworks.functions.scalars import hash01
+
+    sizes = {0: 400, 1: 30, 2: 3}
+    rows = spark.createDataFrame([(q, u, u / 10, u % 2, 1.0) for q, n in sizes.items() for u in range(n)], "question_id long, user_id long, theta double, y int, abar double")
+    every = rows.crossJoin(spark.range(6).select(F.col("id").cast("int").alias("draw"))).withColumn("u", hash01(F.col("question_id"), F.col("user_id"), F.col("draw"), seed=4))
+    order = {}
+    for r in every.collect():
+        order.setdefault((r.question_id, r.draw), []).append((r.u, r.user_id))
+    want = {k: [u / 10 for _, u in sorted(v)[:5]] for k, v in order.items()}
+    for ahead in (3, 0.2, 0):  # with a low bound some draws, or all, go over all answers
+        monkeypatch.setattr(irt_studies, "AHEAD", ahead)
+        got = {(r.question_id, r.draw): [x.theta for x in r.s] for r in irt_studies.drawn_samples(rows, 5, 6, 4).collect()}
+        assert got == want
