@@ -179,6 +179,8 @@ def ridge_over_folds(rows: DataFrame, cells: DataFrame, key: str, y: str, varian
 MOST_NUMBERS = 1 << 26
 #: Rows whose cells a task unfolds at once.
 ROWS = 1 << 10
+#: A block is unfolded into a matrix where it has at most so many features, and so many for each cell a row has on average.
+WIDE, SPARSE = 1 << 13, 64
 
 
 def known_features(rows: DataFrame, texts: dict[str, Column], categories: list[str], k: int, min_df: int) -> DataFrame:
@@ -196,7 +198,8 @@ def ridge_by_scans(rows: DataFrame, key: str, y: str, texts: dict[str, Column],
     The same recurrence, with its vectors in features: a vector over rows is r = X s + c (y - its
     mean) inside the folds, centred, and X X' r needs X' r alone. Rows are packed once, a row an item: places and
     counts of its grams. A scan unfolds some rows' weights, adds r'r and X' r up in its task, and a
-    number a feature, variant and setting reaches the driver, whatever the rows are.
+    number a feature, variant and setting reaches the driver, whatever the rows are. Blocks of few
+    features are multiplied as matrices, others cell by cell.
     """
     spark, settings, names = rows.sparkSession, held_out(k), sorted(variants)
     known, _ = written(known_features(rows, texts, categories, k, min_df), "features")
@@ -214,13 +217,16 @@ def ridge_by_scans(rows: DataFrame, key: str, y: str, texts: dict[str, Column],
     with np.errstate(invalid="ignore", divide="ignore"):
         y_mean = inside @ np.array([folds[h]["s"] if h in folds else 0.0 for h in range(k)], float) / n_of
 
-    places, scales = {}, {}  # of a block: place by feature, and the factor of a feature by setting
+    places, scales, full = {}, {}, set()  # of a block: place by feature, and the factor of a feature by setting; full: blocks that are unfolded into matrices
     for b in blocks:
         own = table[table["block"] == b]
         df = own[[f"n{f}" for f in range(k)]].to_numpy(float) @ inside.T
         places[b] = {c: i for i, c in enumerate(numbers if b == "surface" else own["feature"])}
+        cells_of = len(numbers) if b == "surface" else own[[f"n{f}" for f in range(k)]].to_numpy(float).sum() / sum(h["n"] for h in folds.values())
+        if len(places[b]) <= min(WIDE, SPARSE * cells_of):
+            full.add(b)
         scales[b] = np.ones((len(numbers), len(settings))) if b == "surface" else (df > 0).astype(float) if b == "meta" else np.where(df >= min_df, np.log((1 + n_of) / (1 + df)) + 1, 0.0)
-    width, unit = len(settings), set(texts)
+    width, unit, sizes = len(settings), set(texts), {b: len(places[b]) for b in blocks}
     dictionary = spark.sparkContext.broadcast((places, scales))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -263,24 +269,34 @@ def ridge_by_scans(rows: DataFrame, key: str, y: str, texts: dict[str, Column],
     factor = np.concatenate([np.repeat(scales[b], len(using[b]), axis=0) for b in blocks])
     by_variant = lambda m: np.stack([m[of == i].sum(axis=0) for i in range(len(names))])
 
-    def cells(batch: pa.RecordBatch) -> Iterator[tuple]:
-        """(block's place, rows, features, values, lengths) of each block."""
+    def cells(batch: pa.RecordBatch) -> list[tuple]:
+        """(block's place, rows, features, values, lengths) of each block with a cell; of a full one its matrix stands for the values."""
+        found = []
         for j, b in enumerate(blocks):
-            at, value = batch.column(f"i_{b}"), batch.column(f"v_{b}")
+            at, value = batch.column(f"i_{b}"), batch.column(f"v_{b}").flatten().to_numpy()[:, None]
             row = np.repeat(np.arange(len(batch)), at.value_lengths().to_numpy(zero_copy_only=False))
+            at = at.flatten().to_numpy()
             length = batch.column(f"l_{b}").flatten().to_numpy().reshape(len(batch), 1, width) if b in unit else 1.0
-            yield j, row, at.flatten().to_numpy(), value.flatten().to_numpy()[:, None], length
-
-    def product(batch: pa.RecordBatch, s: np.ndarray) -> np.ndarray:
-        """X s, by row, variant and setting; s has the features' factors in it."""
-        out = np.zeros((len(batch), len(names), width))
-        for j, row, at, value, length in cells(batch):
+            if b in full and len(row):
+                matrix = np.zeros((len(batch), sizes[b]))
+                matrix[row, at] = value[:, 0]
+                value = matrix
             if len(row):
-                own = s[starts[j] : starts[j + 1]].reshape(-1, len(using[blocks[j]]) * width)
+                found.append((j, row, at, value, length))
+        return found
+
+    def product(n: int, found: list[tuple], s: np.ndarray) -> np.ndarray:
+        """X s of n rows' cells, by row, variant and setting; s has the features' factors in it."""
+        out = np.zeros((n, len(names), width))
+        for j, row, at, value, length in found:
+            own = s[starts[j] : starts[j + 1]].reshape(-1, len(using[blocks[j]]) * width)
+            if blocks[j] in full:
+                part = (value @ own).reshape(n, -1, width)
+            else:
                 edge = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-                part = np.zeros((len(batch), len(using[blocks[j]]), width))
+                part = np.zeros((n, len(using[blocks[j]]), width))
                 part[row[edge]] = np.add.reduceat(own[at] * value, edge).reshape(len(edge), -1, width)
-                out[:, using[blocks[j]]] += part * length
+            out[:, using[blocks[j]]] += part * length
         return out
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,15 +312,17 @@ def ridge_by_scans(rows: DataFrame, key: str, y: str, texts: dict[str, Column],
             s, c, plus = shared.value
             sums, squares = np.zeros((starts[-1], width)), np.zeros((len(names), width))
             for batch in sliced(batches):
-                within = inside[:, batch.column("fold").to_numpy()].T[:, None, :]
-                r = (product(batch, s) + plus + c * (batch.column(y).to_numpy()[:, None, None] - np.nan_to_num(y_mean))) * within
+                within, found = inside[:, batch.column("fold").to_numpy()].T[:, None, :], cells(batch)
+                r = (product(len(batch), found, s) + plus + c * (batch.column(y).to_numpy()[:, None, None] - np.nan_to_num(y_mean))) * within
                 squares += (r * r).sum(axis=0)
-                for j, row, at, value, length in cells(batch):
-                    if len(row):
+                for j, row, at, value, length in found:
+                    part = (r[:, using[blocks[j]]] * length).reshape(len(batch), -1)
+                    own = sums[starts[j] : starts[j + 1]].reshape(-1, part.shape[1])
+                    if blocks[j] in full:
+                        own += value.T @ part
+                    else:
                         order = np.argsort(at, kind="stable")
                         edge = np.flatnonzero(np.concatenate(([True], at[order][1:] != at[order][:-1])))
-                        part = (r[:, using[blocks[j]]] * length).reshape(len(batch), -1)
-                        own = sums[starts[j] : starts[j + 1]].reshape(-1, part.shape[1])
                         own[at[order][edge]] += np.add.reduceat(part[row[order]] * value[order], edge)
             some = np.concatenate((np.flatnonzero(sums.any(axis=1)), -1 - np.arange(len(names))))
             values = np.concatenate((sums[some[some >= 0]], squares))
@@ -345,9 +363,9 @@ def ridge_by_scans(rows: DataFrame, key: str, y: str, texts: dict[str, Column],
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         beta, offset = solved.value
         for batch in sliced(batches):
-            fold = batch.column("fold").to_numpy()
+            fold, found = batch.column("fold").to_numpy(), cells(batch)
             for a in range(len(alphas)):
-                p = product(batch, beta[a]) + offset[:, :, a]
+                p = product(len(batch), found, beta[a]) + offset[:, :, a]
                 p = np.take_along_axis(p, np.broadcast_to(at[fold][:, None, :], (len(batch), len(names), k)), axis=2)
                 for i, v in enumerate(names):
                     yield pa.RecordBatch.from_arrays([pa.array([v] * len(batch)), batch.column(key), batch.column("fold"), batch.column(y), pa.array(np.full(len(batch), a, np.int32)), *[pa.array(p[:, i, f].copy()) for f in range(k)]], names=["variant", key, "fold", y, "_a", *[f"_p{f}" for f in range(k)]])

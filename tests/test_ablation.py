@@ -94,3 +94,17 @@ def test_scans_equal_joins(spark, monkeypatch):
     assert set(scans) == set(joins) and len(scans) == 120
     for k, r in joins.items():
         assert scans[k].alpha == r.alpha and (scans[k].yhat, scans[k].residual) == pytest.approx((r.yhat, r.residual), abs=1e-9)
+
+
+@pytest.mark.parametrize("sparse", [0, 64])
+def test_blocks_as_matrices_and_by_cells(spark, monkeypatch, sparse):
+    """Blocks of few features are matrices in a scan; both ways give what the joins give."""
+    rng = np.random.default_rng(4)
+    items = spark.createDataFrame([(i, i // 2, " ".join(rng.choice(["a", "b", "c", "d", "e"], rng.integers(0, 6))) if i % 9 else None, float(i % 4), float(rng.normal())) for i in range(50)], "id long, grp long, stem string, num double, y double")
+    monkeypatch.setattr(ablation, "SPARSE", sparse)
+    made = lambda: {(r.variant, r.id): (r.yhat, r.residual) for r in ablation.option_ablation(items, "id", "y", "grp", {"stem": F.split("stem", " ")}, ["num"], [], {"a": ["stem"], "b": ["stem", "surface"]}, 3, tol=1e-10, most=4).collect()}
+    scans = made()
+    monkeypatch.setattr(ablation, "MOST_NUMBERS", 0)
+    joins = made()
+    assert set(scans) == set(joins) and len(scans) == 100
+    assert all(scans[k] == pytest.approx(v, abs=1e-9) for k, v in joins.items())

@@ -157,3 +157,12 @@ def test_copies_of_one_text_are_many_tasks(spark, monkeypatch):
     made = text.expanded_pairs(classes, spark.range(256).select(F.lit("a").alias("form"), "id"), spark.createDataFrame([], "i long, j long, cosine double"))
     tasks = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(tasks) == 256 * 255 // 2 == made.distinct().count() and max(tasks) < sum(tasks) / 2
+
+
+def test_words_are_made_once_for_all_grams(spark):
+    """The words of a text are split once, not once for each gram; a row's grams are as before."""
+    df = spark.createDataFrame([(n,) for n in NAMES], "t string")
+    plan = df.select(text.word_grams(F.col("t"), 1, 3).alias("g"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace") == 1
+    got = [r[0] for r in df.select(text.word_grams(F.col("t"))).collect()]
+    assert got == [grams_of(n) for n in NAMES]
